@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import leakage, rank_fusion
+from fathomgrid.llm import curve_knn, leakage, lookalikes, markup, rank_fusion, residue, splitting
 from fathomgrid.session import table
 
 
@@ -20,6 +20,46 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", "chunk_id", "position", F.round("closeness", 6).alias("closeness"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return curve_knn.nearest_pairs(table(spark, d, "chunk_vectors"), table(spark, d, "knowledge_bases"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_chunks(table(spark, d, "chunks")).select("chunk_id")
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_chunks(table(spark, d, "chunks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "chunks")).where("piece = 1").select("chunk_id")
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "chunks"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.lookalike_records(table(spark, d, "chunks"), table(spark, d, "formulas"))
+
+
+def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.canonical_form(table(spark, d, "chunks"), "id", "content")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(table(spark, d, "documents"))
+
+
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(table(spark, d, "documents")).select("doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
