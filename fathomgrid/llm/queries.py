@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import curve_knn, leakage, lookalikes, markup, rank_fusion, residue, splitting
+from fathomgrid.llm import curve_knn, leakage, lookalikes, lsh_forest, markup, rank_fusion, residue, splitting
 from fathomgrid.session import table
 
 
@@ -60,6 +60,15 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(table(spark, d, "documents")).select("doc_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = lsh_forest.similar_pairs(table(spark, d, "chunks"), "id", "content", threshold=0.5, shingle=3)
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return lsh_forest.similar_groups(table(spark, d, "chunks"), "id", "content")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
