@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import curve_knn, leakage, lookalikes, lsh_forest, markup, rank_fusion, residue, splitting
+from fathomgrid.llm import curve_knn, leakage, lookalikes, lsh_forest, markup, packing, rank_fusion, residue, splitting
 from fathomgrid.session import table
 
 
@@ -69,6 +69,14 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return lsh_forest.similar_groups(table(spark, d, "chunks"), "id", "content")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_fill(packing.pack_documents(table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
