@@ -74,17 +74,20 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def words(cp: np.ndarray, offsets: np.ndarray, drop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(cp: np.ndarray, offsets: np.ndarray, drop: np.ndarray | None = None, extra: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Every word (longest run of letters or digits, lower case) of every row.
 
     Returns (hash, row, start, end); start and end are positions in ``cp``.  ``drop`` masks
-    positions that count as if they weren't there as word characters (inline markup).
+    positions that count as if they weren't there as word characters (inline markup); ``extra`` are
+    code points that count as letters.
     """
     isword, _, code = _tables()
     low = np.minimum(cp, PLANES - 1)
     w = isword[low]
     if drop is not None:
         w &= ~drop
+    for c in extra:
+        w |= cp == c
     n = len(cp)
     if n == 0:
         z = np.zeros(0, dtype=np.int64)

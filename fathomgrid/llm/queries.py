@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import curve_knn, leakage, lookalikes, lsh_forest, markup, packing, rank_fusion, residue, splitting
+from fathomgrid.llm import curve_knn, leakage, lookalikes, lsh_forest, markup, packing, rank_fusion, residue, scan_repair, splitting
 from fathomgrid.session import table
 
 
@@ -40,6 +40,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.noisy_chunks(table(spark, d, "chunks")).select("chunk_id")
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.repair_chunks(table(spark, d, "chunks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.lookalike_records(table(spark, d, "chunks"), table(spark, d, "formulas"))
 
