@@ -95,3 +95,7 @@ def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
