@@ -47,7 +47,8 @@ def resolve_labels(references: DataFrame, definitions: DataFrame) -> DataFrame:
 def debounce(events: DataFrame, key: str, ts: str, quiet_seconds: float) -> DataFrame:
     """(key, first, last, events) of bursts: a burst ends after ``quiet_seconds`` without an event."""
     w = Window.partitionBy(key).orderBy(ts)
-    gap = F.unix_micros(F.col(ts)) - F.lag(F.unix_micros(F.col(ts))).over(w)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = at - F.lag(at).over(w)
     d = events.withColumn("_new", F.when(gap.isNull() | (gap >= int(quiet_seconds * 1_000_000)), 1).otherwise(0))
     d = d.withColumn("burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy(key, "burst").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("events"))
