@@ -11,8 +11,9 @@ K1, B = 1.2, 0.75
 
 
 def postings(chunks: DataFrame, column: str = "content_tokenized") -> DataFrame:
-    """(kb_id, chunk_id, pos, term): one row per term occurrence."""
-    return chunks.select("kb_id", F.col("id").alias("chunk_id"), F.posexplode(tx.fts_terms(F.col(column))).alias("pos", "term"))
+    """(kb_id, chunk_id, dl, pos, term): one row per term occurrence, with the chunk's length."""
+    d = chunks.select("kb_id", F.col("id").alias("chunk_id"), tx.fts_terms(F.col(column)).alias("w"))
+    return d.select("kb_id", "chunk_id", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
 
 
 def document_lengths(chunks: DataFrame, column: str = "content_tokenized") -> DataFrame:
@@ -34,13 +35,13 @@ def query_phrases(queries: DataFrame, query_id: str = "query_id", text: str = "q
 
 
 def phrase_frequencies(posts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, kb_id, chunk_id, tf): how often each distinct phrase stands in a chunk.
+    """(phrase, kb_id, chunk_id, dl, tf): how often each distinct phrase stands in a chunk.
 
     Postings are joined with the distinct phrase terms only; a phrase of several terms stands where
     all of them have the same origin (position minus offset)."""
     need = phrases.select("phrase", "off", "term", "len").distinct()
-    hit = posts.join(need, "term").groupBy("phrase", "len", "kb_id", "chunk_id", (F.col("pos") - F.col("off")).alias("origin")).agg(F.count(F.lit(1)).alias("got"))
-    return hit.where("got = len").groupBy("phrase", "kb_id", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    hit = posts.join(need, "term").groupBy("phrase", "len", "kb_id", "chunk_id", "dl", (F.col("pos") - F.col("off")).alias("origin")).agg(F.count(F.lit(1)).alias("got"))
+    return hit.where("got = len").groupBy("phrase", "kb_id", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, column: str = "content_tokenized") -> DataFrame:
@@ -48,12 +49,11 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, column: str = "content_to
 
     N, df and average length are index-wide, so scores of different bases compare."""
     posts = postings(chunks, column)
-    lengths = document_lengths(chunks, column)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
+    stats = document_lengths(chunks, column).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
     phrases = query_phrases(queries)
     freq = phrase_frequencies(posts, phrases)
     df = freq.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    scored = freq.join(df, "phrase").join(lengths.select("chunk_id", "dl"), "chunk_id").crossJoin(F.broadcast(stats))
+    scored = freq.join(df, "phrase").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     per = scored.select("phrase", "kb_id", "chunk_id", weight.alias("w"))
