@@ -72,7 +72,7 @@ CUES = {
     ],
     "filler": [
         "text goes here", "sample text", "dummy content", "dummy text", "body text", "placeholder text", "texte à compléter", "text to come", "replace this block", "your paragraph about", "belongs here", "hier steht später", "aquí irá el texto",
-        "lorem ipsum", "blindtext", "texto de relleno", "texte de remplissage", "contenido de ejemplo", "(to be filled in)", "yyyy-mm-dd", "write your", "insert text",
+        "texto de relleno", "texte de remplissage", "contenido de ejemplo", "(to be filled in)", "yyyy-mm-dd", "write your", "insert text",
     ],
 }
 #: Syllables of pseudo-Latin filler.
