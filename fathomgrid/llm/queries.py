@@ -98,4 +98,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say what the operator does; the others are tested against brute force."""
+    return {
+        "p4_found": "SELECT id AS chunk_id FROM chunks WHERE length(content) > 6000",
+        "p2_found": (
+            "WITH u AS (SELECT DISTINCT v.kb_id, v.chunk_id, v.embedding FROM chunk_vectors v JOIN knowledge_bases k ON k.id = v.kb_id WHERE v.embedding IS NOT NULL AND len(v.embedding) = k.embedding_dimension AND list_sum(list_transform(v.embedding, lambda x: abs(x))) > 0), "
+            "s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM u a JOIN u b ON a.kb_id = b.kb_id AND a.chunk_id <> b.chunk_id), "
+            "t AS (SELECT a, b FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5) SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM t"
+        ),
+        "p7_found": (
+            "WITH w AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS w FROM chunks WHERE content IS NOT NULL), "
+            "g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3), n AS (SELECT id, count(*) AS n FROM g GROUP BY id), "
+            "c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL) SELECT a AS chunk_id_a, b AS chunk_id_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k * 2 >= x.n + y.n - k"
+        ),
+        "p9_found": (
+            "WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '</?[A-Za-z][^<>\\n]{0,300}>', ' ', 'g'), '&(?:[A-Za-z]{2,8}|#[0-9]{1,6}|#x[0-9A-Fa-f]{1,6});', ' ', 'g'), '\\]\\([^()\\s]{1,300}\\)', '] ', 'g'), '\\[\\[[^\\[\\]|\\n]{1,200}\\|([^\\[\\]\\n]*\\]\\])', '[[\\1', 'g') AS text FROM documents WHERE text IS NOT NULL), "
+            "d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS w FROM m), i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL), "
+            "dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS s FROM d WHERE len(w) >= 10), ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS s FROM i WHERE len(w) >= 10) "
+            "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (s)"
+        ),
+    }
