@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomgrid.functions.science import pre_tokenize
 
@@ -419,3 +420,18 @@ def couple_table_rows(text: str) -> str:
                 out.append(stamp)
         out.append(line)
     return "\n".join(out)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])))
+def segments_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: [{"kind": g.kind, "start_line": g.start, "end_line": g.end} for g in segments(x)] if x else [])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("signature", T.StringType())])))
+def symbols_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: [dict(zip(("kind", "name", "line", "signature"), r)) for r in code_symbols(x)] if x else [])
+
+
+@F.pandas_udf(T.StringType())
+def table_rows_udf(s: pd.Series) -> pd.Series:
+    return s.map(couple_table_rows, na_action="ignore")

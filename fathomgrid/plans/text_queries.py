@@ -334,3 +334,76 @@ def gen12_latex_headings(t):
 def gen14_formula_rows(t):
     f = t.formulas.select("chunk_id", "ordinal", "normalized", "token_count").distinct()
     return f.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("formulas"), F.sum(F.coalesce("token_count", F.lit(0))).alias("tokens"), F.max("ordinal").alias("last_ordinal"))
+
+
+# ---- Python cores over columns: checked by literals in the tests ---------------------------------
+
+
+@query(None)
+def gen01_chunk_documents(t):
+    from fathomgrid.functions.chunkers import chunk_documents
+
+    kind = tx.file_type_alias(F.col("file_type"))
+    return chunk_documents(t.documents, "doc_id", "text", kind).select("doc", "ordinal", "start_line", "end_line", F.length("content").alias("n_chars"))
+
+
+@query(None)
+def gen02_markdown_chunks(t):
+    from fathomgrid.functions.chunkers import chunk_documents
+    from fathomgrid.functions.metadata import metadata
+
+    c = chunk_documents(t.documents.where("text like '%# %'"), "doc_id", "text", F.lit("markdown"))
+    m = metadata(F.col("metadata_json"))
+    return c.select("doc", "ordinal", m["heading"].alias("heading"), m["breadcrumb"].alias("breadcrumb"), F.size(m["formulas"]).alias("formulas"), F.size(m["links"]).alias("links"))
+
+
+@query(None)
+def gen04_latex_chunks(t):
+    from fathomgrid.functions.chunkers import chunk_documents
+
+    c = chunk_documents(t.chunks.where(F.lower(F.trim("file_type")) == "latex"), "id", "content", F.lit("latex"))
+    return c.select("doc", "ordinal", "start_line", "end_line", "metadata_json")
+
+
+@query(None)
+def gen05_code_chunks(t):
+    from fathomgrid.functions.chunkers import CODE, chunk_documents
+
+    kind = F.lower(F.trim("file_type"))
+    c = chunk_documents(t.chunks.where(kind.isin(*sorted(CODE))), "id", "content", kind)
+    return c.select("doc", "ordinal", "start_line", "end_line", "metadata_json")
+
+
+@query(None)
+def gen07_code_symbols(t):
+    from fathomgrid.functions.chunkers import CODE, symbols_udf
+
+    c = t.chunks.where(F.lower(F.trim("file_type")).isin(*sorted(CODE)))
+    return c.select("id", F.explode(symbols_udf(F.col("content"))).alias("s")).select("id", "s.kind", "s.name", "s.line", "s.signature")
+
+
+@query(None)
+def sci03_canonical_math(t):
+    return t.chunks.where(F.col("content").rlike("[\\^" + "".join(_MATH) + "]")).select("id", sci.canonical_math_udf(F.col("content")).alias("words"))
+
+
+@query(None)
+def sci12_segments(t):
+    from fathomgrid.functions.chunkers import segments_udf
+
+    s = t.chunks.select("id", F.explode(segments_udf(F.col("content"))).alias("s"))
+    return s.groupBy("s.kind").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("s.end_line") - F.col("s.start_line") + 1).alias("lines"))
+
+
+@query(None)
+def sci18_table_rows(t):
+    from fathomgrid.functions.chunkers import table_rows_udf
+
+    return t.chunks.where(F.col("content").contains("|")).select("id", table_rows_udf(F.col("content")).alias("content"))
+
+
+@query(None)
+def ret12_hashed_embeddings(t):
+    from fathomgrid.operators.vector import hashed_embedding
+
+    return t.chunks.select("id", hashed_embedding(F.col(T)).alias("embedding"))
