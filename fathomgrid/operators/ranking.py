@@ -112,3 +112,22 @@ def diversify(df: DataFrame, lam: float = 0.76) -> DataFrame:
     cols = ["query_id", "chunk_id", "kb_id", "file_path", "start_line", "end_line", "score", "tokens"]
     schema = f"query_id {dict(df.dtypes)['query_id']}, chunk_id string, score double, mmr_rank int"
     return df.select(*cols).groupBy("query_id").applyInPandas(pick, schema)
+
+
+def relation_boost(seed: Column, other: Column) -> Column:
+    """How close two chunks stand in their file's structure; both are metadata structs with scope,
+    symbol, symbol_kind and parent_symbol."""
+    scope = lambda m: F.coalesce(m["scope"], F.array().cast("array<string>"))
+    has = lambda m: (F.coalesce(m["symbol"], m["symbol_kind"], m["parent_symbol"], F.lit("")) != "") | (F.size(scope(m)) > 0)
+    parent = lambda m: F.when(F.size(scope(m)) > 1, F.slice(scope(m), 1, F.greatest(F.size(scope(m)) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    inside = lambda a, b: (F.size(a) > 0) & (F.size(a) < F.size(b)) & (F.slice(b, 1, F.greatest(F.size(a), F.lit(1))) == a)
+    same_symbol = seed["symbol"].eqNullSafe(other["symbol"])
+    siblings = (F.size(parent(seed)) > 0) & (parent(seed) == parent(other))
+    same_parent = (F.coalesce(seed["parent_symbol"], F.lit("")) != "") & seed["parent_symbol"].eqNullSafe(other["parent_symbol"])
+    return (
+        F.when(~has(seed) | ~has(other), 0.0)
+        .when(siblings, F.when(same_symbol, 0.35).otherwise(1.35))
+        .when(same_parent, F.when(same_symbol, 0.35).otherwise(1.2))
+        .when(inside(scope(seed), scope(other)) | inside(scope(other), scope(seed)), 0.9)
+        .otherwise(0.0)
+    )

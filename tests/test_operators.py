@@ -107,3 +107,15 @@ def test_documents(spark):
     assert documents.docx_text(buf.getvalue()) == "Hello\n\nWorld" and documents.docx_text(b"no zip") is None
     pages = documents.fetch(spark.createDataFrame([("u1",), ("u2",), ("u3",)], "url string"), download=lambda u: {"u1": ("text/html", b"<p>x</p>"), "u2": ("image/png", b"")}[u])
     assert {r["url"]: r["error"] for r in pages.collect()} == {"u1": None, "u2": "type image/png", "u3": "KeyError"}
+
+
+def test_relation_boost(spark):
+    from fathomgrid.functions.metadata import metadata
+
+    pairs = [
+        ('{"scope": ["A", "f"], "symbol": "f"}', '{"scope": ["A", "g"], "symbol": "g"}', 1.35), ('{"scope": ["A", "f"], "symbol": "f"}', '{"scope": ["A", "f"], "symbol": "f"}', 0.35), ('{"parent_symbol": "A", "symbol": "f"}', '{"parent_symbol": "A", "symbol": "g"}', 1.2),
+        ('{"scope": ["A"]}', '{"scope": ["A", "f"]}', 0.9), ("{}", '{"scope": ["A"]}', 0.0), ("broken", None, 0.0),
+    ]
+    d = spark.createDataFrame(pairs, "a string, b string, want double")
+    for r in d.select("want", ranking.relation_boost(metadata(F.col("a")), metadata(F.col("b"))).alias("got")).collect():
+        assert r["got"] == r["want"]
