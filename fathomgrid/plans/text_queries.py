@@ -212,10 +212,20 @@ _MATH = {k: v for k, v in {**sci.MATH_WORDS, **sci.SCRIPT_WORDS}.items()}
 
 @query("SELECT id, regexp_replace(trim(" + "".join("replace(" for _ in _MATH) + "content" + "".join(f", '{k}', ' {v} ')" for k, v in _MATH.items()) + ", ' '), '  +', ' ', 'g') AS words FROM chunks WHERE content IS NOT NULL AND len(content) < 6000")
 def sci01_math_words(t):
+    return _math_words(t.chunks.where("content is not null and length(content) < 6000"))
+
+
+def _math_words(chunks):
     pairs = F.create_map(*[F.lit(x) for k, v in _MATH.items() for x in (k, f" {v} ")])
     folded = F.array_join(F.transform(F.split("content", ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "")
     some = F.when(F.col("content").rlike("[" + "".join(_MATH) + "]"), folded).otherwise(F.col("content"))  # most rows skip the fold
-    return t.chunks.where("content is not null and length(content) < 6000").select("id", F.regexp_replace(F.trim(some), "  +", " ").alias("words"))
+    return chunks.select("id", F.regexp_replace(F.trim(some), "  +", " ").alias("words"))
+
+
+@query(None)
+def sci01_all_math_words(t):
+    """``sci01_math_words`` of every chunk, however long."""
+    return _math_words(t.chunks.where("content is not null"))
 
 
 @query(None)
@@ -246,11 +256,21 @@ def sci11_unit_products(t):
 
 @query(r"SELECT id, array_to_string(list_distinct(regexp_extract_all(content, '\$\$[^$]+\$\$'))[1:10], '|') AS formulas, len(list_distinct(regexp_extract_all(content, '\$\$[^$]+\$\$'))) AS n FROM chunks WHERE contains(content, '$$') AND len(list_distinct(regexp_extract_all(content, '\$\$[^$]+\$\$'))) <= 1")
 def sci14_display_formulas(t):
+    return _display_formulas(t.chunks).where("n <= 1")
+
+
+def _display_formulas(chunks):
     found = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\$\$[^$]+\$\$)"), 1))
-    c = t.chunks.where(F.col("content").contains("$$")).select("id", found.alias("f")).where(F.size("f") <= 1)
+    c = chunks.where(F.col("content").contains("$$")).select("id", found.alias("f"))
     return c.select("id", F.array_join(F.slice("f", 1, 10), "|").alias("formulas"), F.size("f").alias("n"))
 
 
+@query(None)
+def sci14_all_display_formulas(t):
+    """The first ten different display formulas of every chunk in order of first occurrence, and how many there are."""
+    return _display_formulas(t.chunks)
+
+
 @query(r"SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(content, '\[\[([^\[\]|]+)(\|[^\[\]]*)?\]\]', 1), lambda x: trim(x, ' ')))), '|') AS links FROM chunks WHERE contains(content, '[[')")
 def sci15_wikilinks(t):
     found = F.transform(F.regexp_extract_all("content", F.lit(r"\[\[([^\[\]|]+)(\|[^\[\]]*)?\]\]"), 1), F.trim)
