@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -432,6 +433,26 @@ def symbols_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: [dict(zip(("kind", "name", "line", "signature"), r)) for r in code_symbols(x)] if x else [])
 
 
+def lines_at(text: str, offsets: list[int]) -> list[int]:
+    """The line (from 1) of each offset: line starts are found once, offsets by binary search."""
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    return [bisect_right(starts, o) for o in offsets]
+
+
+_PLACE = re.compile(r"(?m)(?P<heading>^#{1,6} +[^ \n])|(?P<formula>\$\$[^$]+\$\$)")
+
+
+def place_lines(text: str) -> list[tuple[str, int, int]]:
+    """(kind, offset, line) of every heading and display formula."""
+    found = [(m.lastgroup, m.start()) for m in _PLACE.finditer(text)]
+    return [(kind, o, n) for (kind, o), n in zip(found, lines_at(text, [o for _, o in found]))]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("line", T.IntegerType())])))
+def place_lines_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: [dict(zip(("kind", "offset", "line"), r)) for r in place_lines(x)] if x else [])
+
+
 @F.pandas_udf(T.StringType())
 def table_rows_udf(s: pd.Series) -> pd.Series:
     return s.map(couple_table_rows, na_action="ignore")

@@ -27,6 +27,12 @@ def src21_base_scan(t):
     return t.chunks.join(first, "kb_id", "left_semi").select("id", "content_hash", "start_line", "end_line")
 
 
+@query(None)
+def src21_all_bases(t):
+    """The scan of every base: the rows carry their base."""
+    return t.chunks.where("kb_id is not null").select("kb_id", "id", "content_hash", "start_line", "end_line")
+
+
 @query("SELECT id, name, status FROM knowledge_bases WHERE name LIKE '%robotics%'")
 def src22_lookup(t):
     return t.knowledge_bases.where(F.col("name").contains("robotics")).select("id", "name", "status")
@@ -156,6 +162,14 @@ def agg15_file_outline(t):
     return c.agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.array_join(F.transform(parts, lambda x: x["s"]), "|").alias("outline"))
 
 
+@query(None)
+def agg15_file_contents(t):
+    """The whole contents of each file's chunks, joined in order as in a context."""
+    c = t.chunks.where("file_path is not null and start_line is not null").groupBy("kb_id", "file_path")
+    parts = F.sort_array(F.collect_list(F.struct("start_line", "end_line", "id", "content")))
+    return c.agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.array_join(F.transform(parts, lambda x: x["content"]), "\n\n").alias("content"))
+
+
 @query("SELECT kb_id, class_name, count(*) AS chunks FROM chunks c JOIN knowledge_bases k ON k.id = c.kb_id GROUP BY ALL")
 def jn16_chunks_with_base(t):
     k = t.knowledge_bases.select(F.col("id").alias("kb_id"), "class_name")

@@ -207,6 +207,15 @@ def str24_line_at_offset(t):
     return t.chunks.where("content is not null").select("id", F.size(F.split(F.substring("content", 1, 500), "\n")).alias("line_at_500"))
 
 
+@query(None)
+def str24_lines_of_places(t):
+    """Offset and line of every heading and display formula of the whole text."""
+    from fathomgrid.functions.chunkers import place_lines_udf
+
+    c = t.chunks.where(F.col("content").contains("#") | F.col("content").contains("$$"))
+    return c.select("id", F.explode(place_lines_udf(F.col("content"))).alias("p")).select("id", "p.kind", "p.offset", "p.line")
+
+
 _MATH = {k: v for k, v in {**sci.MATH_WORDS, **sci.SCRIPT_WORDS}.items()}
 
 

@@ -30,3 +30,23 @@ def test_several_display_formulas_in_order(run):
     want = {k: list(dict.fromkeys(re.findall(r"\$\$[^$]+\$\$", t))) for k, t in texts.items() if "$$" in t}
     assert got == {k: ("|".join(f[:10]), len(f)) for k, f in want.items()}
     assert got["three"] == ("$$b$$|$$a$$|$$\nc\n$$", 3)
+
+
+def test_every_base_is_scanned(run):
+    rows = [(f"c{k}", ("kb-a", "kb-b", "kb-b", "kb-c")[k % 4], f"h{k}", k, k + 3) for k in range(40)]
+    got = run("src21_all_bases", [*rows, ("lost", None, "h", 1, 2)], "id string, kb_id string, content_hash string, start_line int, end_line int")
+    assert sorted(map(tuple, got.collect())) == sorted((kb, i, h, a, b) for i, kb, h, a, b in rows)
+
+
+def test_file_contents_are_whole(run):
+    text = "a part much longer than the twenty characters of the outline " * 200
+    rows = [("k", "f", "c2", 9, 12, "last"), ("k", "f", "c1", 1, 8, text), ("k", "f", "c3", 9, 10, "middle"), ("k", "f", "c4", 20, 21, None), ("k", "g", "c5", 5, 6, text), ("k", None, "c6", 1, 1, "x"), ("k", "f", "c7", None, 1, "y")]
+    got = run("agg15_file_contents", rows, "kb_id string, file_path string, id string, start_line int, end_line int, content string")
+    assert sorted(map(tuple, got.select("kb_id", "file_path", "first_line", "last_line", "content").collect())) == [("k", "f", 1, 21, f"{text}\n\nmiddle\n\nlast"), ("k", "g", 5, 6, text)]
+
+
+def test_lines_of_places_beyond_500_characters(run):
+    text = "intro\n" + "a line of text\n" * 200 + "## Heading # one\nx $$a\nb$$ y $$c$$\n#not\n" + "more\n\n" * 300 + "# Last $$z$$"
+    got = {(r["id"], r["kind"], r["offset"], r["line"]) for r in run("str24_lines_of_places", [("a", text), ("b", "# first"), ("c", None), ("d", "plain")], "id string, content string").collect()}
+    want = {("a", k, m.start(), text[: m.start()].count("\n") + 1) for k, p in (("heading", r"(?m)^#{1,6} +\S"), ("formula", r"\$\$[^$]+\$\$")) for m in re.finditer(p, text)} | {("b", "heading", 0, 1)}
+    assert got == want and len(want) == 6 and max(x[2] for x in want) > 3000
