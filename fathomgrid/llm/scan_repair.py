@@ -45,17 +45,31 @@ _NUMBER = r"(?:[-–—] ?\d{1,4} ?[-–—]|\[\d{1,4}\]|\(\d{1,4}\)|\d{1,4} \||
 _HEAD = r"(?:(?:Chapter|Chapitre|Kapitel|Capítulo|Section|Part)\.? \d{1,3}[.:]? [^\n]{1,80}|Proc\. [^\n]{1,60}|Vol\. [^\n]{1,60}|[^\W\d_][^\n.,;:!?]{0,40} (?:Handbook|Journal|Proceedings|Handbuch|Manuel|Manual) (?:of|de|der|du|des) [^\n.,;:!?]{1,40}|[^\n.,;:!?]{1,60} {1,3}[·•|] {1,3}[^\n.,;:!?]{1,60}|[^\Wa-zß-ÿ\d_][^a-zß-ÿ\n.,;:!?]{6,80})"
 _PAGE_LINE = re.compile(rf"^[ \t]*(?:{_NUMBER}|\d{{1,4}} {{2,}}{_HEAD}|{_HEAD} {{2,}}\d{{1,4}})[ \t]*$")
 _HEAD_LINE = re.compile(rf"^[ \t]*{_HEAD}[ \t]*$")
+#: A running header that needs no page number beside it: its whole line has the form of a title.
+_LONE = re.compile(r"^[ \t]*(?:(?:Chapter|Chapitre|Kapitel|Capítulo|Section|Part)\.? \d{1,3}[.:] [^\W\d_][^\n.,;:!?]{1,80}|(?:Proc|Vol)\. [^\n]{0,60}[\d)]|(?P<title>[^\W\d_][^\n.,;:!?]{0,40} (?:Handbook|Journal|Proceedings|Handbuch|Manuel|Manual) (?:of|de|der|du|des) [^\n.,;:!?]{1,40})|(?P<dot>[^\n.,;:!?]{1,60} {1,3}[·•|] {1,3}[^\n.,;:!?]{1,60})|(?P<caps>[^\W\d_][^\W_]*(?:[ \-]+[^\W_]+)+))[ \t]*$")
 _BREAK = re.compile(r"([^\W\d_]+)[-­‐]\n[ \t]*([^\W\d_]+)")
+_HYPHEN = re.compile(r"[^\W\d_][-­‐]$")
 _SOFT_END = re.compile(r"[.!?:;。！？][\"”»')\]]*$")
 _TOKEN = re.compile(r"[^\W_@]+(?:@[^\W_]*)*|@[^\W_]+")
 _ODD = re.compile(r"[^\W\d_][01@|][^\W\d_]")
 
 
-def page_lines(lines: list[str]) -> set[int]:
+def is_lone_header(line: str) -> bool:
+    """Whether a line is a running header by its form alone, without a page number in its block."""
+    m = _LONE.match(line)
+    if not m:
+        return False
+    if m["title"]:
+        return all(w[:1].isupper() or len(w) < 4 for w in line.split())
+    return line.isupper() if m["caps"] else True
+
+
+def page_lines(lines: list[str], lone: bool = True) -> set[int]:
     """Numbers of the lines that are page numbers or running headers between a text's lines.
 
-    A page line counts if it interrupts running text: the text before it doesn't end, or the text
-    after it goes on in lower case, in a text whose lines are broken by hand.
+    A block with a page number counts if it interrupts running text: the text before it doesn't end,
+    or the text after it goes on in lower case.  Headers without a number count (with ``lone``) if
+    the text before them doesn't end and the text after them goes on in lower case.
     """
     found: set[int] = set()
     flat = [k for k, x in enumerate(lines) if x.strip()]
@@ -79,6 +93,17 @@ def page_lines(lines: list[str]) -> set[int]:
         if numbered and (goes_on or at_edge or (len(block) > 1)):
             found.update(block)
         at = end
+    at = 1
+    while lone and at < len(flat) - 1:
+        end = at
+        while end < len(flat) and flat[end] not in found and not is_num[flat[end]] and is_lone_header(lines[flat[end]]):
+            end += 1
+        if at < end < len(flat):
+            before, after = lines[flat[at - 1]].rstrip(), lines[flat[end]].lstrip()
+            table = any("|" in lines[k] for k in flat[at:end]) and "|" in before + after
+            if after[:1].islower() and not _SOFT_END.search(before) and not table:
+                found.update(flat[at:end])
+        at = end + 1
     return found
 
 
@@ -92,7 +117,7 @@ def layout(text: str) -> tuple[str, int, list[tuple[str, str]], bool]:
     """(text without page lines and with broken words joined, page lines, broken words, wrapped)."""
     lines = text.split("\n")
     wrapped = is_wrapped(lines)
-    drop = page_lines(lines) if wrapped else set()
+    drop = page_lines(lines, lone=wrapped)
     if drop:
         out: list[str] = []
         skip = False
@@ -104,10 +129,13 @@ def layout(text: str) -> tuple[str, int, list[tuple[str, str]], bool]:
                 continue
             if skip and not x.strip():
                 continue
+            if skip and not wrapped and out and x.lstrip()[:1].islower() and not _HYPHEN.search(out[-1]):
+                out[-1] = f"{out[-1].rstrip()} {x.lstrip()}"  # wrapped texts are joined as a whole
+            else:
+                out.append(x)
             skip = False
-            out.append(x)
         text = "\n".join(out)
-    breaks = [(m[1], m[2]) for m in _BREAK.finditer(text) if m[2][:1].islower()] if wrapped else []
+    breaks = [(m[1], m[2]) for m in _BREAK.finditer(text) if m[2][:1].islower()]
     return text, len(drop), breaks, wrapped
 
 
@@ -235,7 +263,7 @@ def suspects(texts: DataFrame) -> DataFrame:
             if "\n" not in text and not _ODD.search(text):
                 continue
             flat, pages, breaks, wrapped = layout(text)
-            if not wrapped and not _ODD.search(text):
+            if not (wrapped or pages or breaks) and not _ODD.search(text):
                 continue
             if pages:
                 rows.append((doc, 0, 0, 0, pages))
@@ -296,9 +324,10 @@ def _recase(word: str, fix: str) -> str:
 def repaired_text(text: str, fixes: dict[str, str], hyphened: set[str] = frozenset()) -> str:
     """One noisy text as continuous paragraphs: ``fixes`` by lower-case word, ``hyphened`` the broken
     words that keep their hyphen."""
-    flat, _, _, wrapped = layout(text)
-    if wrapped:
+    flat, _, breaks, wrapped = layout(text)
+    if wrapped or breaks:
         flat = _BREAK.sub(lambda m: f"{m[1]}-{m[2]}" if f"{m[1]}-{m[2]}".lower() in hyphened or not m[2][:1].islower() else m[1] + m[2], flat)
+    if wrapped:
         flat = "\n\n".join(" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", flat))
     return _TOKEN.sub(lambda m: _recase(m.group(), fixes[m.group().lower()]) if m.group().lower() in fixes else m.group(), flat)
 

@@ -177,3 +177,23 @@ def test_residue_not_found(spark):
     d = spark.createDataFrame(list(enumerate(fine)), "doc_id long, text string").withColumn("kind", F.lit("x"))
     assert rs.residue_documents(d).collect() == []
     assert rs.without_residue(d).count() == len(fine)
+
+
+@pytest.mark.parametrize("header", ["STARIN  ·  optics", "Proc. Nofánax Soc. 20 (8)", "Chapter 3. Eager turbine without Bimond", "Flibork Handbook of Optics", "QUENCHED EXPORTER FOR SEPOM"])
+def test_lone_header_goes(header):
+    lines = ["The resonator was heated slowly in the morning and the", "graphs of the first session were kept until the others", header, "were drawn again by the same team in the second month of", "the year. Nothing else was changed."]
+    text, pages, _, _ = sr.layout("\n".join(lines))
+    assert pages == 1 and header not in text
+    assert header not in sr.repaired_text("\n".join(lines), {})
+
+
+@pytest.mark.parametrize("line", ["Journal of applied optics that the group", "Части машины лежали под столом и", "Chapter 3 of the book that they wrote", "Proc. of the spring meeting and was", "Vol. 3 of the same series which they"])
+def test_running_text_is_no_lone_header(line):
+    lines = ["The resonator was heated slowly in the morning and the", "graphs of the first session were kept in the long", line, "had been drawn again by the same team in the second month", "of the year. Nothing else was changed."]
+    assert sr.layout("\n".join(lines))[1] == 0
+
+
+def test_layout_noise_of_short_texts():
+    text, pages, breaks, wrapped = sr.layout("The membrane is weighed before the reso-\n- 12 -\nnator is heated.")
+    assert not wrapped and pages == 1 and breaks == [("reso", "nator")]
+    assert sr.repaired_text("The membrane is weighed before the reso-\n- 12 -\nnator is heated.", {}) == "The membrane is weighed before the resonator is heated."
