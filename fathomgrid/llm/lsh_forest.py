@@ -1,11 +1,10 @@
 """Problem 7: near-duplicate records with small edits (LSH forest).
 
 Each text's set of word shingles gives a class (texts of equal sets are one class, however many)
-and minhash symbols.  Every tree sorts the classes by another sequence of symbols; a range
-partitioning spreads the sorted order over tasks.  Classes with a long common prefix stand side by
-side: a run that shares ``BASE`` symbols is compared as it is, a run too large is parted at the next
-symbol, so the depth adapts to each region; a run that shares all symbols is compared whole, in
-blocks.  Comparison inside a run is by sketches; the pairs that pass are verified on their whole
+and minhash symbols.  Every tree sorts the classes by another sequence of symbols, and a run that
+shares ``BASE`` symbols comes into one task and is compared whole.  A run of more than ``BLOCK``
+classes is dealt out in blocks; every pair of blocks is a cell that any task may compare, so no
+pair of a dense region is left out and no task gets it all.  Comparison inside a run is by sketches; the pairs that pass are verified on their whole
 shingle sets.
 
 Defined results: null texts, and texts of fewer words than a shingle, belong to no pair; equal
@@ -28,8 +27,8 @@ from fathomgrid.llm.batches import map_texts
 from fathomgrid.llm.components import connected_components
 from fathomgrid.session import cut_lineage
 
-#: Trees, symbols of a label, symbols that a run shares at least, run size above which it is parted.
-TREES, SYMBOLS, BASE, RUN = 12, 6, 2, 200
+#: Trees, symbols of a tree, symbols that a run shares, classes compared at a time, classes of a block of a larger run.
+TREES, SYMBOLS, BASE, RUN, BLOCK = 12, 6, 2, 200, 500
 #: Bytes of a sketch: one of each of the first minhashes. A pair passes if its estimate isn't
 #: below the threshold by more than SLACK (four standard deviations at 0.5).
 SKETCH, SLACK = 64, 0.25
@@ -63,7 +62,7 @@ def _signatures(batch: pa.RecordBatch, shingle: int) -> pa.Table | None:
     for j, a in enumerate(_MULTIPLIERS):
         mins[:, j] = np.minimum.reduceat((x * a) ^ ((x * a) >> np.uint64(29)), starts)
     symbols = cpx.splitmix(mins)
-    labels = (symbols & np.uint64(0xFFFF)).astype(">u2")  # big-endian, so bytes sort as symbols
+    labels = (symbols & np.uint64(0xFFFF)).astype(">u2").reshape(n, TREES, SYMBOLS)[:, :, :BASE].reshape(n, -1)  # big-endian, so bytes sort as symbols
     sketch = (symbols[:, :SKETCH] >> np.uint64(20)).astype(np.uint8)
     fixed = lambda a, w: pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1, dtype=np.int32) * w).tobytes()), pa.py_buffer(np.ascontiguousarray(a).tobytes())])
     return pa.table({"id": batch.column("id").take(pa.array(rows)), "cls": pa.array(cls.view(np.int64)), "labels": fixed(labels, 2 * labels.shape[1]), "sketch": fixed(sketch, SKETCH)})
@@ -78,32 +77,39 @@ def _compare(cls: np.ndarray, sketch: np.ndarray, least: int, a: slice, b: slice
 
 
 def _run(cls: np.ndarray, label: np.ndarray, sketch: np.ndarray, depth: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of a run whose labels share ``depth`` symbols; parted deeper while too large."""
-    n = len(cls)
-    if n < 2:
-        return
-    if n > RUN and depth < label.shape[1]:
-        edges = np.flatnonzero(label[1:, depth] != label[:-1, depth]) + 1
-        for lo, hi in zip([0, *edges], [*edges, n]):
-            yield from _run(cls[lo:hi], label[lo:hi], sketch[lo:hi], depth + 1, least)
-        return
-    step = RUN
-    for i in range(0, n, step):
-        for j in range(i, n, step):
-            yield _compare(cls, sketch, least, slice(i, min(n, i + step)), slice(j, min(n, j + step)))
+    """Candidate pairs of each run of the sorted labels that shares ``depth`` symbols, compared whole in blocks."""
+    edges = np.flatnonzero((label[1:, :depth] != label[:-1, :depth]).any(axis=1)) + 1
+    bounds = np.concatenate(([0], edges, [len(cls)]))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if hi - lo < 2:
+            continue
+        for i in range(lo, hi, RUN):
+            for j in range(i, hi, RUN):
+                yield _compare(cls, sketch, least, slice(i, min(hi, i + RUN)), slice(j, min(hi, j + RUN)))
+
+
+def _across(cls: np.ndarray, sketch: np.ndarray, side: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of one block of a large run with another."""
+    cut = int(np.searchsorted(side, 1))
+    for i in range(0, cut, RUN):
+        for j in range(cut, len(cls), RUN):
+            yield _compare(cls, sketch, least, slice(i, min(cut, i + RUN)), slice(j, min(len(cls), j + RUN)))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of rows sorted by (cell, side, label): side -1 is compared within its runs, 0 with 1."""
     held: list[tuple] = []
 
     def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        cls, label, sketch = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        edges = np.flatnonzero((label[1:, :BASE] != label[:-1, :BASE]).any(axis=1)) + 1
-        size = np.diff(np.concatenate(([0], edges, [len(cls)])))
-        first = np.concatenate(([0], edges))
+        cell, side, label, cls, sketch = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        edges = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+        bounds = np.concatenate(([0], edges, [len(cls)]))
         xs, ys = [], []
-        for lo, m in zip(first[size > 1].tolist(), size[size > 1].tolist()):
-            for x, y in _run(cls[lo : lo + m], label[lo : lo + m], sketch[lo : lo + m], BASE, least):
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if hi - lo < 2:
+                continue
+            c, k = cls[lo:hi], sketch[lo:hi]
+            for x, y in _across(c, k, side[lo:hi], least) if side[lo] >= 0 else _run(c, label[lo:hi], k, BASE, least):
                 if len(x):
                     xs.append(x)
                     ys.append(y)
@@ -112,29 +118,20 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["x", "y"])
 
-    tree = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = batch.column("tree").to_numpy()
-        cls = batch.column("cls").to_numpy()
-        label = np.frombuffer(b"".join(batch.column("label").to_pylist()), dtype=">u2").reshape(len(cls), -1).astype(np.uint16)
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(cls), SKETCH)
-        edges = np.flatnonzero(t[1:] != t[:-1]) + 1
-        for lo, hi in zip([0, *edges], [*edges, len(t)]):
-            part = (cls[lo:hi], label[lo:hi], sketch[lo:hi])
-            if t[lo] != tree and held:
-                yield from emit(held)
-                held = []
-            tree = t[lo]
-            # hold back the last base run: it may go on in the next batch
-            same = (part[1][:, :BASE] == part[1][-1, :BASE]).all(axis=1)
-            tail = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if tail:
-                yield from emit([*held, tuple(p[:tail] for p in part)])
-                held = [tuple(p[tail:] for p in part)]
-            else:
-                held.append(part)
+        n = batch.num_rows
+        label = np.frombuffer(b"".join(batch.column("label").to_pylist()), dtype=">u2").reshape(n, -1).astype(np.uint16)
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, SKETCH)
+        part = (batch.column("cell").to_numpy(), batch.column("side").to_numpy(), label, batch.column("cls").to_numpy(), sketch)
+        # hold back the last cell: it may go on in the next batch
+        first = int(np.searchsorted(part[0], part[0][-1]))
+        if first or (held and held[-1][0][-1] != part[0][-1]):
+            yield from emit([*held, tuple(p[:first] for p in part)])
+            held = [tuple(p[first:] for p in part)]
+        else:
+            held.append(part)
     if held:
         yield from emit(held)
 
@@ -145,16 +142,25 @@ def signatures(records: DataFrame, key: str, text: str, shingle: int) -> DataFra
     return cut_lineage(map_texts(rows, "text", lambda b: _signatures(b, shingle), "id string, cls long, labels binary, sketch binary"))
 
 
-def class_pairs(records: DataFrame, key: str, text: str, threshold: float, shingle: int, sigs: DataFrame | None = None) -> DataFrame:
+def class_pairs(records: DataFrame, key: str, text: str, threshold: float, shingle: int, sigs: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(x, y, similarity): verified pairs of classes, x < y."""
     sigs = signatures(records, key, text, shingle) if sigs is None else sigs
     classes = sigs.groupBy("cls").agg(F.min("id").alias("rep"), F.min(F.struct("labels", "sketch")).alias("s"))
-    width = 2 * SYMBOLS
+    width = 2 * BASE
     label = F.expr(f"substring(s.labels, tree * {width} + 1, {width})")
     trees = classes.select("cls", F.col("s.sketch").alias("sketch"), "s", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", label.alias("label"), "cls", "sketch")
+    # A large run is dealt out in blocks, each compared with itself and every other in a cell of its own.
+    # Large runs are at most TREES * classes / BLOCK rows.
+    large = trees.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("tree", "label", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = trees.join(F.broadcast(large), ["tree", "label"], "left").withColumn("own", own).withColumn("other", other)
+    cell = F.xxhash64("tree", "label", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own").isNull() | (F.col("own") == F.col("other")), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    cells = dealt.select(cell.alias("cell"), side.cast("int").alias("side"), "label", "cls", "sketch")
     # Estimates carry chance matches of one byte: 1/256 of the unequal symbols.
     least = int(np.floor((max(0.0, threshold - SLACK)) * SKETCH))
-    ordered = trees.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label", "cls")
+    ordered = cells.repartition("cell").sortWithinPartitions("cell", "side", "label", "cls")
     cand = cut_lineage(ordered.mapInArrow(lambda it: _candidates(it, least), "x long, y long").distinct())
     # Whole shingle sets of the classes that occur in a candidate, from their representatives.
     involved = cand.select(F.explode(F.array("x", "y")).alias("cls")).distinct()

@@ -69,6 +69,27 @@ def test_run_over_the_limit_loses_nothing():
     assert len(pairs) == n * (n - 1) // 2
 
 
+def test_dense_cluster_against_brute_force(spark):
+    """1,200 edited copies of one text: most pairs stand near the threshold, runs are far over the block size."""
+    rng = np.random.default_rng(8)
+    n, size = 1200, 40
+    ids, words = np.arange(n), np.tile(np.arange(size), (n, 1))
+    for i in range(n):
+        for k in rng.choice(size, int(rng.integers(1, 5)), replace=False):
+            words[i, k] = 1000 + rng.integers(0, 100000)
+    rows = [(f"v{i:04d}", " ".join(f"w{w}" for w in words[i])) for i in ids]
+    grams = [[tuple(x[k : k + 3]) for k in range(size - 2)] for x in words.tolist()]
+    number = {g: k for k, g in enumerate({g for x in grams for g in x})}
+    has = np.zeros((n, len(number)), dtype=np.float32)
+    for i, x in enumerate(grams):
+        has[i, [number[g] for g in x]] = 1
+    shared, total = has @ has.T, has.sum(axis=1)
+    alike = np.triu(2 * shared >= total[:, None] + total[None, :] - shared, 1)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(alike))}
+    got = {tuple(r) for r in lf.similar_pairs(spark.createDataFrame(rows, "id string, content string"), "id", "content", 0.5, 3).collect()}
+    assert len(want) > 100_000 and got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_groups(spark):
     rows = [("a", "p q r s t u v w x y"), ("b", "p q r s t u v w x y"), ("c", "p q r s t u v w x z"), ("d", "other words that are far from all else here")]
     got = {r["id"]: (r["class_id"], r["group_id"], r["links"]) for r in lf.similar_groups(spark.createDataFrame(rows, "id string, content string"), "id", "content", 0.6, 3).collect()}
