@@ -1,14 +1,14 @@
 """Problem 1: one ranking from several differently-scaled scores (ideal-point ranking).
 
-Per query and leg the scores are winsorised at two quantiles, moved to the lower bound and
-vector-normalised.  A row's closeness is d-/(d+ + d-) from its weighted Euclidean distances to the
+Per query and leg the scores are winsorised at two quantiles (of many rows the upper one lies higher,
+so that it cuts off some rows and not a share), moved to the lower bound and vector-normalised.  A row's closeness is d-/(d+ + d-) from its weighted Euclidean distances to the
 ideal point (best value on every leg) and the anti-ideal point (no evidence on any leg).
 
 Defined results: the row with the latest ``seen_at`` holds for a query, chunk and leg (of equal
 times, and of null times, the higher score); a null score or NaN is no evidence, as is a leg that
 didn't return the chunk; rows with a null query, chunk or leg, or an unknown leg, don't count;
-repeated rows count once; a leg with one distinct value decides nothing; ties are broken by chunk
-id.  Extra columns are ignored, an empty table gives an empty result.
+repeated rows count once; a leg with one distinct value decides nothing; ties are broken by what
+the bounds cut off (bounded per leg, so that no leg decides), then by chunk id.  Extra columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +22,21 @@ from pyspark.sql import functions as F
 LEGS: Mapping[str, float] = {"bm25": 1.0, "vector": 1.0, "fusion": 1.0, "adjusted": 1.0}
 
 
+#: Rows of a leg above the upper bound: at most twice as many, where the quantile alone would cut off more.
+ABOVE = 10
+_HALVINGS = 30
+
+
 def _leg_stats(wide: DataFrame, legs: list[str], low: float, high: float, accuracy: int) -> DataFrame:
     """Winsor bounds of each leg in one mergeable aggregate: partial on the map side, so a query
     that holds a third of all rows costs its reducer only sketches."""
     exprs: list[Column] = []
     for leg in legs:
-        q = F.percentile_approx(F.col(leg), F.array(F.lit(low), F.lit(high)), accuracy)
-        exprs.append(q.alias(f"q_{leg}"))
+        # The upper share is halved as long as ABOVE rows are left over it.
+        shares = [high, *(1 - (1 - high) / 2**j for j in range(1, _HALVINGS + 1))]
+        q = F.percentile_approx(F.col(leg), F.array(F.lit(low), *map(F.lit, shares)), accuracy)
+        at = F.greatest(F.lit(0), F.least(F.lit(_HALVINGS), F.floor(F.log2(F.greatest(F.count(leg) * (1 - high) / ABOVE, F.lit(1.0)))).cast("int")))
+        exprs.append(F.array(q[0], F.get(q, at + 1)).alias(f"q_{leg}"))
     return wide.groupBy("query_id").agg(*exprs)
 
 
@@ -40,7 +48,7 @@ def ideal_point_scores(
     accuracy: int = 10000,
     salts: int = 16,
 ) -> DataFrame:
-    """(query_id, chunk_id, closeness, one normalised column per leg) for every hit."""
+    """(query_id, chunk_id, closeness, over, one normalised column per leg) for every hit."""
     legs = sorted(weights)
     clean = (
         hits.select("query_id", "chunk_id", "leg", F.nanvl(F.col("score").cast("double"), F.lit(None)).alias("score"), "seen_at")
@@ -57,12 +65,19 @@ def ideal_point_scores(
     salted = wide.withColumn("_salt", salt)
     bounds = _leg_stats(wide, legs, low, high, accuracy).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = salted.join(bounds, ["query_id", "_salt"])
+
+    def over(leg: str) -> Column:
+        """What the upper bound cuts off, between 0 and 1."""
+        span, cut = F.col(f"q_{leg}")[1] - F.col(f"q_{leg}")[0], F.greatest(F.col(leg) - F.col(f"q_{leg}")[1], F.lit(0.0))
+        return F.when((span > 0) & F.col(leg).isNotNull(), 1 - span / (cut + span)).otherwise(0.0)
+
     shifted = joined.select(
         "query_id", "chunk_id", "_salt",
         *[
             F.coalesce(F.least(F.greatest(F.col(leg), F.col(f"q_{leg}")[0]), F.col(f"q_{leg}")[1]) - F.col(f"q_{leg}")[0], F.lit(0.0)).alias(leg)
             for leg in legs
         ],
+        sum((F.lit(weights[leg]) * over(leg) for leg in legs), F.lit(0.0)).alias("over"),
     )
     norms = shifted.groupBy("query_id").agg(
         *[F.sqrt(F.sum(F.col(leg) * F.col(leg))).alias(f"n_{leg}") for leg in legs],
@@ -77,6 +92,7 @@ def ideal_point_scores(
         "query_id", "chunk_id",
         to_ideal.alias("d_ideal"), to_anti.alias("d_anti"),
         F.when(to_ideal + to_anti > 0, to_anti / (to_ideal + to_anti)).otherwise(0.0).alias("closeness"),
+        "over",
         *[unit(F.col(leg), leg).alias(f"v_{leg}") for leg in legs],
     )
 
@@ -87,6 +103,6 @@ def ideal_point_ranking(hits: DataFrame, top: int | None = None, **options) -> D
     The row_number filter becomes a group limit before the shuffle, so a hot query sends ``top``
     rows per partition to its reducer.
     """
-    w = Window.partitionBy("query_id").orderBy(F.col("closeness").desc(), F.col("chunk_id"))
+    w = Window.partitionBy("query_id").orderBy(F.col("closeness").desc(), F.col("over").desc(), F.col("chunk_id"))
     ranked = ideal_point_scores(hits, **options).withColumn("position", F.row_number().over(w))
     return ranked if top is None else ranked.where(F.col("position") <= top)

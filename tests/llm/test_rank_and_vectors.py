@@ -56,6 +56,21 @@ def test_no_leg_decides_alone(spark):
     assert "c0" not in top
 
 
+def test_query_of_many_chunks(spark):
+    """Ten chunks lead on every leg before hundreds that are also in the best 15 %."""
+    rng = np.random.default_rng(4)
+    level = lambda c: 20 if c >= 2990 else 5 if c < 600 else 0
+    rows = [(1, f"c{c:04d}", leg, (level(c) + float(rng.random())) * scale) for c in range(3000) for leg, scale in (("bm25", 1000), ("vector", 0.01), ("fusion", 1), ("adjusted", 5))]
+    top = {r["chunk_id"] for r in rf.ideal_point_ranking(hits(spark, rows), top=10).collect()}
+    assert top == {f"c{c}" for c in range(2990, 3000)}
+
+
+def test_ties_of_clipped_rows(spark):
+    rows = [(1, f"c{c:02d}", leg, float(c)) for c in range(40) for leg in ("bm25", "vector")]
+    got = rf.ideal_point_ranking(hits(spark, rows), top=3).orderBy("position").collect()
+    assert [r["chunk_id"] for r in got] == ["c39", "c38", "c37"]
+
+
 def test_edges(spark):
     assert rf.ideal_point_ranking(hits(spark, [])).collect() == []
     rows = [(1, "a", "bm25", 1.0), (1, "a", "bm25", 1.0), (1, "b", "bm25", 1.0), (1, None, "bm25", 2.0), (None, "a", "bm25", 2.0), (1, "c", "other", 5.0), (1, "d", "vector", None), (2, "x", "vector", float("nan"))]
