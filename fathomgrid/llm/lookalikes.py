@@ -314,3 +314,10 @@ def lookalike_records(chunks: DataFrame, formulas: DataFrame) -> DataFrame:
     c = canonical_form(chunks, "id", "content", emit_text=False).select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"))
     f = canonical_form(formulas, "id", "normalized", formula=True, emit_text=False).select(F.lit("formula").alias("record_kind"), F.col("id").alias("record_id"))
     return c.unionByName(f).distinct()
+
+
+def canonical_records(chunks: DataFrame, formulas: DataFrame) -> DataFrame:
+    """(record_kind, record_id, canonical, is_case) of every chunk content and normalised formula; repeated rows count once."""
+    kind = lambda name, df: df.select(F.lit(name).alias("record_kind"), F.col("id").alias("record_id"), "canonical", "is_case")
+    f = canonical_form(formulas.select("id", "normalized").distinct(), "id", "normalized", formula=True)
+    return kind("chunk", canonical_form(chunks, "id", "content")).unionByName(kind("formula", f))

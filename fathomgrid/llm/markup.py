@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomgrid.functions.science import pre_tokenize
 from fathomgrid.llm import codepoints as cpx
 from fathomgrid.llm.batches import map_texts
 from fathomgrid.session import cut_lineage
@@ -351,20 +352,23 @@ def remove_boilerplate(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages
 
 
 def clean_chunks(chunks: DataFrame, **options) -> DataFrame:
-    """(chunk_id, content, n_pieces, removed) of every chunk with markup, clean and without boilerplate."""
+    """(chunk_id, content, content_tokenized, n_pieces, removed) of every chunk with markup or boilerplate, clean of both.
 
-    def fn(batch: pa.RecordBatch) -> pa.Table | None:
-        rows = []
-        for cid, kb, text in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "kb_id", "content"))):
-            n = sum(pieces(text).values())
-            if n:
-                rows.append((cid, kb, clean_text(text), n))
-        if not rows:
-            return None
-        a, b, c, d = zip(*rows)
-        return pa.table({"page_id": pa.array(a, pa.string()), "host": pa.array(b, pa.string()), "text": pa.array(c), "n_pieces": pa.array(d, pa.int32())})
+    Boilerplate is counted over all pages of a host, those without markup too."""
+
+    def fn(batch: pa.RecordBatch) -> pa.Table:
+        texts = batch.column("content").to_pylist()
+        n = [sum(pieces(t).values()) if m else 0 for t, m in zip(texts, batch.column("marked").to_pylist())]
+        text = [clean_text(t) if k else t for t, k in zip(texts, n)]
+        return pa.table({"page_id": batch.column("chunk_id"), "host": batch.column("kb_id"), "text": pa.array(text, pa.string()), "n_pieces": pa.array(n, pa.int32())})
+
+    def tokenized(batch: pa.RecordBatch) -> pa.Table:
+        stream = pa.array([pre_tokenize(t) for t in batch.column("content").to_pylist()], pa.string())
+        return pa.table({"chunk_id": batch.column("chunk_id"), "content": batch.column("content"), "content_tokenized": stream, "n_pieces": batch.column("n_pieces"), "removed": batch.column("removed")})
 
-    some = chunks.select(F.col("id").alias("chunk_id"), F.coalesce("kb_id", F.lit("")).alias("kb_id"), "content").where(F.col("content").rlike(_ANY))
-    clean = cut_lineage(map_texts(some, "content", fn, "page_id string, host string, text string, n_pieces int"))
+    every = chunks.where(F.col("content").isNotNull()).select(F.col("id").alias("chunk_id"), F.coalesce("kb_id", F.lit("")).alias("kb_id"), "content", F.col("content").rlike(_ANY).alias("marked"))
+    clean = cut_lineage(map_texts(every, "content", fn, "page_id string, host string, text string, n_pieces int"))
     unique = remove_boilerplate(clean, **options)
-    return clean.select("page_id", "n_pieces").join(unique, "page_id").select(F.col("page_id").alias("chunk_id"), F.col("text").alias("content"), "n_pieces", "removed")
+    changed = clean.select("page_id", "n_pieces").join(unique, "page_id").where((F.col("n_pieces") > 0) | (F.col("removed") > 0))
+    out = changed.select(F.col("page_id").alias("chunk_id"), F.col("text").alias("content"), "n_pieces", "removed")
+    return map_texts(out, "content", tokenized, "chunk_id string, content string, content_tokenized string, n_pieces int, removed int")

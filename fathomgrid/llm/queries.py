@@ -53,7 +53,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.canonical_form(table(spark, d, "chunks"), "id", "content")
+    return lookalikes.canonical_records(table(spark, d, "chunks"), table(spark, d, "formulas"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

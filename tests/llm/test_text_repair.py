@@ -46,6 +46,15 @@ def test_canonical_form_column(spark):
     assert [tuple(r) for r in la.lookalike_records(d, f).collect()] == [("chunk", "a")]
 
 
+def test_canonical_records_hold_formulas(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([("c", "ｆull width"), ("n", None)], "id string, content string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([("f", "е = m c pow2"), ("f", "е = m c pow2"), ("g", "alpha x")], "id string, normalized string").write.parquet(str(tmp_path / "formulas.parquet"))
+    got = sorted(map(tuple, entry.queries()["p6_canonical"](spark, str(tmp_path)).select("record_kind", "record_id", "canonical", "is_case").collect()))
+    assert got == [("chunk", "c", "full width", True), ("chunk", "n", None, False), ("formula", "f", "e = m c pow2", True), ("formula", "g", "alpha x", False)]
+
+
 @pytest.mark.parametrize("text", ["<b>x</b>", "a &nbsp;b", "## Head", "see [[Page|p]]", "**bold** word", "an _em._ end", "[x](y.md)", "== H ==", "'''b'''", "\\section{x}", "where $x_2$ is", "```\ncode\n```", "&lt;b&gt;", "x<ref>y</ref>"])
 def test_markup_found(text):
     assert mk.pieces(text)
@@ -91,6 +100,17 @@ def test_boilerplate_goes_and_unique_stays(spark):
         assert got["q"] == (nav, 0) and got["copy"] == (nav, 0) and got["e"] == ("", 0)
 
 
+def test_boilerplate_of_plain_pages_goes(spark):
+    from fathomgrid.functions.science import pre_tokenize
+
+    foot = "read this notice about the use of the shared laboratory rooms before you enter them"
+    rows = [(f"p{k}", "kb", f"page{k} tells of matter {k}\n{foot}") for k in range(6)] + [("m", "kb", f"<p>some <b>marked</b> text</p>\n{foot}"), ("x", "kb", "a page of its own"), ("o", "other", foot), ("n", "kb", None)]
+    got = {r["chunk_id"]: r for r in mk.clean_chunks(spark.createDataFrame(rows, "id string, kb_id string, content string")).collect()}
+    assert set(got) == {"m", *(f"p{k}" for k in range(6))}
+    assert all("notice" not in r["content"] and r["removed"] == 15 and r["content_tokenized"] == pre_tokenize(r["content"]) for r in got.values())
+    assert "marked" in got["m"]["content"] and got["m"]["n_pieces"] > 0 and got["p3"]["content"].startswith("page3 tells of matter 3")
+
+
 def test_markup_queries_edges(spark):
     d = spark.createDataFrame([("a", "k", "<p>x</p>"), ("b", None, None), ("c", "k", ""), ("d", None, "**b** c")], "id string, kb_id string, content string")
     assert sorted(r["chunk_id"] for r in mk.markup_chunks(d).collect()) == ["a", "d"]
