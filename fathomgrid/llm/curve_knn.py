@@ -3,9 +3,11 @@
 Vectors are normalised, put into 16-bit fixed point and projected; each of several curves takes
 other random directions and another shift and gives a Hilbert key.  The rows are range-partitioned
 by (curve, collection, key), so a collection that holds a third of all rows is spread over many
-tasks; in each task consecutive blocks are compared with themselves and the blocks beside them by
-matrix products, and the k best of each curve are merged and ranked again by cosine.  The work is
-linear in the number of vectors; a collection of at most one block is compared exactly.
+tasks.  A task takes its rows in stretches of bounded size and orders each stretch along further
+curves: neighbouring key windows of every order are compared by matrix products.  The k best of
+each curve are merged and ranked again by cosine.  A curve over all rows costs a shuffle, an order
+within a stretch costs none.  The work is linear in the number of vectors; a stretch of at most
+four blocks is compared exactly.
 
 Defined results: a vector is usable if it is as long as its collection's dimension, holds no null
 or NaN and isn't zero; of repeated rows of a chunk the latest counts (of equal times, the larger
@@ -16,6 +18,7 @@ stages.  Cosines carry the fixed point's error, about 3e-6.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Curves, rows of a block, projected dimensions and bits of each in a Hilbert key.
-CURVES, BLOCK, PROJECTED, BITS = 4, 1024, 12, 4
+#: Curves that order all rows, orders within a stretch of each, rows of a block, projected dimensions and bits of each in a Hilbert key.
+CURVES, ORDERS, BLOCK, PROJECTED, BITS = 3, 5, 512, 12, 4
+#: Numbers (rows times dimension) of a stretch: what a task holds at a time, 8 MB.
+STRETCH = 1 << 21
+#: Stands for no neighbour; below every cosine.
+NONE = np.float32(-4)
 #: Collections whose table is broadcast (48 in the data); beyond, the join shuffles.
 BROADCAST_BASES = 50_000
 _ONE = 32767.0
@@ -63,6 +70,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+@functools.lru_cache(maxsize=256)
 def _directions(dim: int, curve: int, projected: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([7, dim, curve])
     m = min(projected, dim)
@@ -70,11 +78,11 @@ def _directions(dim: int, curve: int, projected: int) -> tuple[np.ndarray, np.nd
     return a.astype(np.float32) * np.float32(np.sqrt(dim)), rng.random(m).astype(np.float32)
 
 
-def curve_keys(unit: np.ndarray, curves: int, projected: int = PROJECTED, bits: int = BITS) -> np.ndarray:
+def curve_keys(unit: np.ndarray, curves: int, projected: int = PROJECTED, bits: int = BITS, first: int = 0) -> np.ndarray:
     """(n, curves) Hilbert keys: coordinates within 4 standard deviations, shifted by up to one unit cube."""
     out = np.empty((len(unit), curves), dtype=np.int64)
     for c in range(curves):
-        a, shift = _directions(unit.shape[1], c, projected)
+        a, shift = _directions(unit.shape[1], first + c, projected)
         u = np.clip((unit @ a) / 8.0 + 0.5, 0.0, 1.0 - 1e-6) + shift
         out[:, c] = hilbert_keys((u * (1 << (bits - 1))).astype(np.int64), bits)
     return out
@@ -116,44 +124,69 @@ def usable_vectors(vectors: DataFrame, bases: DataFrame, curves: int = CURVES) -
     return latest.select(F.xxhash64("kb_id").alias("kb"), F.xxhash64("kb_id", "chunk_id").alias("id"), "kb_id", "chunk_id", "m.vec", "m.keys")
 
 
-def _best(cur: tuple, others: list[tuple], k: int) -> pa.RecordBatch:
-    """The k nearest of every row of a block among the rows of the given blocks."""
-    ids = np.concatenate([o[0] for o in others])
-    sim = cur[1] @ np.concatenate([o[1] for o in others]).T
-    sim[cur[0][:, None] == ids[None, :]] = -np.inf if len(ids) <= 64 else sim.dtype.type(-4)
-    m = min(k, len(ids))
-    top = np.argpartition(-sim, m - 1, axis=1)[:, :m] if len(ids) > m else np.tile(np.arange(len(ids)), (len(cur[0]), 1))
-    value = np.take_along_axis(sim, top, axis=1)
-    ok = value > -1.5
-    off = np.concatenate(([0], np.cumsum(ok.sum(axis=1)))).astype(np.int32)
-    entries = pa.StructArray.from_arrays([pa.array(value[ok].astype(np.float32)), pa.array(ids[top][ok])], names=["c", "n"])
-    return pa.RecordBatch.from_arrays([pa.array(cur[0]), pa.ListArray.from_arrays(pa.array(off), entries)], names=["id", "near"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch], k: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows in blocks; each block against itself and its neighbours within curve and collection."""
-    pend_key, ids, vecs, count = None, [], [], 0
-    before: tuple | None = None  # the block before the waiting one
-    wait: tuple | None = None
-
-    def push(done: tuple | None) -> Iterator[pa.RecordBatch]:
-        nonlocal before, wait
-        if wait is not None:
-            yield _best(wait, [x for x in (before, wait, done) if x is not None], k)
-        before, wait = wait, done
-
-    def cut(n: int) -> tuple:
-        nonlocal ids, vecs, count
-        i, v = np.concatenate(ids), np.concatenate(vecs)
-        ids, vecs, count = [i[n:]], [v[n:]], len(i) - n
-        return i[:n], v[:n]
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal before, wait, ids, vecs, count
-        if count:
-            yield from push(cut(count))
-        yield from push(None)
-        before, wait, ids, vecs, count = None, None, [], [], 0
+def _merge(value: np.ndarray, who: np.ndarray, row: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+    """Put the candidates (row, v, w) into the k best of their rows, in place; a neighbour counts once."""
+    k = value.shape[1]
+    rows, at = np.unique(row, return_inverse=True)
+    r = np.concatenate([np.repeat(np.arange(len(rows)), k), at])
+    v, w = np.concatenate([value[rows].ravel(), v]), np.concatenate([who[rows].ravel(), w])
+    order = np.lexsort((w, -v, r))
+    r, v, w = r[order], v[order], w[order]
+    twice = np.lexsort((np.arange(len(r)), w, r))
+    keep = np.ones(len(r), dtype=bool)
+    keep[twice[1:]] = (r[twice][1:] != r[twice][:-1]) | (w[twice][1:] != w[twice][:-1])
+    keep |= v <= NONE
+    r, v, w = r[keep], v[keep], w[keep]
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    first = nth < k
+    value[rows[r[first]], nth[first]] = v[first]
+    who[rows[r[first]], nth[first]] = w[first]
+
+
+def _near(ids: np.ndarray, vecs: np.ndarray, k: int, block: int, curve: int, orders: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cosines, ids) of the k nearest found of every row of a stretch of one curve, best first.
+
+    A stretch of at most four blocks is compared whole.  A longer one is ordered anew along ``orders``
+    curves, the first of which is the order it came in; the blocks of each order are compared with
+    themselves and the blocks beside them."""
+    n = len(ids)
+    value, who = np.full((n, k), NONE, dtype=np.float32), np.zeros((n, k), dtype=np.int64)
+    whole = n <= 4 * block
+    for o in range(1 if whole else orders):
+        order = np.arange(n) if o == 0 else np.argsort(curve_keys(vecs, 1, first=(curve + 1) * 1000 + o)[:, 0], kind="stable")
+        x, name = vecs[order], ids[order]
+        for lo in range(0, n, block):
+            hi = min(n, lo + block)
+            a, b = (0, n) if whole else (max(0, lo - block), min(n, hi + block))
+            sim = x[lo:hi] @ x[a:b].T
+            sim[name[lo:hi, None] == name[None, a:b]] = NONE
+            at = order[lo:hi]
+            floor = value[at, -1]
+            if o == 0 and b - a > k:  # the first look at a row: all but the k best fall away at once
+                floor = np.maximum(floor, np.partition(sim, b - a - k, axis=1)[:, b - a - k] - np.float32(1e-7))
+            i, j = np.nonzero(sim > floor[:, None])
+            if len(i):
+                _merge(value, who, at[i], sim[i, j], name[a + j])
+    return value, who
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], k: int, block: int, orders: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in stretches of one curve and collection of bounded size, each searched by itself.
+
+    A stretch begins with the last block of the one before, so that no window is lost between them."""
+    pend_key, ids, vecs, fresh = None, [], [], 0
+
+    def flush(tail: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal ids, vecs, fresh
+        if fresh:
+            i, v = np.concatenate(ids), np.concatenate(vecs)
+            value, who = _near(i, v, k, block, int(pend_key[0]), orders)
+            ok = value > NONE
+            off = np.concatenate(([0], np.cumsum(ok.sum(axis=1)))).astype(np.int32)
+            entries = pa.StructArray.from_arrays([pa.array(value[ok]), pa.array(who[ok])], names=["c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.ListArray.from_arrays(pa.array(off), entries)], names=["id", "near"])
+            ids, vecs = ([i[-block:]], [v[-block:]]) if tail else ([], [])
+        fresh = 0
 
     for batch in batches:
         if not batch.num_rows:
@@ -163,28 +196,27 @@ def _windows(batches: Iterator[pa.RecordBatch], k: int, block: int) -> Iterator[
         for lo, hi in zip([0, *edges], [*edges, len(group)]):
             key = tuple(group[lo])
             if key != pend_key:
-                yield from flush()
-                pend_key = key
+                yield from flush(False)
+                pend_key, ids, vecs = key, [], []
             part = batch.slice(lo, hi - lo)
-            col = part.column("vec")
-            raw = np.frombuffer(b"".join(col.to_pylist()), dtype="<i2").reshape(hi - lo, -1)
+            raw = np.frombuffer(b"".join(part.column("vec").to_pylist()), dtype="<i2").reshape(hi - lo, -1)
             scale = np.ascontiguousarray(raw[:, :2]).view("<f4")
             ids.append(part.column("id").to_numpy())
             vecs.append(raw[:, 2:] * (scale / np.float32(_ONE)))
-            count += hi - lo
-            while count >= 2 * block:
-                yield from push(cut(block))
-    yield from flush()
+            fresh += hi - lo
+            if fresh >= max(8 * block, STRETCH // (raw.shape[1] - 2)):
+                yield from flush(True)
+    yield from flush(False)
 
 
-def nearest(vectors: DataFrame, bases: DataFrame, k: int = 5, curves: int = CURVES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def nearest(vectors: DataFrame, bases: DataFrame, k: int = 5, curves: int = CURVES, block: int = BLOCK, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
     """(id, near: the k nearest ids, best first) and the id table (id, kb_id, chunk_id)."""
     rows = usable_vectors(vectors, bases, curves)
     names = rows.select("id", "kb_id", "chunk_id")
     keyed = rows.select("kb", "id", "vec", F.posexplode("keys").alias("curve", "key"))
     placed = keyed.repartitionByRange("curve", "kb", "key").sortWithinPartitions("curve", "kb", "key", "id")
-    found = placed.mapInArrow(lambda it: _windows(it, k, block), "id long, near array<struct<c:float,n:long>>")
-    merged = found.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("all"))  # at most curves * k entries
+    found = placed.mapInArrow(lambda it: _stretches(it, k, block, orders), "id long, near array<struct<c:float,n:long>>")
+    merged = found.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("all"))  # k entries a curve, k more where stretches overlap
     best = F.slice(F.array_distinct(F.transform(F.sort_array("all", asc=False), lambda x: x["n"])), 1, k)
     return merged.select("id", best.alias("near")), names
 

@@ -114,6 +114,26 @@ def test_recall_against_brute_force(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(got)
 
 
+def test_recall_of_one_large_collection(spark):
+    """40,000 vectors in one collection, far over a stretch; 400 of them against brute force."""
+    rng = np.random.default_rng(9)
+    n, dim = 40_000, 64
+    x = np.repeat(rng.normal(size=(n // 10, dim)), 10, axis=0) / np.sqrt(dim)
+    x = (x + 0.5 / np.sqrt(dim) * rng.normal(size=(n, dim))).astype(np.float32)
+    import pandas as pd
+
+    v = spark.createDataFrame(pd.DataFrame({"chunk_id": [str(i) for i in range(n)], "kb_id": "k", "embedding": x.tolist(), "embedded_at": None}), VEC)
+    near, names = ck.nearest(v, spark.createDataFrame([("k", dim)], "id string, embedding_dimension int"), 5)
+    name = {r["id"]: int(r["chunk_id"]) for r in names.select("id", "chunk_id").collect()}
+    got = {name[r["id"]]: {name[o] for o in r["near"]} for r in near.collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    asked = rng.choice(n, 400, replace=False)
+    sim = u[asked] @ u.T
+    sim[np.arange(400), asked] = -9
+    found = [len(got[int(q)] & set(best)) for q, best in zip(asked, np.argsort(-sim, axis=1)[:, :5].tolist())]
+    assert len(got) == n and sum(found) >= 0.9 * 5 * 400
+
+
 def test_vector_edges(spark):
     from datetime import datetime
 
