@@ -26,15 +26,17 @@ from fathomgrid.llm.batches import map_texts
 #: Set offsets of each seed. Every span is at most the least overlap (10), so an exact overlap
 #: always hits; the second mask of smaller weight lets through substitutions at other offsets.
 SEEDS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 5, 7, 8, 9), (0, 1, 3, 4, 6, 8, 9))
-#: Largest number of test items whose window table is broadcast; beyond, both sides are shuffled.
-BROADCAST_ITEMS = 20_000
+#: Characters of test items, all together, that are broadcast; beyond, both sides are shuffled.
+BROADCAST_CHARS = 32 << 20
+#: Parts into which the documents of a window that many share are dealt in the shuffle join.
+SALTS = 16
 
 _MARKUP = re.compile(
-    r"</?[A-Za-z][^<>\n]{0,300}>"  # tags
-    r"|&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});"  # entities
-    r"|(?<=\])\([^()\s]{1,300}\)"  # link targets
-    r"|(?<=\[\[)[^\[\]|\n]{1,200}\|(?=[^\[\]\n]*\]\])"  # wiki link targets
-    r"|\\(?:emph|text[a-z]{2}|textbf|underline|cite|ref|label)\b(?:\[[^\]\n]*\])?"  # inline commands
+    r"</?[A-Za-z][^<>\n]*>"  # tags
+    r"|&(?:[A-Za-z]{2,}|#\d+|#x[0-9A-Fa-f]+);"  # entities
+    r"|(?<=\])\([^()\s]+\)"  # link targets
+    r"|(?<=\[\[)[^\[\]|\n]+\|(?=[^\[\]\n]*\]\])"  # wiki link targets
+    r"|\\(?:emph|text[a-z]+|underline|cite|ref|label)\b(?:\[[^\]\n]*\])?"  # inline commands
 )
 _HINT = re.compile(r"[<&\[\\]")
 
@@ -67,7 +69,7 @@ def _words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ItemIndex:
-    """Sorted window hashes of the test items, with a bit table in front."""
+    """Sorted window hashes of the test items, with a bit table of about their number in front."""
 
     def __init__(self, ids: list, texts: list) -> None:
         self.ids = np.array(ids)
@@ -77,12 +79,13 @@ class ItemIndex:
         x, first = np.concatenate(hashes), np.concatenate(firsts)
         order = np.argsort(x, kind="stable")
         self.x, self.first, self.item = x[order], first[order], row[first[order]]
-        self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[(self.x >> np.uint64(42)).astype(np.int64)] = True
+        self.shift = np.uint64(64 - min(26, max(8, int(len(x)).bit_length() + 5)))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.bits[(self.x >> self.shift).astype(np.int64)] = True
 
     def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (index into x, index into the table) with equal hash."""
-        maybe = np.flatnonzero(self.bits[(x >> np.uint64(42)).astype(np.int64)])
+        maybe = np.flatnonzero(self.bits[(x >> self.shift).astype(np.int64)])
         lo = np.searchsorted(self.x, x[maybe], "left")
         n = np.searchsorted(self.x, x[maybe], "right") - lo
         left = np.repeat(maybe, n)
@@ -130,20 +133,20 @@ def _overlaps(texts: list, index: ItemIndex) -> list[tuple[int, int, int, int, i
 OVERLAP_SCHEMA = "doc_id long, item_id long, run int, overlap int, matched int, item_word int"
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """One row per document and test item that share a seed hit, with the measured overlap:
     ``run`` (longest exact run of words), ``overlap`` and ``matched`` (longest overlap with isolated
     substitutions and its equal words), ``item_word`` (where it begins in the item).
 
-    The test side is counted first.  Up to ``broadcast_items`` items its windows go to every task
+    The test side is measured first.  Up to ``broadcast_chars`` characters its texts go to every task
     and the corpus is read once, without a shuffle; beyond, both sides' windows are joined by hash.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     tests = items.select("item_id", "text").where(F.col("item_id").isNotNull() & (F.length("text") > 0)).distinct()
-    head = tests.limit(broadcast_items + 1).collect()
-    if len(head) > broadcast_items:
+    if (tests.agg(F.sum(F.length("text"))).first()[0] or 0) > broadcast_chars:
         return _leaked_by_shuffle(docs, tests)
+    head = tests.collect()
     head.sort(key=lambda r: r["item_id"])
     index = spark.sparkContext.broadcast(([r["item_id"] for r in head], [r["text"] for r in head]))
     cache: list[ItemIndex] = []
@@ -185,9 +188,11 @@ def _leaked_by_shuffle(docs: DataFrame, tests: DataFrame) -> DataFrame:
 
         return fn
 
-    t = map_texts(tests, "text", windows_of("item_id"), "x long, item_id long").distinct()
-    d = map_texts(docs, "text", windows_of("doc_id"), "x long, doc_id long").distinct()
-    pairs = d.join(t, "x").select("doc_id", "item_id").distinct()
+    # A window that many documents share is dealt out by document; the test side has a copy per part.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    t = map_texts(tests, "text", windows_of("item_id"), "x long, item_id long").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = map_texts(docs, "text", windows_of("doc_id"), "x long, doc_id long").distinct().withColumn("salt", salt)
+    pairs = d.join(t, ["x", "salt"]).select("doc_id", "item_id").distinct()
     both = pairs.join(docs, "doc_id").join(tests.withColumnRenamed("text", "item_text"), "item_id")
 
     def measure(frames):

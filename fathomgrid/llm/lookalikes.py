@@ -134,39 +134,60 @@ def _offsets_after(keep_len: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets]
 
 
+def _ordered(cp: np.ndarray, offsets: np.ndarray, t: dict) -> np.ndarray:
+    """The code points with the marks of every run in canonical order: sorted by class, ties as they stand."""
+    ccc = t["ccc"]
+    c = np.where(cp < len(ccc), ccc[np.minimum(cp, len(ccc) - 1)], 0)
+    again = np.flatnonzero((c[1:] < c[:-1]) & (c[1:] > 0)) + 1
+    if not len(again):
+        return cp
+    run = np.cumsum(c == 0)  # a base and its marks
+    head = np.zeros(len(cp) + 1, dtype=np.int64)
+    head[offsets] = 1
+    run = run + np.cumsum(head[:-1])  # never over a row's start
+    inside = np.isin(run, run[again])
+    at = np.flatnonzero(inside)
+    out = cp.copy()
+    out[at] = cp[at[np.lexsort((at, c[at], run[at]))]]
+    return out
+
+
 def _compose(cp: np.ndarray, offsets: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Compose letters with the marks after them; returns the rows (by original offsets) that changed."""
+    """Compose letters with the marks after them; returns the rows (by original offsets) that changed.
+
+    Marks are put in order first.  A round composes each letter with one mark: the first of its run
+    that has a composed form with it and isn't kept off by a mark of its own class.  Each round
+    takes at least one mark away, so the rounds end."""
     changed = np.zeros(len(offsets) - 1, dtype=bool)
-    rounds = 0
-    while len(cp) > 1 and rounds < 8:
-        rounds += 1
-        low = np.minimum(cp, cpx.PLANES - 1)
-        mark = t["kind"][low] == MARK
-        at = np.flatnonzero(mark[1:]) + 1
+    cp = _ordered(cp, offsets, t)
+    ccc = t["ccc"]
+    while len(cp) > 1:
+        n = len(cp)
+        mark = t["kind"][np.minimum(cp, cpx.PLANES - 1)] == MARK
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[offsets] = True
+        mark &= ~edge[:-1]  # a mark at a row's start has no letter
+        at = np.flatnonzero(mark)
         if not len(at):
             break
-        inside = np.ones(len(cp) + 1, dtype=bool)
-        inside[offsets] = False
-        at = at[inside[at]]  # not over a row's start
-        ccc = t["ccc"]
-        both = at[mark[at - 1]]
-        if rounds == 1 and len(both):  # marks in canonical order
-            a, b = ccc[np.minimum(low[both - 1], len(ccc) - 1)], ccc[np.minimum(low[both], len(ccc) - 1)]
-            swap = both[(a > b) & (b > 0)]
-            if len(swap):
-                cp = cp.copy()
-                cp[swap - 1], cp[swap] = cp[swap], cp[swap - 1]
-                low = np.minimum(cp, cpx.PLANES - 1)
-        key = cp[at - 1].astype(np.int64) << 21 | cp[at].astype(np.int64)
+        base = np.maximum.accumulate(np.where(mark, -1, np.arange(n)))[at]
+        ok = base >= 0
+        at, base = at[ok], base[ok]
+        key = cp[base].astype(np.int64) << 21 | cp[at].astype(np.int64)
         pos = np.minimum(np.searchsorted(t["keys"], key), len(t["keys"]) - 1)
-        hit = at[t["keys"][pos] == key]
+        c = ccc[np.minimum(cp[at], len(ccc) - 1)]
+        before = ccc[np.minimum(cp[at - 1], len(ccc) - 1)]
+        free = (at - 1 == base) | ((before < c) & (before > 0))
+        hit = np.flatnonzero((t["keys"][pos] == key) & free)
         if not len(hit):
             break
+        _, first = np.unique(base[hit], return_index=True)
+        hit = hit[first]
         cp = cp.copy()
-        cp[hit - 1] = t["composed"][pos[t["keys"][pos] == key]]
-        keep = np.ones(len(cp), dtype=bool)
-        keep[hit] = False
-        changed[np.searchsorted(offsets, hit, side="right") - 1] = True
+        cp[base[hit]] = t["composed"][pos[hit]]
+        keep = np.ones(n, dtype=bool)
+        keep[at[hit]] = False
+        changed[np.searchsorted(offsets, at[hit], side="right") - 1] = True
         offsets = _offsets_after(keep.astype(np.int64), offsets)
         cp = cp[keep]
     return cp, offsets, changed

@@ -112,7 +112,7 @@ def oracle_sql() -> dict[str, str]:
             "c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL) SELECT a AS chunk_id_a, b AS chunk_id_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k * 2 >= x.n + y.n - k"
         ),
         "p9_found": (
-            "WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '</?[A-Za-z][^<>\\n]{0,300}>', ' ', 'g'), '&(?:[A-Za-z]{2,8}|#[0-9]{1,6}|#x[0-9A-Fa-f]{1,6});', ' ', 'g'), '\\]\\([^()\\s]{1,300}\\)', '] ', 'g'), '\\[\\[[^\\[\\]|\\n]{1,200}\\|([^\\[\\]\\n]*\\]\\])', '[[\\1', 'g') AS text FROM documents WHERE text IS NOT NULL), "
+            "WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '</?[A-Za-z][^<>\\n]*>', ' ', 'g'), '&(?:[A-Za-z]{2,}|#[0-9]+|#x[0-9A-Fa-f]+);', ' ', 'g'), '\\]\\([^()\\s]+\\)', '] ', 'g'), '\\[\\[[^\\[\\]|\\n]+\\|([^\\[\\]\\n]*\\]\\])', '[[\\1', 'g') AS text FROM documents WHERE text IS NOT NULL), "
             "d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS w FROM m), i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL), "
             "dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS s FROM d WHERE len(w) >= 10), ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS s FROM i WHERE len(w) >= 10) "
             "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (s)"

@@ -1,11 +1,16 @@
 """Problem 10: template residue, filler and error-page text.
 
-Placeholders are found by one grammar per delimiter.  A placeholder counts unless its surroundings
-show that it is spoken of and not left over: inside a fenced, indented or inline code span, inside
-<pre>/<code>, inside quotation marks, or in program text (density of code lines).  Messages
-(errors, access, script notices, loading and stub pages) are found by their cue words, widened to
-sentences, and count by the share of the text that they cover.  Filler counts by repetition
-(distinct word pairs) and by the share of pseudo-Latin words.
+Three detectors, all regular expressions and counts over a document's own text:
+
+* placeholders by one grammar per delimiter.  One counts unless its surroundings show that it is
+  spoken of and not left over: inside a fenced or inline code span, <pre>/<code>, quotation marks or
+  mathematics, in program text (density of code lines), or beside words of explanation;
+* messages (errors, refused access, script notices, loading and stub pages) by grammars of
+  sentences: a status line, a thing with a failing state, an order to the reader about scripts or
+  cookies, an announcement.  A sentence that reports such a message doesn't count.  A document is a
+  message if such sentences make up half of it or more, page chrome aside;
+* filler by density: the share of words in runs that repeat with a short period, the share of word
+  pairs seen before, and the share of pseudo-Latin words.
 
 Defined results: null and blank texts are not residue; repeated rows each get their own verdict;
 extra columns are ignored; whole texts are read, however long.
@@ -23,20 +28,21 @@ from pyspark.sql import functions as F
 from fathomgrid.llm import codepoints as cpx
 from fathomgrid.llm.batches import map_texts
 
-_NAME = r"[A-Za-z][A-Za-z0-9_. -]{0,40}"
-#: One grammar per delimiter.
+_NAME = r"[A-Za-z][A-Za-z0-9_. -]*"
+#: One grammar per delimiter.  No name spans a line or another delimiter, so the scan is linear.
 PLACEHOLDERS = re.compile(
-    r"\{\{\{?\s*[#/^>&!]?\s*" + _NAME + r"\s*(?:\|[^{}\n]{0,40})?\}\}"  # {{ name }}
+    r"\{\{\{?\s*[#/^>&!]?\s*" + _NAME + r"\s*(?:\|[^{}\n]*)?\}\}"  # {{ name }}
     r"|\$\{" + _NAME + r"\}"  # ${name}
     r"|\#\{" + _NAME + r"\}"  # #{name}
+    r"|(?<![\w\\{}$#%\]^_)*])\{[a-z]+(?:_[a-z0-9]+)*\}(?!\})"  # {first_name}
     r"|<%[=-]?\s*" + _NAME + r"\s*-?%>"  # <%= name %>
     r"|\{%\s*" + _NAME + r"\s*%\}"  # {% name %}
-    r"|%[A-Z][A-Z0-9_]{1,40}%|%\([a-z_]{1,40}\)[sd]"  # %NAME%, %(name)s
-    r"|@@[A-Za-z][A-Za-z0-9_]{0,40}@@"  # @@NAME@@
-    r"|__[A-Z][A-Z0-9_]{1,40}__"  # __NAME__
-    r"|\[(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|enter|ADD|Add)\b[^\[\]\n]{1,60}\](?!\()"  # [your name]
-    r"|<(?:[a-z]+_[a-z_]+|(?:your|insert|enter|author|project|company|first|last|user)[ _-][a-z_ -]{1,40})>"  # <first_name>, <author name>
-    r"|\((?:to be filled in|to be completed|fill in here|insert here)\)"
+    r"|%[A-Z][A-Z0-9_]+%|%\([a-z_]+\)[sd]"  # %NAME%, %(name)s
+    r"|@@[A-Za-z][A-Za-z0-9_]*@@"  # @@NAME@@
+    r"|__[A-Z][A-Z0-9_]+__"  # __NAME__
+    r"|\[(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|enter|ADD|Add)\b[^\[\]\n]+\](?!\()"  # [your name]
+    r"|<(?:[a-z]+_[a-z_]+|(?:your|insert|enter|author|project|company|first|last|user)[ _-][a-z_ -]+)>"  # <first_name>, <author name>
+    r"|\((?:to be (?:filled in|completed|determined)|fill in here|insert here)\)"
 )
 #: Spans in which text is quoted: code fences, HTML code, inline code, quotations, and mathematics.
 _QUOTED = re.compile(
@@ -44,65 +50,74 @@ _QUOTED = re.compile(
     r"|<(pre|code|script|style)\b[^>]*>.*?(?:</\1>|\Z)"
     r"|``[^`]+``|`[^`\n]+`"
     r"|\$\$.*?\$\$"
-    r"|[\"“„«][^\"“”„«»\n]{0,80}[\"”“»]",
+    r"|[\"“„«][^\"“”„«»\n]*[\"”“»]",
     re.S | re.M | re.I,
 )
 _TALK = re.compile(r"\b(?:the form|the placeholder|placeholders?|the variable|expands?|is replaced by|templates? use|syntax|written as|escaped?)\b", re.I)
 _CODE_LINE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|if\b.*[:{]$|for\b.*[:{]$|func |pub fn |fn |let |const |var |export |public |private |#include|\}|\{|//|/\*)|[;{}]\s*$", re.M)
 
-#: Cue phrases of messages, lower case.
-CUES = {
-    "error": [
-        "404 not found", "not found", "page not found", "cannot find that", "can't find that", "could not be found", "may have been moved or removed", "does not exist", "seite nicht gefunden", "page introuvable", "página no encontrada",
-        "no se encuentra la página", "internal server error", "bad gateway", "gateway timeout", "service unavailable", "temporarily unavailable", "unexpected condition", "could not complete your request", "down for maintenance",
-        "error establishing a database connection", "timed out while waiting", "reload the page", "an error occurred", "something went wrong", "fehler 404", "nicht verfügbar", "service indisponible", "error del servidor", "serverfehler",
-        "erreur du serveur", "erreur interne", "contact the administrator", "-proxy/", "error code", "undefined\nnan", "[object object]", "traceback (most recent call last)",
-    ],
-    "access": [
-        "access denied", "permission to view", "not authorized", "forbidden", "session has expired", "sign in again", "log in to continue", "please log in", "too many requests", "limited your address", "zugriff verweigert",
-        "accès refusé", "acceso denegado", "are you a robot", "verify you are human", "complete the captcha",
-    ],
-    "script": [
-        "enable javascript", "javascript is disabled", "javascript aktivieren", "aktivieren sie javascript", "activer javascript", "active javascript", "activar javascript", "habilite javascript", "enable scripts", "without scripts",
-        "requires javascript", "scripting and cookies", "noscript:", "turn on javascript", "cookies switched on", "needs them to show", "checking your browser", "turn it on to use", "enable cookies",
-    ],
-    "stub": [
-        "coming soon", "intentionally left blank", "loading...", "loading…", "please wait", "under construction", "todo: write", "fixme", "demnächst", "bientôt disponible", "próximamente", "wird geladen", "chargement en cours",
-        "cargando", "this page is empty", "no content yet",
-    ],
-    "filler": [
-        "text goes here", "sample text", "dummy content", "dummy text", "body text", "placeholder text", "texte à compléter", "text to come", "replace this block", "your paragraph about", "belongs here", "hier steht später", "aquí irá el texto",
-        "texto de relleno", "texte de remplissage", "contenido de ejemplo", "(to be filled in)", "yyyy-mm-dd", "write your", "insert text",
-    ],
+# The words that fill the places of the sentence grammars, in four languages.
+_REASON = r"(?:not found|bad (?:gateway|request)|internal server error|service unavailable|gateway time-?out|forbidden|unauthori[sz]ed|too many requests|gone|server error)"
+_THING = r"(?:pages?|sites?|address|adresse|files?|documents?|resources?|recurso|urls?|servers?|servidor|serveur|services?|servicio|connection|conexión|connexion|requests?|session|database|datenbank|link|página|seite|access|acceso|accès|zugriff|permission|app|website)"
+_STATE = (
+    r"(?:not (?:be )?found|(?:can ?not|can't|could not|couldn't|unable to) (?:\w+ )?(?:find|be found|complete|load|open|connect|process|establish)|does(?: not|n't) exist|no longer exists?|unavailable|not available|denied|forbidden|refused|expired|timed out|been (?:moved|removed|deleted)"
+    r"|(?:be )?(?:down|closed) for maintenance|unexpected (?:condition|error)|not (?:authori[sz]ed|permitted|allowed)|limited your|do(?:es)? not have permission|nicht (?:gefunden|verfügbar|mehr)|gibt es (?:\S+ ){0,3}nicht|verweigert|abgelaufen|introuvable|indisponible|n'existe (?:plus|pas)|refusé|expirée?|no (?:encontrad[ao]|disponible|existe)|ya no está|denegado|caducado)"
+)
+_SCRIPT = r"(?:java ?script|scripts?|scripting|cookies?)"
+_SWITCH = r"(?:enabled?|activat\w+|active|activer|activar|aktivier\w*|habilit\w+|turn(?:ed)? on|switch(?:ed)? on|allow|requires?|needs?|without|disabled|turned off|checking)"
+#: Sentence grammars by kind, over lower-case sentences.
+GRAMMARS = {
+    "access": [r"^\W*(?:access denied|zugriff verweigert|accès refusé|acceso denegado|forbidden|too many requests|unauthori[sz]ed)\b", rf"\b(?:you|sie|vous|usted)\b.*\b(?:not have permission|not authori[sz]ed|not allowed|keine berechtigung)\b", r"\b(?:session|sitzung|sesión) (?:has |ist |ha )?(?:expired|abgelaufen|caducado)\b", r"^\W*(?:please )?(?:sign|log) ?in (?:again )?to\b", r"\bverify (?:that )?you are (?:a )?human\b|\bare you a robot\b|\bcomplete the captcha\b", r"\bhas (?:limited|blocked) your\b"],
+    "error": [rf"^\W*(?:http\W*[\d.]*\W*|error\W*|oops\W*)?[45]\d\d\W{{1,3}}{_REASON}", rf"\b{_THING}\b.*\b{_STATE}", rf"\b{_STATE}\b.*\b{_THING}\b", r"\b(?:an|unknown|fatal|application)? ?error (?:occurred|establishing|while|\d)", r"\bsomething went wrong\b", r"\b(?:fehler|erreur|error code|código de error)\W{0,2}\d", r"^\W*oops\b", rf"^\W*(?:we|it|this|that)\b.*\b{_STATE}", r"\btraceback \(most recent call last\)", r"\b(?:reload|refresh) (?:the|this) page\b", r"\b(?:please )?(?:try|come) (?:again|back) (?:in|later)\b"],
+    "script": [rf"\b{_SWITCH}\b.*\b{_SCRIPT}\b", rf"\b{_SCRIPT}\b.*\b{_SWITCH}\b", r"^\W*noscript\b", r"^\W*checking your browser\b", r"\bturn it on to\b", r"\bneeds them to show\b"],
+    "stub": [r"^\W*(?:coming soon|demnächst|bientôt disponible|próximamente)\b", r"\b(?:page|section|seite|página) (?:is |wurde |est )?(?:intentionally|absichtlich|intencionadamente)? ?(?:left )?(?:blank|empty|leer|vide)\b", r"^\W*(?:todo|tbd|fixme|xxx)\b(?!\s+list)", r"^\W*(?:loading|please wait|wird geladen|chargement en cours|cargando)\b", r"\bunder construction\b", r"\bno content yet\b"],
+    "filler": [r"\b(?:text|content|title|description|paragraph|words?) (?:goes|go|belongs?|to come) ?here\b", r"\b(?:sample|dummy|placeholder|filler|body) (?:text|content|copy)\b", r"\b(?:replace|fill in) this (?:block|text|line|section)\b", r"^\W*(?:insert|write|add|type) (?:your|the|a)? ?(?:text|own|title|paragraph|content)\b", r"\byour paragraph about\b", r"\b(?:hier steht später|aquí irá el texto|texto? (?:de relleno|à compléter|de remplissage)|texte (?:à compléter|de remplissage)|contenido de ejemplo)\b", r"\btext to come\b|\bbelongs here\b", r"\b(?:yyyy|jjjj|aaaa)-(?:mm|mes)-(?:dd|tt|jj)\b"],
 }
+_GRAMMARS = {k: re.compile("|".join(f"(?:{g})" for g in v)) for k, v in GRAMMARS.items()}
+#: Values that a script wrote in place of content.
+_NOTHING = re.compile(r"^(?:\W*(?:undefined|nan|null|none|\[object \w+\]|\d+)\W*)+$|\[object \w+\]")
+#: A sentence that reports a message, not one that is one.
+_REPORT = re.compile(r"\b(?:answers?|answered|returns?|returned|responds?|messages?|handlers?|errors? (?:of|in|from|rate|budget)|limit|counted|logged?|redirects?|test(?:s|ed)?|designers?)\b")
+#: Word parts of which every message grammar holds one: sentences without them are passed over.
+TRIGGERS = (
+    "400 401 403 404 408 410 429 500 501 502 503 504 found exist available denied forbidden refus expir timed moved closed down unexpected permi authori verfügbar gefunden gibt verweigert abgelaufen introuvable disponible indisponible encontrad denegado caducado está "
+    "error fehler erreur código wrong traceback again back reload refresh log sign robot human captcha limited blocked script cookie checking turn needs oops can't cannot couldn't unable could "
+    "soon bald demnächst bientôt próximamente blank empty leer vide todo tbd fixme xxx loading wait geladen chargement cargando construction content here texte texto text copy replace fill insert write add type paragraph später yyyy jjjj aaaa undefined nan null none object many requests refusé requires"
+).split()
 #: Syllables of pseudo-Latin filler.
 LATIN = "ad al am bor cin com con dex do dol ea el em erc et ex iam ip iq is it la lam lor mco mod ni nos or pis qui sec sed si sit sum tet tru tur ul ut ven".split()
 _LATIN_WORD = re.compile("(?:" + "|".join(sorted(LATIN, key=len, reverse=True)) + "|ipsum|lorem)+")
-_SENTENCE_END = re.compile(r"[.!?…]+[\"”')\]]*(?=\s)|\n+|[。！？]")
-_LINE = re.compile(r"\n")
-#: A line up to this length that holds a cue is a message as a whole.
-SHORT_LINE = 160
-_CHROME = re.compile(r"^[^\n|]{1,60}(?:\|[^\n|]{1,60}){2,}$|^©[^\n]*$|^(?:reference|request id|trace|incident)\b[^\n]{0,40}$", re.M | re.I)
+_TAG = re.compile(r"<[^<>]*>")
+_SENTENCE = re.compile(r"[^\n.!?…。！？]*(?:[.!?…]+(?=[^\s\"”’')\]])[^\n.!?…。！？]*)*(?:[.!?…]+[\"”’')\]]*|[。！？]|\n|\Z)")
+#: Page chrome: menus, copyright lines, reference numbers, product and build lines.
+_CHROME = re.compile(r"^[^\n|]+(?:\|[^\n|]+){2,}$|^©[^\n]*$|^(?:\S+ ){0,3}(?:reference|request id|trace|incident|build|version|ray)\W{0,2}[\w-]*\d[\w.-]*\W*$|^\W*[^\W\d][\w-]*/\d[\w.]*$", re.M | re.I)
+#: Shares from which a text is a message or filler.
+MESSAGE, PERIODIC, PAIRS = 0.5, 0.3, 0.5
+#: Longest period in words of a repeated phrase, and words that a periodic run has at least.
+PERIOD, RUN = 12, 8
+
+_STATE_CACHE: dict = {}
+
 
-_STATE: dict = {}
+def _latin_marks() -> np.ndarray:
+    if "latin" not in _STATE_CACHE:
+        marks = np.zeros(1 << 20, dtype=bool)
+        cp, off = cpx.explode([*(s for s in LATIN if s not in ("ad", "al", "am", "is", "it", "la", "el", "et", "ex", "do", "or", "si", "con")), "ipsum"])
+        marks[(cpx.words(cp, off)[0] >> np.uint64(44)).astype(np.int64)] = True
+        _STATE_CACHE["latin"] = marks
+    return _STATE_CACHE["latin"]
 
 
 def _automaton():
-    if "cues" not in _STATE:
+    if "triggers" not in _STATE_CACHE:
         import ahocorasick
 
-        a = ahocorasick.Automaton()
-        for kind, phrases in CUES.items():
-            for p in phrases:
-                a.add_word(p, (kind, len(p)))
+        a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for w in TRIGGERS:
+            a.add_word(w)
         a.make_automaton()
-        _STATE["cues"] = a
-        _, _, code = cpx._tables()
-        marks = np.zeros(1 << 20, dtype=bool)
-        cp, off = cpx.explode([s for s in LATIN if s not in ("ad", "al", "am", "is", "it", "la", "el", "et", "ex", "do", "or", "si", "con")])
-        marks[(cpx.words(cp, off)[0] >> np.uint64(44)).astype(np.int64)] = True
-        _STATE["latin"] = marks
-    return _STATE["cues"], _STATE["latin"]
+        _STATE_CACHE["triggers"] = a
+    return _STATE_CACHE["triggers"]
 
 
 def _left_over(text: str) -> tuple[int, str | None]:
@@ -125,37 +140,49 @@ def _left_over(text: str) -> tuple[int, str | None]:
     return n, first
 
 
-def _message_share(text: str, low: str, cues) -> tuple[dict, float]:
-    """Characters in sentences that hold a cue, by kind, and their share of the text without page chrome."""
-    hits = [(end + 1 - n, end + 1, kind) for end, (kind, n) in cues.iter(low)]
-    if not hits:
+def _message_share(low: str) -> tuple[dict, float]:
+    """Characters in sentences that are a message, by kind, and their share of the text without chrome."""
+    body = _CHROME.sub("", _TAG.sub(" ", low) if "<" in low else low)
+    triggers = _automaton()
+    if not any(True for _ in triggers.iter(body)):
+        return {}, 0.0
+    sentences = [x for m in _SENTENCE.finditer(body) if (x := m.group().strip())]
+    total = sum(map(len, sentences))
+    some = [x for x in sentences if any(True for _ in triggers.iter(x))]
+    if sum(map(len, some)) < MESSAGE * total:
         return {}, 0.0
-    chrome = np.zeros(len(low) + 1, dtype=bool)
-    for m in _CHROME.finditer(low):
-        chrome[m.start() : m.end()] = True
-    bounds = [0, *[m.end() for m in _SENTENCE_END.finditer(low)], len(low)]
-    bounds = np.unique(bounds)
-    ends = np.array([0, *[m.end() for m in _LINE.finditer(low)], len(low)])
-    covered = np.zeros(len(low), dtype=bool)
     kinds: dict = {}
-    for a, b, kind in hits:
-        lo, hi = bounds[np.searchsorted(bounds, a, "right") - 1], bounds[np.searchsorted(bounds, b, "left")]
-        line = ends[np.searchsorted(ends, a, "right") - 1], ends[np.searchsorted(ends, b, "left")]
-        if line[1] - line[0] <= SHORT_LINE:  # a message of a few sentences
-            lo, hi = min(lo, line[0]), max(hi, line[1])
-        covered[lo:hi] = True
-        kinds[kind] = kinds.get(kind, 0) + int(hi - lo)
-    rest = ~chrome[:-1]
-    return kinds, float((covered & rest).sum() / max(1, rest.sum()))
+    for x in some:
+        if _REPORT.search(x):
+            continue
+        kind = "error" if _NOTHING.search(x) else next((k for k, g in _GRAMMARS.items() if g.search(x)), None)
+        if kind:
+            kinds[kind] = kinds.get(kind, 0) + len(x)
+    return kinds, sum(kinds.values()) / max(1, total)
+
+
+def _periodic(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Words of each row that stand in a run of at least RUN words repeating with a period up to PERIOD."""
+    inside = np.zeros(len(h), dtype=bool)
+    for p in range(1, PERIOD + 1):
+        if len(h) <= p:
+            break
+        same = (h[p:] == h[:-p]) & (row[p:] == row[:-p])
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a >= max(RUN, p) and row[a] == row[b + p - 1]:
+                inside[a : b + p] = True
+    return np.bincount(row[inside], minlength=n)
 
 
 def _verdicts(batch: pa.RecordBatch) -> pa.Table | None:
-    cues, latin = _automaton()
+    latin = _latin_marks()
     text, cp, off = cpx.from_arrow(batch.column("text"))
     n = batch.num_rows
-    h, row, ws, we = cpx.words(cp, off)
+    h, row, _, _ = cpx.words(cp, off)
     nwords = np.bincount(row, minlength=n)
     latin_n = np.bincount(row[latin[(h >> np.uint64(44)).astype(np.int64)]], minlength=n)
+    periodic = _periodic(h, row, n)
     x, first = cpx.shingles(h, row, 2)
     pairs = np.bincount(row[first], minlength=n)
     r = row[first]
@@ -166,28 +193,24 @@ def _verdicts(batch: pa.RecordBatch) -> pa.Table | None:
     again[order[1:][same]] = True
     repeats = np.bincount(r[again], minlength=n)
     out = []
-    whole_low = None
     ids = batch.column("doc_id").to_pylist()
     for i in range(n):
         t = text[off[i] : off[i + 1]]
         if not t or t.isspace():
             continue
-        low = t.lower()
-        if len(low) != len(t):
-            low = "".join(c.lower()[:1] for c in t)
-        count, first_one = _left_over(t)
-        kinds, share = _message_share(t, low, cues)
-        kind, evidence = None, first_one
-        if count:
-            kind = "placeholder"
-        elif share >= 0.5:
-            kind = max(kinds, key=kinds.get)
-        elif nwords[i] >= 6 and latin_n[i] >= 0.08 * nwords[i] and latin_n[i] >= 2:
-            w = re.findall(r"[^\W\d_]+", low)
-            if sum(1 for z in w if _LATIN_WORD.fullmatch(z)) > 0.5 * len(w):
+        count, evidence = _left_over(t)
+        kind, share = "placeholder" if count else None, 0.0
+        if not kind:
+            low = t.lower()
+            kinds, share = _message_share(low)
+            if share >= MESSAGE:
+                kind = max(kinds, key=kinds.get)
+            elif periodic[i] >= PERIODIC * nwords[i] > 0 or (pairs[i] >= 3 and repeats[i] > PAIRS * pairs[i]):
                 kind = "filler"
-        if kind is None and pairs[i] >= 3 and repeats[i] > 0.5 * pairs[i]:
-            kind = "filler"
+            elif nwords[i] >= 6 and latin_n[i] >= 0.04 * nwords[i]:
+                w = re.findall(r"[^\W\d_]+", low)
+                if sum(1 for z in w if _LATIN_WORD.fullmatch(z)) > 0.5 * len(w):
+                    kind = "filler"
         if kind:
             out.append((ids[i], kind, count, round(share, 4), evidence))
     if not out:

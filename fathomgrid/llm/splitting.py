@@ -15,14 +15,14 @@ joined without their overlaps are the text again.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import codepoints as cpx
+from fathomgrid.llm.batches import map_texts
 
 LIMIT, OVERLAP = 6000, 200
 #: Words compared on either side of a boundary, and hash bins of a block's word counts.
@@ -98,7 +98,9 @@ def pieces_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tup
     return out
 
 
-SCHEMA = "chunk_id string, piece int, start_char int, new_char int, end_char int, start_line int, end_line int, cut string, content string"
+COLUMNS = {"chunk_id": "string", "piece": "int", "start_char": "int", "new_char": "int", "end_char": "int", "start_line": "int", "end_line": "int", "cut": "string", "content": "string"}
+SCHEMA = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
+TYPES = [{"string": pa.string(), "int": pa.int32()}[t] for t in COLUMNS.values()]
 
 
 def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -109,15 +111,14 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     """
     long = chunks.select(F.col("id").alias("chunk_id"), "content", "start_line").where(F.length("content") > limit)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for cid, text, line in zip(f["chunk_id"], f["content"], f["start_line"]):
-                base = int(line) if line == line and line is not None and line >= 1 else 1
-                breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 10)
-                for k, (s, n, e, kind) in enumerate(pieces_of(text, limit, overlap)):
-                    first, last = np.searchsorted(breaks, s), np.searchsorted(breaks, max(s, e - 1))
-                    rows.append((cid, k, s, n, e, base + int(first), base + int(last), kind, text[s:e]))
-            yield pd.DataFrame(rows, columns=["chunk_id", "piece", "start_char", "new_char", "end_char", "start_line", "end_line", "cut", "content"])
-
-    return long.repartition(F.xxhash64("chunk_id")).mapInPandas(run, SCHEMA)
+    def fn(batch: pa.RecordBatch) -> pa.Table:
+        rows = []
+        for cid, text, line in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "content", "start_line"))):
+            base = line if line is not None and line >= 1 else 1
+            breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 10)
+            for k, (s, n, e, kind) in enumerate(pieces_of(text, limit, overlap)):
+                first, last = np.searchsorted(breaks, s), np.searchsorted(breaks, max(s, e - 1))
+                rows.append((cid, k, s, n, e, base + int(first), base + int(last), kind, text[s:e]))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=list(COLUMNS))
+
+    return map_texts(long.repartition(F.xxhash64("chunk_id")), "content", fn, SCHEMA)

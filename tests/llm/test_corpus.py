@@ -113,11 +113,11 @@ def leak_rows():
     ]
 
 
-@pytest.mark.parametrize("bound", [lk.BROADCAST_ITEMS, 1])
+@pytest.mark.parametrize("bound", [lk.BROADCAST_CHARS, 1])
 def test_leaks(spark, bound):
     d = spark.createDataFrame(leak_rows(), "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("run", F.lit(0))
     items = spark.createDataFrame([(1, ITEM), (2, "a b c"), (3, None), (4, ""), (1, ITEM)], "item_id long, text string").withColumn("doc_id", F.lit(0))
-    assert {tuple(r) for r in lk.leaked_documents(d, items, broadcast_items=bound).collect()} == {(k, 1) for k in (1, 2, 4, 5, 6, 11)}
+    assert {tuple(r) for r in lk.leaked_documents(d, items, broadcast_chars=bound).collect()} == {(k, 1) for k in (1, 2, 4, 5, 6, 11)}
 
 
 def test_substitutions_are_measured(spark):

@@ -28,6 +28,14 @@ def test_no_cases(text):
     assert canon(text) == (text, False)
 
 
+@pytest.mark.parametrize("text", ["a\u0315\u0302\u0323", "o\u0302\u0301\u0323", "o\u0323\u0302\u0301x", "a\u0301\u0301", "q\u0307\u0323", "e\u0328\u0301\u0302", "\u0301a", "u\u0308\u0304 u\u0304\u0308", "s\u0323\u0307" * 50])
+def test_marks_compose_as_in_unicode(text):
+    import unicodedata
+
+    got, _ = canon(text)
+    assert got == unicodedata.normalize("NFC", text) and canon(got)[0] == got
+
+
 def test_formula_letters():
     assert canon("beta _ і", True) == ("beta _ i", True) and canon("x + e \u0301", True) == ("x + é", True) and canon("x ^ 2", True)[1] is False
 
@@ -189,6 +197,16 @@ def test_residue_found(spark, text):
     assert rs.residue_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
 
 
+@pytest.mark.parametrize("text", ["Report for {project_name}, all is well.", "Hello {amount}, the team met.", "HTTP 503 Service Unavailable", "Oops! We cannot find that tensor. It may have been moved or removed.", "Some words come first here and then asdf qwer jkl asdf qwer jkl asdf qwer jkl asdf qwer jkl asdf qwer jkl"])
+def test_residue_of_other_forms(spark, text):
+    assert rs.residue_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
+
+
+@pytest.mark.parametrize("text", ["\\begin{enumerate} one \\emph{two} end", "A handler answers 404 Not Found for an unknown page; we counted 40 of them and added a redirect.", "Access denied messages now name the missing role.", "We saw errors in the logs and fixed the cause the same day, so that users noticed nothing."])
+def test_reports_are_no_residue(spark, text):
+    assert rs.residue_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 0
+
+
 def test_residue_not_found(spark):
     fine = [
         None, "", "  \n", "In these templates the form `{{ buffer }}` is replaced by its value. More real words follow here and go on.", "The shell expands `${BUFFER}` before it starts, so all files carry the right name.", "After the 502 errors of last week the team raised the limit. " + "Many other words were written about the change and its effects on users. " * 3,
