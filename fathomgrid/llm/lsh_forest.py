@@ -4,8 +4,8 @@ Each text's set of word shingles gives a class (texts of equal sets are one clas
 and minhash symbols.  Every tree sorts the classes by another sequence of symbols, and a run that
 shares ``BASE`` symbols comes into one task and is compared whole.  A run of more than ``BLOCK``
 classes is dealt out in blocks; every pair of blocks is a cell that any task may compare, so no
-pair of a dense region is left out and no task gets it all.  Comparison inside a run is by sketches; the pairs that pass are verified on their whole
-shingle sets.
+pair of a dense region is left out and no task gets it all.  Comparison inside a run is by sketches;
+the pairs that pass are verified on their whole shingle sets.
 
 Defined results: null texts, and texts of fewer words than a shingle, belong to no pair; equal
 texts are a pair; repeated ids count once; classes of up to ``EXPAND`` members are expanded to pairs
@@ -27,14 +27,15 @@ from fathomgrid.llm.batches import map_texts
 from fathomgrid.llm.components import connected_components
 from fathomgrid.session import cut_lineage
 
-#: Trees, symbols of a tree, symbols that a run shares, classes compared at a time, classes of a block of a larger run.
-TREES, SYMBOLS, BASE, RUN, BLOCK = 12, 6, 2, 200, 500
-#: Bytes of a sketch: one of each of the first minhashes. A pair passes if its estimate isn't
-#: below the threshold by more than SLACK (four standard deviations at 0.5).
-SKETCH, SLACK = 64, 0.25
+#: Trees, symbols of a tree, classes compared at a time, classes of a block of a larger run.  A pair of
+#: similarity s shares a run of some tree with probability 1-(1-s^BASE)^TREES: 0.994 at 0.5, 0.9999 at 0.65.
+TREES, BASE, RUN, BLOCK = 18, 2, 200, 500
+#: Minhashes, of which the first are the trees' symbols too; a sketch holds four bits of each.  A pair
+#: passes if its estimate isn't below the threshold by more than SLACK (3.7 standard deviations at 0.5).
+SKETCH, BITS, SLACK = 64, 4, 0.25
 EXPAND = 64
 _rng = np.random.default_rng(20240229)
-_MULTIPLIERS = _rng.integers(1, 1 << 63, size=TREES * SYMBOLS, dtype=np.uint64) | np.uint64(1)
+_MULTIPLIERS = _rng.integers(1, 1 << 63, size=SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
 def _sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -62,10 +63,11 @@ def _signatures(batch: pa.RecordBatch, shingle: int) -> pa.Table | None:
     for j, a in enumerate(_MULTIPLIERS):
         mins[:, j] = np.minimum.reduceat((x * a) ^ ((x * a) >> np.uint64(29)), starts)
     symbols = cpx.splitmix(mins)
-    labels = (symbols & np.uint64(0xFFFF)).astype(">u2").reshape(n, TREES, SYMBOLS)[:, :, :BASE].reshape(n, -1)  # big-endian, so bytes sort as symbols
-    sketch = (symbols[:, :SKETCH] >> np.uint64(20)).astype(np.uint8)
+    labels = (symbols[:, : TREES * BASE] & np.uint64(0xFFFF)).astype(">u2")  # big-endian, so bytes sort as symbols
+    bits = ((symbols >> np.uint64(20)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    sketch = bits[:, ::2] << BITS | bits[:, 1::2]
     fixed = lambda a, w: pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1, dtype=np.int32) * w).tobytes()), pa.py_buffer(np.ascontiguousarray(a).tobytes())])
-    return pa.table({"id": batch.column("id").take(pa.array(rows)), "cls": pa.array(cls.view(np.int64)), "labels": fixed(labels, 2 * labels.shape[1]), "sketch": fixed(sketch, SKETCH)})
+    return pa.table({"id": batch.column("id").take(pa.array(rows)), "cls": pa.array(cls.view(np.int64)), "labels": fixed(labels, 2 * labels.shape[1]), "sketch": fixed(sketch, SKETCH // 2)})
 
 
 def _compare(cls: np.ndarray, sketch: np.ndarray, least: int, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +125,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             continue
         n = batch.num_rows
         label = np.frombuffer(b"".join(batch.column("label").to_pylist()), dtype=">u2").reshape(n, -1).astype(np.uint16)
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, SKETCH)
+        packed = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, SKETCH // 2)
+        sketch = np.hstack([packed >> BITS, packed & ((1 << BITS) - 1)])
         part = (batch.column("cell").to_numpy(), batch.column("side").to_numpy(), label, batch.column("cls").to_numpy(), sketch)
         # hold back the last cell: it may go on in the next batch
         first = int(np.searchsorted(part[0], part[0][-1]))
@@ -158,8 +161,8 @@ def class_pairs(records: DataFrame, key: str, text: str, threshold: float, shing
     cell = F.xxhash64("tree", "label", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own").isNull() | (F.col("own") == F.col("other")), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
     cells = dealt.select(cell.alias("cell"), side.cast("int").alias("side"), "label", "cls", "sketch")
-    # Estimates carry chance matches of one byte: 1/256 of the unequal symbols.
-    least = int(np.floor((max(0.0, threshold - SLACK)) * SKETCH))
+    low = max(0.0, threshold - SLACK)
+    least = int(np.floor((low + (1 - low) / (1 << BITS)) * SKETCH))  # unequal symbols share their bits by chance
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "side", "label", "cls")
     cand = cut_lineage(ordered.mapInArrow(lambda it: _candidates(it, least), "x long, y long").distinct())
     # Whole shingle sets of the classes that occur in a candidate, from their representatives.

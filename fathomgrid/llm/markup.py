@@ -36,7 +36,12 @@ TAGS = (
     "thead time title tr tt u ul var video gallery"
 ).split()
 
+#: Characters up to which ``=``, ``<``, ``>`` or ``+`` between dollar signs shows mathematics.
+PLAIN_MATH = 120
+
 # Every alternative begins with a literal, so the scan skips to the next possible first character.
+# No length is capped: what stands between two delimiters ends at the next one (or at the line's
+# end) and is taken possessively, so a scan stays linear in the text.
 _PIECES = [
     ("tag", r"</?(?:" + "|".join(sorted(TAGS, key=len, reverse=True)) + r")(?=[\s/>])[^<>]*>"),
     ("comment", r"<!(?:--|DOCTYPE|\[CDATA)"),
@@ -50,18 +55,18 @@ _PIECES = [
     ("bullet", r"\n[ \t]*[-*+] +(?!\d+ -[ \t]*(?:\n|\Z))[^\s*+-]"),
     ("wikitable", r"\n(?:\{\||\|\}|\|-)"),
     ("table", r"\n\|[^\n]*\|[ \t]*(?=\n|\Z)"),
-    ("strong", r"\*\*(?<![\w*]\*\*)(?=[^\s*])[^\n]{1,300}?(?<=[^\s*])\*\*(?![\w*])|__(?<![\w_]__)(?=[^\s_])[^_\n]{1,300}(?<=[^\s_])__(?![\w_])"),
-    ("emphasis", r"\*(?<![\w*]\*)(?=[^\s*])[^*\n]{1,300}(?<=[^\s*])\*(?![\w*])|_(?<![\w_]_)(?=[^\s_])[^_\n]{1,300}(?<=[^\s_])_(?![\w_])"),
-    ("strike", r"~~(?=[^\s~])[^~\n]{1,300}(?<=[^\s~])~~"),
-    ("highlight", r"==(?<![=!<>]==)(?=[^\s=])[^=\n]{1,300}(?<=[^\s=])==(?!=)"),
-    ("code", r"`[^`\n]{1,300}`"),
-    ("link", r"\[(?<!\w\[)[^\[\]\n]{1,300}\]\([^()\s]{1,300}(?: \"[^\"\n]*\")?\)|\[(?<!\w\[)[^\[\]\n]{1,200}\]\[[^\[\]\n]{0,80}\]|\[\^[\w-]{1,20}\]"),
-    ("wikilink", r"\[\[(?<!\w\[\[)[^\[\]\n]{1,300}\]\]|\[https?://[^\]\n]{1,300}\]"),
-    ("template", r"\{\{[^{}\n]{1,300}\}\}"),
-    ("wikibold", r"''(?<!['\w]'')'{0,3}(?=[^\s'])[^\n]{1,300}?(?<=[^\s'])''"),
-    ("latex", r"\\(?:begin|end)\{[A-Za-z]+\*?\}|\\[A-Za-z]{2,}\*?(?:\[[^\]\n]{0,100}\])?\{|\\item\b|\\[\[(](?=[^\n]{1,400}\\[\])])"),
-    ("math", r"\$\$(?=[^$]{1,2000}\$\$)|\$(?<![\w$\\]\$)(?=[^\s$])[^$\n]{1,120}(?<=[^\s$])\$(?![\w$])"),
-    ("front", r"\A\n---\n(?:[\w-]+:[^\n]*\n){1,30}---(?=\n|\Z)"),
+    ("strong", r"\*\*(?<![\w*]\*\*)(?=[^\s*])(?:[^*\n]++|\*(?!\*))+(?<=[^\s*])\*\*(?![\w*])|__(?<![\w_]__)(?=[^\s_])(?:[^_\n]++|_(?!_))+(?<=[^\s_])__(?![\w_])"),
+    ("emphasis", r"\*(?<![\w*]\*)(?=[^\s*])[^*\n]+(?<=[^\s*])\*(?![\w*])|_(?<![\w_]_)(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![\w_])"),
+    ("strike", r"~~(?=[^\s~])[^~\n]+(?<=[^\s~])~~"),
+    ("highlight", r"==(?<![=!<>]==)(?=[^\s=])[^=\n]+(?<=[^\s=])==(?!=)"),
+    ("code", r"`[^`\n]+`"),
+    ("link", r"\[(?<!\w\[)[^\[\]\n]+\]\([^()\s]+(?: \"[^\"\n]*\")?\)|\[(?<!\w\[)[^\[\]\n]+\]\[[^\[\]\n]*\]|\[\^[\w-]+\]"),
+    ("wikilink", r"\[\[(?<!\w\[\[)[^\[\]\n]+\]\]|\[https?://[^\[\]\n]+\]"),
+    ("template", r"\{\{[^{}]+\}\}"),
+    ("wikibold", r"''(?<!['\w]'')'{0,3}(?=[^\s'])(?:[^'\n]++|'(?!'))+(?<=[^\s'])''"),
+    ("latex", r"\\(?:begin|end)\{[A-Za-z]+\*?\}|\\[A-Za-z]{2,}\*?(?:\[[^\[\]\n]*\])?\{|\\item\b|\\\((?=(?:[^\n\\]++|\\(?![\[\]()]))*\\\))|\\\[(?=(?:[^\\]++|\\(?![\[\]()]))*\\\])"),
+    ("math", r"\$\$(?=[^$]+\$\$)|\$(?<![\w$\\]\$)(?=[^\s$])[^$\n]+(?<=[^\s$])\$(?![\w$])"),
+    ("front", r"\A\n---\n(?:[\w-]+:[^\n]*\n(?:[ \t]*- [^\n]*\n)*)+---(?=\n|\Z)"),
 ]
 _SCAN = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _PIECES if n != "front"))
 _FRONT = re.compile(_PIECES[-1][1])
@@ -90,6 +95,8 @@ def _is_math(piece: str) -> bool:
     body = piece[1:-1]
     if body[:1].isdigit() and not re.search(r"[\\^_{}]", body):
         return False
+    if len(body) > PLAIN_MATH:  # a long one shows a sign that only TeX has
+        return bool(re.search(r"[\\^_{}]", body))
     return bool(re.search(r"[\\^_{}=<>+]", body)) or len(body) <= 2
 
 
@@ -138,14 +145,14 @@ def markup_chunks(chunks: DataFrame) -> DataFrame:
 
 _CODE_BLOCKS = re.compile(
     r"^(?:```|~~~)(?P<lang>[^\n]*)\n(?P<fenced>.*?)(?:^(?:```|~~~)[ \t]*$|\Z)"
-    r"|<pre\b[^>]*>\s*(?:<code\b[^>]*>)?(?P<pre>.*?)(?:</code>\s*)?</pre>"
-    r"|<(?:syntaxhighlight|source)\b[^>]*>(?P<wiki>.*?)</(?:syntaxhighlight|source)>"
-    r"|\\begin\{(?:verbatim|lstlisting|minted)\}(?:\[[^\]]*\]|\{[^}]*\})*(?P<tex>.*?)\\end\{(?:verbatim|lstlisting|minted)\}",
+    r"|<pre\b[^>]*>\s*(?:<code\b[^>]*>)?(?P<pre>(?:[^<]++|<(?!/?pre\b))*+)</pre>"
+    r"|<(?:syntaxhighlight|source)\b[^>]*>(?P<wiki>(?:[^<]++|<(?!/?(?:syntaxhighlight|source)\b))*+)</(?:syntaxhighlight|source)>"
+    r"|\\begin\{(?:verbatim|lstlisting|minted)\}(?:\[[^\]]*\]|\{[^}]*\})*(?P<tex>(?:[^\\]++|\\(?!(?:begin|end)\{(?:verbatim|lstlisting|minted)))*+)\\end\{(?:verbatim|lstlisting|minted)\}",
     re.S | re.M | re.I,
 )
 _FORMULAS = re.compile(
-    r"\$\$(?P<a>[^$]+)\$\$|\\\[(?P<b>.+?)\\\]|<math\b[^>]*>(?P<c>.*?)</math>|\\begin\{(?P<env>equation|align|gather|multline|eqnarray)\*?\}(?P<d>.*?)\\end\{(?P=env)\*?\}"
-    r"|\\\((?P<e>.+?)\\\)|(?<![\w$\\])\$(?=[^\s$])(?P<f>[^$\n]{1,120})(?<=[^\s$])\$(?![\w$])",
+    r"\$\$(?P<a>[^$]+)\$\$|\\\[(?P<b>(?:[^\\]++|\\(?![\[\]()]))++)\\\]|<math\b[^>]*>(?P<c>(?:[^<]++|<(?!/?math\b))*+)</math>|\\begin\{(?P<env>equation|align|gather|multline|eqnarray)\*?\}(?P<d>(?:[^\\]++|\\(?!(?:begin|end)\{(?P=env)))*+)\\end\{(?P=env)\*?\}"
+    r"|\\\((?P<e>(?:[^\\]++|\\(?![\[\]()]))++)\\\)|(?<![\w$\\])\$(?=[^\s$])(?P<f>[^$\n]+)(?<=[^\s$])\$(?![\w$])",
     re.S,
 )
 _DISPLAY = ("a", "b", "d")
@@ -157,8 +164,8 @@ def _heading(level: int, text: str) -> str:
 
 
 def _html(t: str) -> str:
-    t = re.sub(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<(script|style)\b[^>]*>.*?(?:</\1>|\Z)|<ref\b[^>/]*>.*?</ref>|<ref\b[^>]*/>", " ", t, flags=re.S | re.I)
-    t = re.sub(r"<h([1-6])\b[^>]*>(.*?)</h\1>", lambda m: _heading(int(m[1]), re.sub(r"<[^<>]*>", "", m[2])), t, flags=re.S | re.I)
+    t = re.sub(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<(script|style)\b[^>]*>.*?(?:</\1>|\Z)|<ref\b[^>/]*>(?:[^<]++|<(?!/?ref\b))*+</ref>|<ref\b[^>]*/>", " ", t, flags=re.S | re.I)
+    t = re.sub(r"<h([1-6])\b[^>]*>((?:[^<]++|<(?!/?h[1-6]\b))*+)</h\1>", lambda m: _heading(int(m[1]), re.sub(r"<[^<>]*>", "", m[2])), t, flags=re.S | re.I)
     t = re.sub(r"<li\b[^>]*>\s*", "\n- ", t, flags=re.I)
     t = re.sub(r"</t[dh]>\s*<t[dh]\b[^>]*>", " | ", t, flags=re.I)
     t = re.sub(r"<br\b[^>]*>\s?", "\n", t, flags=re.I)
@@ -172,35 +179,37 @@ def _wiki(t: str) -> str:
     t = re.sub(r"^\{\|[^\n]*$|^\|\}[^\n]*$|^\|-[^\n]*$", "", t, flags=re.M)
     t = re.sub(r"\[\[(?:File|Image|Datei|Fichier|Archivo):[^\[\]|]*(?:\|[^\[\]|]*)*?\|?([^\[\]|]*)\]\]", r"\1", t)
     t = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]", r"\1", t)
-    t = re.sub(r"\[https?://\S+ ([^\]\n]+)\]", r"\1", t)
+    t = re.sub(r"\[https?://\S+ ([^\[\]\n]+)\]", r"\1", t)
     return re.sub(r"(?<![\w'])'{2,5}(?=\S)([^\n]+?)(?<=\S)'{2,5}(?!')", r"\1", t)
 
 
 def _latex(t: str) -> str:
     t = re.sub(r"(?<!\\)%[^\n]*$", "", t, flags=re.M)
     t = re.sub(r"\\(" + "|".join(sorted(_TEX_HEADS, key=len, reverse=True)) + r")\*?\{([^{}]*)\}", lambda m: _heading(_TEX_HEADS[m[1]], m[2]), t)
-    t = re.sub(r"\\item\b(?:\[([^\]\n]*)\])?\s*", lambda m: "\n- " + (m[1] + " " if m[1] else ""), t)
-    t = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]\n]*\])?", "\n", t)
-    t = re.sub(r"~?\\(?:label|cite[tp]?|ref|eqref|pageref|documentclass|usepackage|includegraphics|bibliography|bibliographystyle)\*?(?:\[[^\]\n]*\])*\{[^{}]*\}", "", t)
+    t = re.sub(r"\\item\b(?:\[([^\[\]\n]*)\])?\s*", lambda m: "\n- " + (m[1] + " " if m[1] else ""), t)
+    t = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\[\]\n]*\])?", "\n", t)
+    t = re.sub(r"~?\\(?:label|cite[tp]?|ref|eqref|pageref|documentclass|usepackage|includegraphics|bibliography|bibliographystyle)\*?(?:\[[^\[\]\n]*\])*\{[^{}]*\}", "", t)
     for _ in range(3):
-        t = re.sub(r"\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", t)
+        t = re.sub(r"\\[A-Za-z]{2,}\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}", r"\1", t)
     return re.sub(r"\\([%&_#$])", r"\1", t)
 
 
 def _markdown(t: str) -> str:
-    t = re.sub(r"\A\s*---\n((?:[\w-]+:[^\n]*\n){1,30})---\n?", lambda m: _heading(1, h[1]) if (h := re.search(r"^title:\s*(.+)$", m[1], re.M)) else "", t)
+    t = re.sub(r"\A\s*---\n((?:[\w-]+:[^\n]*\n(?:[ \t]*- [^\n]*\n)*)+)---\n?", lambda m: _heading(1, h[1]) if (h := re.search(r"^title:\s*(.+)$", m[1], re.M)) else "", t)
     t = re.sub(r"^([^\n#>|-][^\n]*)\n(=|-)\2{2,}[ \t]*$", lambda m: _heading(1 if m[2] == "=" else 2, m[1]), t, flags=re.M)
     t = re.sub(r"^(?:-{3,}|\*{3,}|_{3,})[ \t]*$", "", t, flags=re.M)
     t = re.sub(r"^> ?", "", t, flags=re.M)
     t = re.sub(r"^([ \t]*)[*+] +(?=\S)", r"\1- ", t, flags=re.M)
     t = re.sub(r"^\|(?:[ :]*-+[ :]*\|)+[ \t]*\n?", "", t, flags=re.M)
     t = re.sub(r"^\|(.*)\|[ \t]*$", lambda m: " | ".join(x.strip() for x in m[1].split("|")), t, flags=re.M)
-    t = re.sub(r"!?\[(?<!\w\[)([^\[\]\n]{1,300})\]\([^()\s]{1,300}(?: \"[^\"\n]*\")?\)", r"\1", t)
-    t = re.sub(r"\[(?<!\w\[)([^\[\]\n]{1,200})\]\[[^\[\]\n]{0,80}\]", r"\1", t)
-    t = re.sub(r"`{1,2}([^`\n]{1,300})`{1,2}", r"\1", t)
-    t = re.sub(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^*\n]{1,300}?)(?<=[^\s*])\1(?![\w*])", r"\2", t)
-    t = re.sub(r"(?<![\w_])(_{1,3})(?=[^\s_])([^_\n]{1,300}?)(?<=[^\s_])\1(?![\w_])", r"\2", t)
-    return re.sub(r"(~~|==)(?=[^\s~=])([^~=\n]{1,300})(?<=[^\s~=])\1", r"\2", t)
+    t = re.sub(r"!?\[(?<!\w\[)([^\[\]\n]+)\]\([^()\s]+(?: \"[^\"\n]*\")?\)", r"\1", t)
+    t = re.sub(r"\[(?<!\w\[)([^\[\]\n]+)\]\[[^\[\]\n]*\]", r"\1", t)
+    t = re.sub(r"`{1,2}([^`\n]+)`{1,2}", r"\1", t)
+    t = re.sub(r"(?<![\w*])\*\*(?=[^\s*])((?:[^*\n]++|\*(?!\*))+)(?<=[^\s*])\*\*(?![\w*])", r"\1", t)
+    t = re.sub(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^*\n]+)(?<=[^\s*])\1(?![\w*])", r"\2", t)
+    t = re.sub(r"(?<![\w_])__(?=[^\s_])((?:[^_\n]++|_(?!_))+)(?<=[^\s_])__(?![\w_])", r"\1", t)
+    t = re.sub(r"(?<![\w_])(_{1,3})(?=[^\s_])([^_\n]+)(?<=[^\s_])\1(?![\w_])", r"\2", t)
+    return re.sub(r"(~~|==)(?=[^\s~=])([^~=\n]+)(?<=[^\s~=])\1", r"\2", t)
 
 
 def clean_text(text: str) -> str:

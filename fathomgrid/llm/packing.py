@@ -5,12 +5,14 @@ containers and a rest; nothing else is split.  The plan needs only how many item
 size (at most ``capacity`` counts): from the largest size down, a gap is closed exactly by one item,
 by a pair or by a triple, looked up in tables of available single, pair and triple sums and taken
 as often as the counts allow; where no exact complement is left, the largest item that fits goes
-in, and the gap shrinks.  Every step uses up some size, so the plan stays bounded by the capacity
-however many items there are.  Items get their place by their rank within their size, counted per
-partition, so a size that a third of all rows share never comes into one task.
+in, and the gap shrinks.  A pattern is taken until fewer of some size s are left than it needs, at
+most capacity / s; from then on every pattern bound by s takes at least one of them.  So there are
+at most ``sum(1 + capacity / s)`` patterns (``pattern_bound``, 18,846 for 2,048), however many items
+there are.  Items get their place by their rank within their size, counted per part, so a size that
+a third of all rows share never comes into one task.
 
 Defined results: null and empty texts (no tokens) are in no container; repeated rows are items of
-their own; equal sizes are placed in the order of partition, id and piece; an item's tokens are
+their own; equal sizes are placed in the order of part, id and piece; an item's tokens are
 [token_start, token_end) of its text's tokens.
 """
 
@@ -28,6 +30,8 @@ from fathomgrid.llm.batches import map_texts
 from fathomgrid.session import cut_lineage
 
 CAPACITY = 2048
+#: Parts into which the items of a size are dealt for ranking.
+PARTS = 1024
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public splitting pattern of the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,6 +65,10 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: st
     return map_texts(docs, "text", fn, "doc_id long, n_tokens long")
 
 
+def pattern_bound(capacity: int) -> int:
+    return sum(1 + capacity // s for s in range(1, capacity + 1))
+
+
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (sizes, how many containers) that place every item; counts[s] items of size s <= capacity."""
     left = counts.astype(np.int64).copy()
@@ -120,6 +128,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
             left[need] -= times * use[need]
             sums["stale"] += 1
             out.append((tuple(pattern), times))
+    assert len(out) <= pattern_bound(capacity)
     return out
 
 
@@ -137,7 +146,7 @@ def slot_table(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, i
     return rows
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, pattern: str = PATTERN, parts: int = PARTS) -> DataFrame:
     """(container_id, doc_id, piece, token_start, token_end, tokens): where every item stands."""
     spark = documents.sparkSession
     counted = token_counts(documents, vocabulary, pattern).where(F.col("n_tokens") > 0)
@@ -145,19 +154,19 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: s
     items = counted.select("doc_id", "n_tokens", piece).select(
         "doc_id", "piece", (F.col("k") * capacity).alias("token_start"), F.least(F.col("n_tokens"), (F.col("k") + 1) * capacity).alias("token_end")
     )
-    items = items.withColumn("tokens", (F.col("token_end") - F.col("token_start")).cast("int")).withColumn("part", F.spark_partition_id())
-    items = cut_lineage(items)  # part is now a stored column
+    items = items.withColumn("tokens", (F.col("token_end") - F.col("token_start")).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
+    items = cut_lineage(items)  # the texts are tokenised once
     per_part = items.groupBy("tokens", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in per_part.groupBy("tokens").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
         counts[r["tokens"]] = r["n"]
     slots = slot_table(plan(counts, capacity))
-    # At most capacity patterns of at most 64 distinct sizes each: a proven bound, so it's broadcast.
+    # At most pattern_bound(capacity) patterns, most of few sizes: a proven bound, so it's broadcast.
     slot = F.broadcast(spark.createDataFrame(slots or [(0, 0, 0, 0, 1)], "tokens int, lo long, hi long, base long, per int"))
     before = Window.partitionBy("tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = Window.partitionBy("tokens", "part").orderBy("doc_id", "piece", "token_start")
-    ranked = items.withColumn("w", F.row_number().over(within) - 1).join(offsets, ["tokens", "part"]).withColumn("rank", F.col("offset") + F.col("w"))
+    ranked = items.withColumn("w", F.row_number().over(within) - 1).join(offsets.hint("merge"), ["tokens", "part"]).withColumn("rank", F.col("offset") + F.col("w"))
     placed = ranked.join(slot, "tokens").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     container = F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))
     return placed.select(container.cast("long").alias("container_id"), "doc_id", "piece", "token_start", "token_end", "tokens")
