@@ -88,7 +88,7 @@ TRIGGERS = (
 LATIN = "ad al am bor cin com con dex do dol ea el em erc et ex iam ip iq is it la lam lor mco mod ni nos or pis qui sec sed si sit sum tet tru tur ul ut ven".split()
 _LATIN_WORD = re.compile("(?:" + "|".join(sorted(LATIN, key=len, reverse=True)) + "|ipsum|lorem)+")
 _TAG = re.compile(r"<[^<>]*>")
-_SENTENCE = re.compile(r"[^\n.!?…。！？]*(?:[.!?…]+(?=[^\s\"”’')\]])[^\n.!?…。！？]*)*(?:[.!?…]+[\"”’')\]]*|[。！？]|\n|\Z)")
+_SENTENCE_END = re.compile(r"[.!?…]+[\"”’')\]]*(?:\s+|\Z)|\n+|[。！？]")
 #: Page chrome: menus, copyright lines, reference numbers, product and build lines.
 _CHROME = re.compile(r"^[^\n|]+(?:\|[^\n|]+){2,}$|^©[^\n]*$|^(?:\S+ ){0,3}(?:reference|request id|trace|incident|build|version|ray)\W{0,2}[\w-]*\d[\w.-]*\W*$|^\W*[^\W\d][\w-]*/\d[\w.]*$", re.M | re.I)
 #: Shares from which a text is a message or filler.
@@ -146,7 +146,7 @@ def _message_share(low: str) -> tuple[dict, float]:
     triggers = _automaton()
     if not any(True for _ in triggers.iter(body)):
         return {}, 0.0
-    sentences = [x for m in _SENTENCE.finditer(body) if (x := m.group().strip())]
+    sentences = [y for x in _SENTENCE_END.split(body) if (y := x.strip())]
     total = sum(map(len, sentences))
     some = [x for x in sentences if any(True for _ in triggers.iter(x))]
     if sum(map(len, some)) < MESSAGE * total:

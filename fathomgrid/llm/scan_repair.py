@@ -1,16 +1,17 @@
 """Problem 5: noise in text from scanned pages (symmetric-delete index over a corpus lexicon).
 
-The lexicon counts every word of every text.  Each word gives keys: its folded form with one letter
-deleted in every way, and its confusion skeleton; the commonest word of a key is a candidate for
-the rarer words of the key.  Candidates are weighed by an edit distance in which confusions of
-shapes (rn/m, cl/d, e/c, l/1, ...) are cheap, and where several are left the counts of neighbouring
-word pairs choose.  Around this stand the repairs of layout: page numbers and running headers
+The lexicon counts every word of every distinct text (copies of a scanned text would make its
+misread words common).  Each word gives keys: its folded form with one letter deleted in every way,
+and its confusion skeleton; all much commoner words of a key are candidates for it.  Candidates are
+weighed by an edit distance in which confusions of shapes (rn/m, cl/d, e/c, l/1, ...) are cheap, and
+the counts of neighbouring word pairs choose among several; one edit that is no known confusion is
+repaired only if a pair supports it.  Around this stand the repairs of layout: page numbers and running headers
 between the lines go, words broken at line ends are joined (unless the corpus knows them with the
 hyphen), and the lines of a paragraph become one.
 
-A text holds scan noise if it has such a page line, a broken word, or at least ``LEAST`` different
-misread words.  Misread words are looked for in texts with hard line breaks or with digits or signs
-inside words.  Defined results: null and empty texts hold no noise and stay as they are; repeated
+A text holds scan noise if it has such a page line, a broken word, or enough different misread
+words: ``LEAST`` where lines are broken by hand or signs stand inside words, ``ALONE`` in any other
+text, as a rare word that is like a common one may be a name.  Defined results: null and empty texts hold no noise and stay as they are; repeated
 rows each get their own result; texts without noise stay byte for byte.
 """
 
@@ -36,10 +37,12 @@ CONFUSIONS = [
 _SET = set(CONFUSIONS)
 _FOLD = [(a, b) for a, b in CONFUSIONS if len(a) == 2]
 _ONE = str.maketrans({"0": "o", "1": "l", "i": "l", "@": "a", "c": "e", "f": "t", "q": "g", "5": "s", "8": "b", "6": "b", "9": "g", "|": "l"})
-#: Cost of a confusion and of another edit; the largest total; how much commoner a candidate must be.
-CHEAP, DEAR, MOST, RATIO = 0.3, 1.0, 0.95, 10
-#: Different misread words that make a text noisy by themselves.
-LEAST = 2
+#: Cost of a confusion and of another edit; the largest total without support by context, and with it; how much commoner a candidate must be.
+CHEAP, DEAR, MOST, SUPPORTED, RATIO = 0.3, 1.0, 0.95, 1.0, 10
+#: Different misread words that make a text noisy by themselves: in texts of scanned form, in others.
+LEAST, ALONE = 2, 3
+#: Bits of the filter that keeps words without a correction from the shuffle (2 MB, whatever the lexicon).
+FILTER_BITS = 24
 
 _NUMBER = r"(?:[-–—] ?\d{1,4} ?[-–—]|\[\d{1,4}\]|\(\d{1,4}\)|\d{1,4} \||\| \d{1,4}|\d{1,4} ?/ ?\d{1,4}|(?:[Pp]age|[Pp]\.|[Ss]eite|S\.|[Pp]ágina|pág\.) ?\d{1,4}(?: (?:of|de|von|sur|/) \d{1,4})?|\d{1,4})"
 _HEAD = r"(?:(?:Chapter|Chapitre|Kapitel|Capítulo|Section|Part)\.? \d{1,3}[.:]? [^\n]{1,80}|Proc\. [^\n]{1,60}|Vol\. [^\n]{1,60}|[^\W\d_][^\n.,;:!?]{0,40} (?:Handbook|Journal|Proceedings|Handbuch|Manuel|Manual) (?:of|de|der|du|des) [^\n.,;:!?]{1,40}|[^\n.,;:!?]{1,60} {1,3}[·•|] {1,3}[^\n.,;:!?]{1,60}|[^\Wa-zß-ÿ\d_][^a-zß-ÿ\n.,;:!?]{6,80})"
@@ -195,7 +198,7 @@ def keys_of(word: str) -> list[str]:
 
 
 def distance(read: str, meant: str) -> float:
-    """Weighted edit distance from the read form to the meant one; over MOST it is cut short."""
+    """Weighted edit distance from the read form to the meant one; over SUPPORTED it is cut short."""
     while read and meant and read[0] == meant[0] and len(read) > 2 and len(meant) > 2 and read[:2] == meant[:2]:
         read, meant = read[1:], meant[1:]
     while len(read) > 2 and len(meant) > 2 and read[-2:] == meant[-2:]:
@@ -206,7 +209,7 @@ def distance(read: str, meant: str) -> float:
     for i in range(n + 1):
         for j in range(m + 1):
             c = d[i][j]
-            if c > MOST:
+            if c > SUPPORTED:
                 continue
             if i < n and j < m:
                 step = 0.0 if read[i] == meant[j] else CHEAP if (read[i], meant[j]) in _SET else DEAR
@@ -235,55 +238,77 @@ def corrections(lex: DataFrame) -> DataFrame:
 
     plain = lex.where(~F.col("word").contains("-"))
     keyed = plain.mapInArrow(keys, "key string, h long, word string, n long").withColumn("key", F.xxhash64("key"))
-    top = keyed.groupBy("key").agg(F.max(F.struct("n", "word")).alias("t"))
-    cand = keyed.join(top, "key").where((F.col("t.n") >= RATIO * F.col("n")) & (F.col("t.word") != F.col("word"))).select("h", "word", F.col("t.word").alias("fix"), F.col("t.n").alias("fix_n")).distinct()
+    strong = keyed.where(F.col("n") >= RATIO).select("key", F.col("word").alias("fix"), F.col("n").alias("fix_n"))
+    cand = keyed.join(strong, "key").where((F.col("fix_n") >= RATIO * F.col("n")) & (F.col("fix") != F.col("word"))).select("h", "word", "fix", "fix_n").distinct()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cost = np.array([distance(a, b) for a, b in zip(batch.column("word").to_pylist(), batch.column("fix").to_pylist())], dtype=np.float64)
-            ok = pa.array(cost <= MOST)
+            ok = pa.array(cost <= SUPPORTED)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(ok) for c in ("h", "word", "fix", "fix_n")), pa.array(cost).filter(ok)], names=["h", "word", "fix", "fix_n", "cost"])
 
     weighed = cand.mapInArrow(weigh, "h long, word string, fix string, fix_n long, cost double")
     return weighed.groupBy("h", "word").agg(F.sort_array(F.collect_list(F.struct("cost", (-F.col("fix_n")).alias("less"), "fix"))).alias("fixes"))
 
 
-_SUSPECTS = "doc string, kind int, at int, h long, page_lines int"
+def word_filter(fixes: DataFrame) -> np.ndarray:
+    """A bit table of 2^FILTER_BITS bits with one bit per word hash: rows of 64 bits are put together
+    by an aggregate, so the driver gets at most 2^(FILTER_BITS - 6) numbers."""
+    at = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    rows = fixes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("r")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits")).collect()
+    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    for r in rows:
+        table[r["r"]] = r["bits"]
+    return np.unpackbits(table.view(np.uint8), bitorder="little")
 
 
-def suspects(texts: DataFrame) -> DataFrame:
+_SUSPECTS = "doc string, kind int, at int, h long, page_lines int, scanned boolean"
+
+
+def suspects(texts: DataFrame, fixes: DataFrame) -> DataFrame:
     """What speaks for scan noise: rows of kind 0 (a page line count), 1 and 2 (a broken word joined
-    and with its hyphen, by number), 3 (a different word, with its first place)."""
+    and with its hyphen, by number), 3 (a different word that may have a correction, with its first place)."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(word_filter(fixes)))
+    cache: list[np.ndarray] = []
 
     def fn(batch: pa.RecordBatch) -> pa.Table | None:
+        if not cache:
+            cache.append(np.unpackbits(shared.value).astype(bool))
+        may = cache[0]
+        top = np.uint64(64 - FILTER_BITS)
+        text, cp, off = cpx.from_arrow(batch.column("text"))
+        h, row, _, _ = cpx.words(cp, off, extra=(64,))
+        nth = np.arange(len(h)) - np.searchsorted(row, row)
+        hit = np.flatnonzero(may[(h >> top).astype(np.int64)])
+        ends = np.searchsorted(row[hit], np.arange(batch.num_rows + 1))
         rows: list[tuple] = []
-        word_rows: list[tuple] = []
-        words: list[str] = []
-        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-            if "\n" not in text and not _ODD.search(text):
-                continue
-            flat, pages, breaks, wrapped = layout(text)
-            if not (wrapped or pages or breaks) and not _ODD.search(text):
+        for i, doc in enumerate(batch.column("doc").to_pylist()):
+            t = text[off[i] : off[i + 1]]
+            found = hit[ends[i] : ends[i + 1]]
+            if "\n" not in t and len(found) < LEAST:
                 continue
+            flat, pages, breaks, wrapped = layout(t) if "\n" in t else (t, 0, [], False)
+            scanned = bool(wrapped or pages or breaks or _ODD.search(t))
             if pages:
-                rows.append((doc, 0, 0, 0, pages))
-            for k, (a, b) in enumerate(breaks):
-                word_rows += [(doc, 1, k), (doc, 2, k)]
+                rows.append((doc, 0, 0, 0, pages, scanned))
+            words: list[str] = []
+            for a, b in breaks:
                 words += [a + b, f"{a}-{b}"]
-            seen: dict[str, int] = {}
-            tokens = [w.lower() for w in _TOKEN.findall(_BREAK.sub(r"\1\2", flat))]
-            for k, w in enumerate(tokens):
-                if len(w) >= 3 and not w.isdigit() and w not in seen:
-                    seen[w] = k
-            for w, k in seen.items():
-                word_rows.append((doc, 3, k))
-                words.append(w)
-        if not rows and not words:
+            for k, x in enumerate(_hash(words).view(np.int64).tolist() if words else []):
+                rows.append((doc, 1 + k % 2, k // 2, x, 0, scanned))
+            if pages or breaks:  # the words of the text without page lines and with broken words joined
+                _, fcp, foff = cpx.from_arrow(pa.array([_BREAK.sub(r"\1\2", flat)], pa.string()))
+                x = cpx.words(fcp, foff, extra=(64,))[0]
+                place = np.flatnonzero(may[(x >> top).astype(np.int64)])
+                x = x[place]
+            else:
+                x, place = h[found], nth[found]
+            u, first = np.unique(x, return_index=True)
+            rows += [(doc, 3, k, z, 0, scanned) for z, k in zip(u.view(np.int64).tolist(), place[first].tolist())]
+        if not rows:
             return None
-        h = _hash(words).view(np.int64).tolist() if words else []
-        rows += [(d, kind, at, x, 0) for (d, kind, at), x in zip(word_rows, h)]
         c = list(zip(*rows))
-        return pa.table({"doc": pa.array(c[0], pa.string()), "kind": pa.array(c[1], pa.int32()), "at": pa.array(c[2], pa.int32()), "h": pa.array(c[3], pa.int64()), "page_lines": pa.array(c[4], pa.int32())})
+        return pa.table([pa.array(v, t) for v, t in zip(c, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()))], names=["doc", "kind", "at", "h", "page_lines", "scanned"])
 
     return map_texts(texts, "text", fn, _SUSPECTS)
 
@@ -292,23 +317,24 @@ def _texts(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("id").cast("string").alias("doc"), F.col("content").alias("text")).where(F.length("content") > 0)
 
 
-def scan_evidence(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def scan_evidence(chunks: DataFrame, least: int = LEAST, alone: int = ALONE) -> tuple[DataFrame, DataFrame]:
     """(evidence per noisy text, repairs per text and word): evidence is (doc, page_lines, broken,
     misread), repairs (doc, word, fixes)."""
     texts = _texts(chunks)
-    lex = cut_lineage(lexicon(texts))
+    lex = cut_lineage(lexicon(texts.select("text").distinct()))
     fixes = cut_lineage(corrections(lex))
-    found = cut_lineage(suspects(texts))
-    words = found.where("kind = 3").join(fixes, "h").select("doc", "word", "fixes")
+    found = cut_lineage(suspects(texts, fixes))
+    words = found.where("kind = 3").join(fixes, "h").select("doc", "word", "fixes", "scanned")
     known = found.where("kind in (1, 2)").join(lex.select("h", "n"), "h", "left").groupBy("doc", "at").agg(
         F.max(F.when(F.col("kind") == 1, F.coalesce("n", F.lit(0)))).alias("joined"), F.max(F.when(F.col("kind") == 2, F.coalesce("n", F.lit(0)))).alias("hyphened")
     )
     broken = known.where((F.col("joined") >= F.col("hyphened"))).groupBy("doc").agg(F.count(F.lit(1)).alias("broken"))
     pages = found.where("kind = 0").groupBy("doc").agg(F.max("page_lines").alias("page_lines"))
-    misread = words.groupBy("doc").agg(F.count(F.lit(1)).alias("misread"))
+    sure = words.where(F.col("fixes")[0]["cost"] <= MOST)
+    misread = sure.groupBy("doc").agg(F.count(F.lit(1)).alias("misread"), F.max("scanned").alias("scanned"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    every = pages.join(broken, "doc", "full").join(misread, "doc", "full").select("doc", zero("page_lines"), zero("broken"), zero("misread"))
-    return every.where((F.col("page_lines") > 0) | (F.col("broken") > 0) | (F.col("misread") >= least)), words
+    every = pages.join(broken, "doc", "full").join(misread, "doc", "full").select("doc", zero("page_lines"), zero("broken"), zero("misread"), F.when(F.col("scanned"), least).otherwise(alone).alias("enough"))
+    return every.where((F.col("page_lines") > 0) | (F.col("broken") > 0) | (F.col("misread") >= F.col("enough"))).drop("enough"), words.drop("scanned")
 
 
 def noisy_chunks(chunks: DataFrame, **options) -> DataFrame:
@@ -333,7 +359,7 @@ def repaired_text(text: str, fixes: dict[str, str], hyphened: set[str] = frozens
 
 
 def _context(texts: DataFrame, open_words: DataFrame) -> DataFrame:
-    """(doc, word, fix): of words with several candidates, the one whose neighbouring pairs are commonest.
+    """(doc, word, by_context): the candidate whose neighbouring pairs are commonest, if any occurs.
 
     Pairs are counted over all texts, each slice first by itself; only pairs that a candidate needs
     are carried on."""
@@ -377,8 +403,10 @@ def repair_chunks(chunks: DataFrame, **options) -> DataFrame:
     evidence, words = scan_evidence(chunks, **options)
     evidence = cut_lineage(evidence)
     words = cut_lineage(words.join(evidence.select("doc"), "doc", "left_semi"))
-    chosen = words.join(_context(texts, words.where(F.size("fixes") > 1)), ["doc", "word"], "left")
-    fixes = chosen.groupBy("doc").agg(F.map_from_entries(F.collect_set(F.struct("word", F.coalesce("by_context", F.col("fixes")[0]["fix"])))).alias("fixes"))
+    best = F.col("fixes")[0]
+    chosen = words.join(_context(texts, words.where((F.size("fixes") > 1) | (best["cost"] > MOST))), ["doc", "word"], "left")
+    fix = F.coalesce("by_context", F.when(best["cost"] <= MOST, best["fix"]))
+    fixes = chosen.select("doc", "word", fix.alias("fix")).where("fix is not null").groupBy("doc").agg(F.map_from_entries(F.collect_set(F.struct("word", "fix"))).alias("fixes"))
     noisy = texts.join(evidence, "doc").join(fixes, "doc", "left")
 
     def fn(batch: pa.RecordBatch) -> pa.Table:

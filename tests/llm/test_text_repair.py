@@ -166,7 +166,7 @@ def scans(spark):
         "page": wrapped.replace("pipette and\n", "pipette and\n- 42 -\n43  Some Handbook of Things\n"), "hyphen": wrapped.replace("lattice drains", "lat-\ntice drains"), "letters": wrapped.replace("kernel", "kemel").replace("record", "rccord").replace("pipette", "p1pette"),
         "clean": wrapped, "hyphenline": wrapped.replace("warm lattice", "well-known lattice"), "one": wrapped.replace("sensor", "sens0r", 1), "n": None, "e": "",
     }
-    rows = [(f"bg{i}", WORDS + " well-known.") for i in range(40)] + list(noisy.items())
+    rows = [(f"bg{i}", f"{WORDS} well-known. {i}") for i in range(40)] + list(noisy.items())
     return spark.createDataFrame(rows, "id string, content string")
 
 
@@ -235,3 +235,24 @@ def test_layout_noise_of_short_texts():
     text, pages, breaks, wrapped = sr.layout("The membrane is weighed before the reso-\n- 12 -\nnator is heated.")
     assert not wrapped and pages == 1 and breaks == [("reso", "nator")]
     assert sr.repaired_text("The membrane is weighed before the reso-\n- 12 -\nnator is heated.", {}) == "The membrane is weighed before the resonator is heated."
+
+
+def test_copies_of_a_scanned_text_do_not_hide_it(spark):
+    scan = "the kemel buffers every rccord while a\nwarm lattice drains the former pipette and\neach sensor measures the current while the\nkernel buffers every record"
+    rows = [(f"bg{i}", f"{WORDS} number{i}") for i in range(40)] + [(f"copy{i:03d}", scan) for i in range(100)]
+    got = {r["chunk_id"] for r in sr.noisy_chunks(spark.createDataFrame(rows, "id string, content string")).collect()}
+    assert got == {f"copy{i:03d}" for i in range(100)}
+
+
+def test_candidates_are_chosen_by_context(spark):
+    """``hcat`` may be ``heat`` (a confusion) or ``hat`` (a lost letter): both are much commoner."""
+    rows = [(f"a{i}", f"we use heat of water and the kernel, drains the pipette {i}") for i in range(60)] + [(f"b{i}", f"a hat on a head and the kernel, drains the pipette {i}") for i in range(80)]
+    rows += [("x", "here we use hcat of water with\nthe kemel and it drains the p1pette well\nand then all is done here again"), ("y", "he put it to the kernal and kemel by\nthe p1pette and then it drains by itself\nuntil all the water is gone from")]
+    got = {r["chunk_id"]: r["content"] for r in sr.repair_chunks(spark.createDataFrame(rows, "id string, content string")).collect()}
+    assert "use heat of" in got["x"] and "the kernel" in got["x"] and "pipette" in got["x"]
+    assert "to the kernel and" in got["y"]  # no listed confusion, but the pair "the kernel" is common
+
+
+def test_one_line_texts_need_three_misread_words(spark):
+    rows = [(f"bg{i}", f"{WORDS} number{i}") for i in range(40)] + [("two", "a kemel and a rccord stood here"), ("three", "a kemel and a rccord and a lattlce stood here")]
+    assert {r["chunk_id"] for r in sr.noisy_chunks(spark.createDataFrame(rows, "id string, content string")).collect()} == {"three"}
