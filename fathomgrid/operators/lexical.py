@@ -1,4 +1,10 @@
-"""BM25 over positional postings: statistics, phrases, AND with OR fallback, top-k per query and base."""
+"""BM25 over positional postings: statistics, phrases, AND with OR fallback, top-k per query and base.
+
+A batch of queries is answered in one pass over the texts: the queries' distinct terms go to the
+scan as a set (up to ``TERMS`` of them; beyond, postings are joined), each text gives its length and
+the places of those terms only, and everything after works on these.  ``postings`` written to a
+store at indexing time (``stored_postings``) take the scan's place.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgrid.functions import text as tx
+from fathomgrid.session import cut_lineage
 
 K1, B = 1.2, 0.75
+#: Distinct query terms that a scan takes as a set.
+TERMS = 20_000
 
 
 def postings(chunks: DataFrame, column: str = "content_tokenized") -> DataFrame:
@@ -16,15 +25,30 @@ def postings(chunks: DataFrame, column: str = "content_tokenized") -> DataFrame:
     return d.select("kb_id", "chunk_id", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
 
 
+def stored_postings(chunks: DataFrame, column: str = "content_tokenized") -> DataFrame:
+    """(kb_id, chunk_id, dl, term, places): what an index keeps, one row per chunk and term; a chunk
+    without terms keeps a row with none, so that lengths are complete."""
+    w = tx.fts_terms(F.coalesce(F.col(column), F.lit("")))
+    d = chunks.select("kb_id", F.col("id").alias("chunk_id"), w.alias("w"))
+    sorted_ = F.array_sort(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    places = lambda t: F.transform(F.filter("s", lambda x: x["t"] == t), lambda x: x["i"])
+    e = d.select("kb_id", "chunk_id", F.size("w").alias("dl"), sorted_.alias("s"), F.explode_outer(F.array_distinct("w")).alias("term"))
+    return e.select("kb_id", "chunk_id", "dl", "term", places(F.col("term")).alias("places"))
+
+
 def document_lengths(chunks: DataFrame, column: str = "content_tokenized") -> DataFrame:
     """(kb_id, chunk_id, dl), without exploding."""
     return chunks.select("kb_id", F.col("id").alias("chunk_id"), F.size(tx.fts_terms(F.coalesce(F.col(column), F.lit("")))).alias("dl"))
 
 
-def term_statistics(posts: DataFrame) -> DataFrame:
-    """(term, df, tf): documents and occurrences of each term, over all bases."""
-    per_doc = posts.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("n"))  # combines on the map side
-    return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
+def term_statistics(chunks: DataFrame, column: str = "content_tokenized") -> DataFrame:
+    """(term, df, tf): documents and occurrences of each term, over all bases.
+
+    Each text's terms are sorted, so the first of equal ones counts the document: one aggregate by
+    term with map-side combine, no shuffle of (term, document) pairs."""
+    d = chunks.select(F.array_sort(tx.fts_terms(F.col(column))).alias("w"))
+    marked = F.transform("w", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("w", i - 1) != t)).cast("int").alias("first")))
+    return d.select(F.explode(marked).alias("m")).groupBy("m.term").agg(F.sum("m.first").alias("df"), F.count(F.lit(1)).alias("tf"))
 
 
 def query_phrases(queries: DataFrame, query_id: str = "query_id", text: str = "query_text") -> DataFrame:
@@ -34,6 +58,13 @@ def query_phrases(queries: DataFrame, query_id: str = "query_id", text: str = "q
     return parts.select("query_id", "phrase", F.size("parts").alias("len"), F.posexplode("parts").alias("off", "term"))
 
 
+def _scan(chunks: DataFrame, terms: list[str], column: str) -> DataFrame:
+    """(kb_id, chunk_id, dl, hits): every text's length and the places of the wanted terms."""
+    d = chunks.select("kb_id", F.col("id").alias("chunk_id"), tx.fts_terms(F.coalesce(F.col(column), F.lit(""))).alias("w"))
+    placed = F.transform("w", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+    return d.select("kb_id", "chunk_id", F.size("w").alias("dl"), F.filter(placed, lambda x: x["term"].isin(terms)).alias("hits"))
+
+
 def phrase_frequencies(posts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, kb_id, chunk_id, dl, tf): how often each distinct phrase stands in a chunk.
 
@@ -44,13 +75,25 @@ def phrase_frequencies(posts: DataFrame, phrases: DataFrame) -> DataFrame:
     return hit.where("got = len").groupBy("phrase", "kb_id", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, column: str = "content_tokenized") -> DataFrame:
+def _postings_and_statistics(chunks: DataFrame, phrases: DataFrame, column: str, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    numbers = (F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    terms = [r["term"] for r in phrases.select("term").distinct().limit(TERMS + 1).collect()]
+    if stored is not None:
+        wanted = stored.where(F.col("term").isin(terms)) if len(terms) <= TERMS else stored  # reaches the scan
+        lengths = stored.select("kb_id", "chunk_id", "dl").distinct()
+        return wanted.select("kb_id", "chunk_id", "dl", "term", F.explode("places").alias("pos")), lengths.agg(*numbers)
+    if len(terms) > TERMS:
+        return postings(chunks, column), document_lengths(chunks, column).agg(*numbers)
+    scan = cut_lineage(_scan(chunks, terms, column))  # the texts are tokenised once
+    return scan.select("kb_id", "chunk_id", "dl", F.explode("hits").alias("h")).select("kb_id", "chunk_id", "dl", "h.term", "h.pos"), scan.agg(*numbers)
+
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, column: str = "content_tokenized", stored: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """(query_id, kb_id, chunk_id, score, matched, terms) of every chunk that holds a query phrase.
 
     N, df and average length are index-wide, so scores of different bases compare."""
-    posts = postings(chunks, column)
-    stats = document_lengths(chunks, column).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
-    phrases = query_phrases(queries)
+    phrases = query_phrases(queries) if phrases is None else phrases
+    posts, stats = _postings_and_statistics(chunks, phrases, column, stored)  # stats: one row
     freq = phrase_frequencies(posts, phrases)
     df = freq.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     scored = freq.join(df, "phrase").crossJoin(F.broadcast(stats))
@@ -77,5 +120,6 @@ def top_k(scores: DataFrame, k: int, by: list[str], score: str = "score", tie: s
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 50, relax: bool = True, column: str = "content_tokenized") -> DataFrame:
-    return top_k(strict_or_relaxed(bm25_scores(chunks, queries, column), relax), k, ["query_id", "kb_id"])
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 50, relax: bool = True, column: str = "content_tokenized", stored: DataFrame | None = None) -> DataFrame:
+    scores = strict_or_relaxed(bm25_scores(chunks, queries, column, stored), relax).withColumn("score", F.round("score", 9))
+    return top_k(scores, k, ["query_id", "kb_id"])

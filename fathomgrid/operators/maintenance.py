@@ -45,13 +45,47 @@ def resolve_labels(references: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def debounce(events: DataFrame, key: str, ts: str, quiet_seconds: float) -> DataFrame:
-    """(key, first, last, events) of bursts: a burst ends after ``quiet_seconds`` without an event."""
-    w = Window.partitionBy(key).orderBy(ts)
+    """(key, burst, first, last, events): a burst ends after ``quiet_seconds`` without an event.
+
+    Events of one interval of that length are always of one burst, so intervals are aggregated first
+    (map-side) and the window runs over intervals: a hot key costs its intervals, not its events."""
+    quiet = int(quiet_seconds * 1_000_000)
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = at - F.lag(at).over(w)
-    d = events.withColumn("_new", F.when(gap.isNull() | (gap >= int(quiet_seconds * 1_000_000)), 1).otherwise(0))
+    cells = events.where(F.col(ts).isNotNull()).groupBy(key, F.floor(at / quiet).alias("_cell")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("events"))
+    w = Window.partitionBy(key).orderBy("_cell")
+    gap = F.unix_micros(F.col("first").cast("timestamp")) - F.unix_micros(F.lag("last").over(w).cast("timestamp"))
+    d = cells.withColumn("_new", F.when(gap.isNull() | (gap >= quiet), 1).otherwise(0))
     d = d.withColumn("burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(key, "burst").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("events"))
+    return d.groupBy(key, "burst").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"))
+
+
+def number_within(df: DataFrame, key: str, order: str, to: str = "occurrence") -> DataFrame:
+    """Numbers a key's rows in order, from 1.  Rows are range-partitioned by (key, order), counted per
+    part and numbered within it, so a key that a third of the rows share is spread over tasks."""
+    from fathomgrid.session import cut_lineage
+
+    parts = cut_lineage(df.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = parts.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = parts.withColumn("_w", F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)))
+    same = within[key].eqNullSafe(offset[key]) & (within["_part"] == offset["_part"])
+    return within.join(offset, same).select(*[within[c] for c in df.columns], (F.col("_before") + F.col("_w")).cast("int").alias(to))
+
+
+def replace_per_key(stored: DataFrame, fresh: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The stored rows with those of ``keys`` replaced by the fresh ones."""
+    kept = stored.join(keys.select(key).distinct(), key, "left_anti").select(*stored.columns)
+    return kept.unionByName(fresh.join(keys.select(key).distinct(), key, "left_semi").select(*stored.columns))
+
+
+def label_edges(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, label, target, pinned): references of the texts to labels, resolved within their base.
+
+    A label is defined where ``\\label`` stands; the first definition of a file counts."""
+    c = chunks.where(F.col("content").contains("\\")).select(F.col("id").alias("chunk_id"), F.col("kb_id").alias("scope"), F.col("file_path").alias("path"), "content")
+    defined = c.select("scope", "path", F.col("chunk_id").alias("target"), F.explode(F.regexp_extract_all("content", F.lit(r"\\label\{([^{}]+)\}"), 1)).alias("label"))
+    used = c.select("scope", "path", "chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\\(?:eq|page|c|C|auto)?ref\{([^{}]+)\}"), 1))).alias("label"))
+    return resolve_labels(used, defined).select("chunk_id", "label", "target", F.lit(True).alias("pinned"))
 
 
 def neighbours(chunks: DataFrame, n: int = 1) -> DataFrame:

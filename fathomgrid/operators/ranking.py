@@ -10,18 +10,19 @@ from fathomgrid.functions import text as tx
 FORMULA_BOOST, DEPENDENCY_BOOST, MIN_HYBRID = 0.35, 0.25, 0.18
 
 
-def min_max(score: Column, *by: str) -> Column:
-    """Score scaled to [0, 1] within its group; 1 where all are equal."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return F.when(hi == lo, 1.0).otherwise((score - lo) / (hi - lo))
+def min_max(df: DataFrame, by: list[str], score: str = "score", to: str = "scaled") -> DataFrame:
+    """Adds the score scaled to [0, 1] within its group, 1 where all are equal.  The bounds are an
+    aggregate with map-side combine, joined back: a hot group is never gathered in one task."""
+    bounds = df.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return df.join(bounds, by).withColumn(to, F.when(hi == lo, 1.0).otherwise((F.col(score) - lo) / (hi - lo))).drop("_lo", "_hi")
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, w_lexical: float = 0.45, w_vector: float = 0.55, overlap: float = 0.15) -> DataFrame:
     """(query_id, kb_id, chunk_id, score): weighted sum of the scaled legs, and a bonus on both."""
     keys = ["query_id", "kb_id", "chunk_id"]
-    a = lexical.select(*keys, min_max(F.col("score"), "query_id", "kb_id").alias("l"))
-    b = vector.select(*keys, min_max(F.col("score"), "query_id", "kb_id").alias("v"))
+    a = min_max(lexical.select(*keys, "score"), keys[:2], to="l").drop("score")
+    b = min_max(vector.select(*keys, "score"), keys[:2], to="v").drop("score")
     j = a.join(b, keys, "full").select(*keys, F.coalesce("l", F.lit(0.0)).alias("l"), F.coalesce("v", F.lit(0.0)).alias("v"))
     bonus = F.when((F.col("l") > 0) & (F.col("v") > 0), overlap).otherwise(0.0)
     return j.withColumn("score", w_lexical * F.col("l") + w_vector * F.col("v") + bonus)

@@ -1,15 +1,21 @@
-"""Exact vector search: unit vectors, dot products in double, top-k per query and base."""
+"""Exact vector search: dot products in double, top-k per query and base, and offline embeddings."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from fathomgrid.functions import text as tx
 from fathomgrid.operators.lexical import top_k
 
+DIMENSION = 64
+#: Numbers (queries times dimension) of a query side that is broadcast; a larger one goes in blocks.
+BROADCAST_NUMBERS = 4 << 20
+#: An embedding provider: a Column function from text and dimension to an array of unit length.
+Embedder = Callable[[Column, int], Column]
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in double precision; null for vectors of different length."""
@@ -17,36 +23,54 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(products, F.lit(0.0), lambda s, x: s + x))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def unit(v: Column) -> Column:
     """The vector divided by its length, null for zero vectors; the length is computed once per row."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(F.arrays_zip(v.alias("x"), F.array_repeat(norm, F.size(v)).alias("n")), lambda p: p["x"].cast("double") / p["n"]))
+    n = norm(v)
+    return F.when(n > 0, F.transform(F.arrays_zip(v.alias("x"), F.array_repeat(n, F.size(v)).alias("n")), lambda p: p["x"].cast("double") / p["n"]))
+
 
+def hashed_vector(terms: Column, dim: Column | int) -> Column:
+    """A deterministic offline embedding of distinct terms: each adds 1 or -1 to one of ``dim`` places,
+    both taken from its MD5.  Built of JVM functions only; it claims no parity with a model."""
+    dim = F.lit(dim) if isinstance(dim, int) else dim
+    codes = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int"))
+    sign = lambda c: F.when(F.shiftright(c, 16) % 2 == 0, 1.0).otherwise(-1.0)
+    places = F.transform(codes, lambda c: F.struct((c % dim).alias("k"), sign(c).alias("s")))
+    return _once(places, lambda v: F.transform(F.sequence(F.lit(0), dim - 1), lambda b: F.aggregate(F.filter(v, lambda p: p["k"] == b), F.lit(0.0), lambda acc, p: acc + p["s"])))
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def hashed_embedding(texts: pd.Series) -> pd.Series:
-    """A deterministic offline embedding (64 signed hash buckets, unit length).  It stands in for a
-    model where none can be loaded and claims no parity with one."""
-    import re
-    import zlib
 
-    out = []
-    for t in texts:
-        v = np.zeros(64, dtype=np.float64)
-        for w in re.findall(r"\w+", (t or "").lower()):
-            h = zlib.crc32(w.encode())
-            v[h % 64] += 1.0 if h & 64 else -1.0
-        n = np.sqrt((v**2).sum())
-        out.append((v / n if n else v).astype(np.float32).tolist())
-    return pd.Series(out)
+def hashed_embedding(text: Column, dim: int = DIMENSION) -> Column:
+    """Unit vector of a text's distinct index terms (zeros if it has none), as array<double>."""
+    raw = hashed_vector(F.array_distinct(tx.fts_terms(F.coalesce(text, F.lit("")))), dim)
+    return _once(raw, lambda v: F.coalesce(unit(v), v)).cast("array<double>")
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, key: str = "chunk_id", group: str = "kb_id") -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, key: str = "chunk_id", group: str = "kb_id", blocks: int | None = None) -> DataFrame:
     """(query_id, group, key, score, rank): every query vector against all vectors of its length.
 
-    A stated set of queries is scored in one pass over the vectors; the k best per query and group
-    are kept before the shuffle."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = vectors.select(group, key, F.col("embedding").alias("v")).join(q, F.size("v") == F.size("q"))
+    The stated set of queries is measured first: up to BROADCAST_NUMBERS numbers it goes to every
+    task and the vectors are read once, without a shuffle; a larger one is dealt out in ``blocks``,
+    each of which meets all vectors in tasks spread by a salt.  The k best per query and group are
+    kept before the shuffle."""
+    q = queries.select("query_id", F.col("embedding").alias("q")).where(F.col("q").isNotNull())
+    v = vectors.select(group, key, F.col("embedding").alias("v"))
+    numbers = q.agg(F.sum(F.size("q"))).first()[0] or 0
+    if numbers <= BROADCAST_NUMBERS:
+        pairs = v.join(F.broadcast(q), F.size("v") == F.size("q"))
+    else:
+        blocks = blocks or -(-numbers // BROADCAST_NUMBERS)
+        dealt = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        salts = 64
+        left = v.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = left.join(dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["block", "salt"]).where(F.size("v") == F.size("q"))
     scored = pairs.select("query_id", group, key, dot(F.col("v"), F.col("q")).alias("score")).where(F.col("score").isNotNull())
-    return top_k(scored, k, ["query_id", group], tie=key)
+    return top_k(scored.withColumn("_s", F.round("score", 9)), k, ["query_id", group], "_s", key).drop("_s")

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathomgrid.functions import text as tx
-from fathomgrid.operators import lexical, ranking, vector
-from fathomgrid.plans.registry import SQL_DOT, query, sql_list, sql_signals, sql_spaced, sql_terms, sql_tokens
+from fathomgrid.operators import evaluation, lexical, ranking, retrieval, vector
+from fathomgrid.plans.registry import SQL_DOT, query, sql_case, sql_list, sql_signals, sql_spaced, sql_terms, sql_tokens
 
 T = "content_tokenized"
 _R = lambda c: F.round(c, 6)
@@ -32,13 +32,13 @@ def _scores(t):
 
 @query(f"WITH {_POST} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM post GROUP BY term")
 def agg05_term_statistics(t):
-    return lexical.term_statistics(lexical.postings(t.chunks))
+    return lexical.term_statistics(t.chunks)
 
 
 @query(f"WITH {_POST}, {_LEN} SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(DISTINCT term) FROM post) AS terms FROM st")
 def agg05_corpus_statistics(t):
-    posts = lexical.postings(t.chunks)
-    return lexical.document_lengths(t.chunks).agg(F.count(F.lit(1)).alias("n_docs"), _R(F.avg("dl")).alias("avgdl")).crossJoin(posts.agg(F.count_distinct("term").alias("terms")))
+    lengths = lexical.document_lengths(t.chunks).agg(F.count(F.lit(1)).alias("n_docs"), _R(F.avg("dl")).alias("avgdl"))
+    return lengths.crossJoin(lexical.term_statistics(t.chunks).agg(F.count(F.lit(1)).alias("terms")))  # one row each
 
 
 @query(f"WITH {_BM25} SELECT query_id, kb_id, chunk_id, round(score, 6) AS score, matched FROM sc")
@@ -72,10 +72,10 @@ def _vq(t):
 
 @query(f"WITH {_QV}, s AS (SELECT query_id, label, vec_id, round({SQL_DOT}, 6) AS score FROM (SELECT query_id, label, vec_id, embedding AS a, b FROM embeddings, q)) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
 def ret02_semantic_search(t):
-    e = t.embeddings.withColumn("one", F.lit(1))
-    s = e.select("label", "vec_id", F.col("embedding").alias("v")).crossJoin(F.broadcast(_vq(t)))
-    scored = s.select("query_id", "label", "vec_id", _R(vector.dot(F.col("v"), F.col("embedding"))).alias("score"))
-    return lexical.top_k(scored, 10, ["query_id"], tie="vec_id").drop("rank")
+    e = t.embeddings.withColumn("all", F.lit(0))
+    found = vector.vector_search(e.select("all", F.struct("vec_id", "label").alias("hit"), "embedding"), _vq(t), 20, "hit", "all")
+    s = found.select("query_id", "hit.label", "hit.vec_id", _R(F.col("score")).alias("score"))
+    return lexical.top_k(s, 10, ["query_id"], tie="vec_id").drop("rank")
 
 
 @query(f"WITH {_QV}, s AS (SELECT query_id, label, vec_id, round({SQL_DOT}, 6) AS score FROM (SELECT query_id, label, vec_id, embedding AS a, b FROM embeddings, q)) SELECT query_id, label, vec_id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 3")
@@ -103,7 +103,7 @@ _LAST2 = "lt AS (SELECT query_id, kb_id, chunk_id, leg, (max({'at': coalesce(see
 @query(f"WITH {_LAST2} SELECT query_id, leg, chunk_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS scaled FROM lx WINDOW w AS (PARTITION BY query_id, leg)")
 def agg07_min_max(t):
     h = _latest_hits(t).where("score is not null")
-    return h.select("query_id", "leg", "chunk_id", _R(ranking.min_max(F.col("score"), "query_id", "leg")).alias("scaled"))
+    return ranking.min_max(h, ["query_id", "leg"]).select("query_id", "leg", "chunk_id", _R(F.col("scaled")).alias("scaled"))
 
 
 _FUSE = (
@@ -122,11 +122,45 @@ def jn05_fusion(t):
     return _fused(t).select("query_id", "kb_id", "chunk_id", _R(F.col("score")).alias("score"))
 
 
-@query(f"WITH {_FUSE}, tr AS (SELECT id AS kb_id, (CASE WHEN status = 'stale' THEN 0.92 ELSE 1 END) * (CASE WHEN source_type IN ('directory', 'file') THEN 1.04 WHEN source_type IN ('text', 'url') THEN 0.98 ELSE 1 END) AS trust FROM knowledge_bases WHERE status IN ('ready', 'stale')) SELECT query_id, chunk_id, round(score * trust, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score * trust, 6) DESC, chunk_id)::INT AS rank FROM fz JOIN tr USING (kb_id) QUALIFY rank <= 10")
-def ret03_hybrid_search(t):
-    kb = t.knowledge_bases.where(F.col("status").isin("ready", "stale")).select(F.col("id").alias("kb_id"), ranking.trust(F.col("status"), F.col("source_type")).alias("trust"))
-    s = _fused(t).join(kb, "kb_id").select("query_id", "chunk_id", _R(F.col("score") * F.col("trust")).alias("score"))
-    return lexical.top_k(s, 10, ["query_id"])
+_TRUST = "(CASE WHEN status = 'stale' THEN 0.92 ELSE 1 END) * (CASE WHEN source_type IN ('directory', 'file') THEN 1.04 WHEN source_type IN ('text', 'url') THEN 0.98 ELSE 1 END)"
+_KB = f"kb AS (SELECT id AS kb_id, embedding_dimension AS dim, {_TRUST} AS trust FROM knowledge_bases WHERE status IN ('ready', 'stale') AND coalesce(chunk_count, 0) > 0)"
+
+
+def _sql_vector(terms: str, dim: str) -> str:
+    codes = f"list_transform({terms}, lambda x: ('0x' || substr(md5(x), 1, 6))::INT)"
+    return f"list_transform(range(0, {dim}), lambda k: coalesce(list_sum(list_transform(list_filter({codes}, lambda c: c % {dim} = k), lambda c: CASE WHEN (c // 65536) % 2 = 0 THEN 1.0 ELSE -1.0 END)), 0.0)::DOUBLE)"
+
+
+#: Vector leg: cosines of the queries' hashed vectors with the latest vectors of every base in scope, the K best of each.
+_VLEG = (
+    "cv AS (SELECT kb_id, chunk_id, (max({'at': coalesce(embedded_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'), 'e': embedding})).e AS e FROM chunk_vectors WHERE embedding IS NOT NULL AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL)), false) GROUP BY ALL), "
+    "cw AS (SELECT kb_id, chunk_id, dim, e FROM cv JOIN kb USING (kb_id) WHERE len(e) = dim AND list_sum(list_transform(e, lambda x: abs(x))) > 0), dims AS (SELECT DISTINCT dim FROM kb WHERE dim > 0), "
+    f"qx AS (SELECT query_id, dim, {_sql_vector('w', 'dim::INT')} AS v FROM (SELECT query_id, list_distinct({sql_terms('query_text')}) AS w FROM search_queries) CROSS JOIN dims), "
+    "qy AS (SELECT * FROM qx WHERE list_sum(list_transform(v, lambda x: abs(x))) > 0), "
+    "vs AS (SELECT query_id, kb_id, chunk_id, (list_sum(list_transform(list_zip(e, v), lambda p: p[1]::DOUBLE * p[2])) / sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x))) / sqrt(list_sum(list_transform(v, lambda x: x * x)))) AS score FROM cw JOIN qy USING (dim))"
+)
+_CAND = 120  # the candidates of the balanced profile
+_HYBRID = (
+    f"{_BM25}, {_RELAX}, {_KB}, lexl AS (SELECT query_id, kb_id, chunk_id, round(score, 9) AS score FROM rx JOIN kb USING (kb_id) QUALIFY row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id) <= {_CAND}), "
+    f"{_VLEG}, vecl AS (SELECT vs.query_id, vs.kb_id, chunk_id, score FROM vs JOIN (SELECT DISTINCT query_id, kb_id FROM lexl) USING (query_id, kb_id) QUALIFY row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id) <= {_CAND}), "
+    "hl AS (SELECT query_id, kb_id, chunk_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS l FROM lexl WINDOW w AS (PARTITION BY query_id, kb_id)), "
+    "hv AS (SELECT query_id, kb_id, chunk_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS v FROM vecl WINDOW w AS (PARTITION BY query_id, kb_id)), "
+    "hf AS (SELECT query_id, kb_id, chunk_id, trust * (0.45 * coalesce(l, 0) + 0.55 * coalesce(v, 0) + CASE WHEN coalesce(l, 0) > 0 AND coalesce(v, 0) > 0 THEN 0.15 ELSE 0 END) AS score FROM hl FULL JOIN hv USING (query_id, kb_id, chunk_id) JOIN kb USING (kb_id))"
+)
+
+
+def _scope(t):
+    return retrieval.scope(t.knowledge_bases)[0]
+
+
+def _query_vectors(t, scope):
+    dims = [r["dim"] for r in scope.where("dim > 0").select("dim").distinct().collect()]  # the few dimensions of the bases
+    return retrieval.query_vectors(t.search_queries, sorted(dims))
+
+
+def _hybrid_rows(t, mode="hybrid", **options):
+    scope = _scope(t)
+    return retrieval.hybrid_rows(mode, t.chunks, t.chunk_vectors, t.search_queries, _query_vectors(t, scope), scope, _CAND, **options)
 
 
 @query("SELECT id, round((CASE WHEN status = 'stale' THEN 0.92 ELSE 1 END) * (CASE WHEN source_type IN ('directory', 'file') THEN 1.04 WHEN source_type IN ('text', 'url') THEN 0.98 ELSE 1 END), 6)::DOUBLE AS trust FROM knowledge_bases")
@@ -135,10 +169,12 @@ def sco09_trust(t):
 
 
 _STEM = "regexp_replace(regexp_replace(list_extract(string_split(file_path, '/'), -1), '[.][^.]+$', ''), '(?i:_test|[.]test|[.]spec)$', '')"
-_ADJ = (
-    f"{_LAST2}, q AS (SELECT query_id, {sql_signals(sql_tokens('query_text'))} AS qs FROM search_queries), "
-    f"c AS (SELECT id AS chunk_id, file_path, lower(trim(coalesce(file_type, ''))) AS ft, {sql_signals(sql_tokens(sql_spaced('file_path')))} AS ps, {sql_signals(sql_tokens(sql_spaced(_STEM)))} AS ss FROM chunks WHERE file_path IS NOT NULL), "
-    f"x AS (SELECT *, list_has_any(qs, {sql_list(tx.GUIDE)}) AS guide, list_has_any(qs, {sql_list(tx.TESTS)}) AS tests, list_has_any(qs, {sql_list(tx.LOCALIZATION)}) AS loc, ft IN ({', '.join(repr(s) for s in tx.SOURCE_TYPES)}) AS src, least(0.45, 0.18 * len(list_intersect(ps, qs))) AS raw FROM lx JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE leg = 'fusion'), "
+def _sql_adjust(source: str) -> str:
+    """q, c, x, y, z: the adjusted scores ``adj`` of the rows (query_id, chunk_id, score) of ``source``."""
+    return (
+        f"q AS (SELECT query_id, {sql_signals(sql_tokens('query_text'))} AS qs FROM search_queries), "
+    f"c AS (SELECT id AS chunk_id, file_path, coalesce({sql_case("lower(trim(file_type))", tx.TYPE_ALIASES, "lower(trim(file_type))")}, '') AS ft, {sql_signals(sql_tokens(sql_spaced('file_path')))} AS ps, {sql_signals(sql_tokens(sql_spaced(_STEM)))} AS ss FROM (SELECT id, coalesce(file_path, $$$$) AS file_path, file_type FROM chunks)), "
+    f"x AS (SELECT *, list_has_any(qs, {sql_list(tx.GUIDE)}) AS guide, list_has_any(qs, {sql_list(tx.TESTS)}) AS tests, list_has_any(qs, {sql_list(tx.LOCALIZATION)}) AS loc, ft IN ({', '.join(repr(s) for s in tx.SOURCE_TYPES)}) AS src, least(0.45, 0.18 * len(list_intersect(ps, qs))) AS raw FROM {source} JOIN q USING (query_id) JOIN c USING (chunk_id)), "
     "y AS (SELECT *, CASE WHEN guide AND src THEN least(0.08, raw) ELSE raw END AS pb, CASE WHEN NOT src THEN 0 WHEN guide THEN least(0.05, raw) WHEN list_has_any(ss, qs) THEN 0.32 ELSE least(0.22, raw) END AS sb, "
     "CASE WHEN NOT guide OR ft NOT IN ('markdown', 'latex') THEN 0 WHEN contains(lower(file_path), 'install') OR contains(lower(file_path), 'readme') OR contains(lower(file_path), 'getting-started') OR contains(lower(file_path), 'quickstart') THEN 0.85 WHEN starts_with(lower(file_path), 'docs/') THEN 0.35 ELSE 0 END AS db, "
     + " OR ".join(f"contains(lower(file_path), '{m}')" for m in tx.TEST_MARKS)
@@ -147,14 +183,12 @@ _ADJ = (
 )
 
 
+_ADJ = f"{_LAST2}, lf AS (SELECT query_id, chunk_id, score FROM lx WHERE leg = 'fusion'), {_sql_adjust('lf')}"
+_COV = f"k AS (SELECT id AS chunk_id, {sql_signals(sql_tokens(T))} AS cs FROM chunks)"
+
+
 def _adjusted(t):
-    q = t.search_queries.select("query_id", tx.signals(tx.search_tokens(F.col("query_text"))).alias("query_signals"))
-    p = F.col("file_path")
-    c = t.chunks.where(p.isNotNull()).select(
-        F.col("id").alias("chunk_id"), "file_path", F.lower(F.trim(F.coalesce("file_type", F.lit("")))).alias("file_type"), "start_line", "end_line", F.col(T).alias("stream"),
-        tx.signals(tx.search_tokens(tx.spaced(p))).alias("path_signals"), tx.signals(tx.search_tokens(tx.spaced(tx.path_stem(p)))).alias("stem_signals"),
-    )
-    return ranking.adjusted(_leg(t, "fusion").join(q, "query_id").join(c, "chunk_id"))
+    return retrieval.adjusted(_leg(t, "fusion").drop("kb_id"), t.chunks, t.search_queries)
 
 
 @query(f"WITH {_ADJ} SELECT query_id, chunk_id, round(pb, 6)::DOUBLE AS path_boost, round(sb, 6)::DOUBLE AS source_boost, round(db, 6)::DOUBLE AS documentation_boost, tp AS is_test, lp AS is_localization, round(adj, 6) AS adjusted_score FROM z")
@@ -163,13 +197,38 @@ def sco08_rank_adjust(t):
     return a.select("query_id", "chunk_id", *[_R(F.col(c)).alias(c) for c in ("path_boost", "source_boost", "documentation_boost")], "is_test", "is_localization", _R(F.col("adjusted_score")).alias("adjusted_score"))
 
 
-@query(f"WITH {_ADJ}, k AS (SELECT id AS chunk_id, {sql_signals(sql_tokens(T))} AS cs FROM chunks), g AS (SELECT query_id, chunk_id, adj, sb, len(qs) AS n, CASE WHEN len(qs) = 0 THEN 0 ELSE len(list_intersect(cs, qs)) / len(qs) END AS cov FROM z JOIN k USING (chunk_id)) SELECT query_id, chunk_id, round(cov, 6) AS coverage FROM g WHERE round(adj, 9) >= 0.18 AND CASE WHEN n <= 1 OR round(sb, 9) >= 0.22 THEN true WHEN n <= 3 THEN cov >= 1 / n ELSE cov >= 0.34 END")
+_GATE = "round(adj, 9) >= 0.18 AND CASE WHEN n <= 1 OR round(sb, 9) >= 0.22 THEN true WHEN n <= 3 THEN cov >= 1 / n ELSE cov >= 0.34 END"
+_GATED = "g AS (SELECT query_id, chunk_id, adj, sb, len(qs) AS n, CASE WHEN len(qs) = 0 THEN 0 ELSE len(list_intersect(cs, qs)) / len(qs) END AS cov FROM z JOIN k USING (chunk_id))"
+
+
+@query(f"WITH {_ADJ}, {_COV}, {_GATED} SELECT query_id, chunk_id, round(cov, 6) AS coverage FROM g WHERE {_GATE}")
 def flt05_confidence_gate(t):
-    a = _adjusted(t)
-    cov = tx.coverage(tx.signals(tx.search_tokens(F.col("stream"))), F.col("query_signals"))
-    g = a.select("query_id", "chunk_id", "adjusted_score", F.round("source_boost", 9).alias("sb"), F.size("query_signals").alias("n"), cov.alias("cov"))
-    ok = (F.round("adjusted_score", 9) >= ranking.MIN_HYBRID) & ranking.enough_evidence(F.col("n"), F.col("sb"), F.col("cov"))
-    return g.where(ok).select("query_id", "chunk_id", _R(F.col("cov")).alias("coverage"))
+    g = _adjusted(t)
+    ok = (F.round("adjusted_score", 9) >= ranking.MIN_HYBRID) & ranking.enough_evidence(F.size("query_signals"), F.round("source_boost", 9), F.col("coverage"))
+    return g.where(ok).select("query_id", "chunk_id", _R(F.col("coverage")).alias("coverage"))
+
+
+@query(f"WITH {_HYBRID}, {_sql_adjust('hf')}, {_COV}, {_GATED} SELECT query_id, chunk_id, round(adj, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(adj, 6) DESC, chunk_id)::INT AS rank FROM g WHERE {_GATE} QUALIFY rank <= 10")
+def ret03_hybrid_search(t):
+    """From the texts and vectors: BM25 and cosine per base, fused, adjusted and gated."""
+    rows, _ = _hybrid_rows(t)
+    return lexical.top_k(rows.withColumn("score", _R(F.col("score"))), 10, ["query_id"]).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {_KB}, {_VLEG}, vl AS (SELECT query_id, chunk_id, trust * score AS score FROM vs JOIN kb USING (kb_id) QUALIFY row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(vs.score, 9) DESC, chunk_id) <= {_CAND}), {_sql_adjust('vl')} SELECT query_id, chunk_id, round(adj, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(adj, 6) DESC, chunk_id)::INT AS rank FROM z QUALIFY rank <= 10")
+def ret02_semantic_over_bases(t):
+    """Semantic mode over the bases: vectors only, no gate."""
+    rows, _ = _hybrid_rows(t, "semantic")
+    return lexical.top_k(rows.withColumn("score", _R(F.col("score"))), 10, ["query_id"]).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(None)
+def ret05_adaptive_search(t):
+    """Hybrid seeds with their context windows, overlapping windows collapsed (a fold: no SQL)."""
+    rows, _ = _hybrid_rows(t)
+    seeds = lexical.top_k(rows.withColumn("score", F.round("score", 9)), 20, ["query_id"])
+    w = retrieval.collapse_windows(retrieval.adaptive_windows(seeds, t.chunks, t.search_queries))
+    return w.select("query_id", "seed_id", _R(F.col("score")).alias("score"), "start_line", "end_line", F.array_join("sources", ",").alias("sources"), F.length("content").alias("n_chars"))
 
 
 @query(f"WITH q AS (SELECT query_id, {sql_signals(sql_tokens('query_text'))} AS qs FROM search_queries), k AS (SELECT id AS chunk_id, {sql_signals(sql_tokens(T))} AS cs FROM chunks), h AS (SELECT DISTINCT query_id, chunk_id FROM search_hits) SELECT query_id, chunk_id FROM h JOIN q USING (query_id) JOIN k USING (chunk_id) WHERE list_has_any(cs, qs)")
@@ -221,9 +280,10 @@ def win04_interleave(t):
 
 @query(f"WITH {_LAST2}, o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos, count(*) OVER (PARTITION BY query_id) AS total FROM lx WHERE leg = 'fusion') SELECT query_id, chunk_id, total AS total_count, total > 15 AS has_more FROM o WHERE pos > 10 AND pos <= 15")
 def srt06_page(t):
-    w = Window.partitionBy("query_id")
-    o = _leg(t, "fusion").select("query_id", "chunk_id", F.row_number().over(w.orderBy(F.col("score").desc(), "chunk_id")).alias("pos"), F.count(F.lit(1)).over(w).alias("total"))
-    return o.where("pos > 10 and pos <= 15").select("query_id", "chunk_id", F.col("total").alias("total_count"), (F.col("total") > 15).alias("has_more"))
+    h = _leg(t, "fusion").select("query_id", "chunk_id", "score")
+    page = lexical.top_k(h, 15, ["query_id"]).where("rank > 10")  # a group limit before the shuffle
+    total = h.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_count"))
+    return page.join(total, "query_id").select("query_id", "chunk_id", "total_count", (F.col("total_count") > 15).alias("has_more"))
 
 
 @query(f"WITH {_LAST2} SELECT query_id, chunk_id, round(1 / (1 + exp(-score)), 6) AS relevance FROM lx WHERE leg = 'adjusted'")
@@ -238,95 +298,127 @@ def sco13_diversify(t):
     return ranking.diversify(top.join(c, "chunk_id"))
 
 
-# Formula leg.
-_FP = f"fp AS (SELECT chunk_id, id, normalized, {sql_terms('normalized')} AS w FROM formulas WHERE normalized IS NOT NULL)"
+# Formula leg. A query's formulas are those of its five best chunks: a search by example.
+_BEST5 = "b5 AS (SELECT query_id, chunk_id FROM lx WHERE leg = 'adjusted' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5)"
+_ASKF = f"{_LAST2}, {_BEST5}, fm AS (SELECT DISTINCT id, kb_id, chunk_id, normalized, content_tokenized FROM formulas), af AS (SELECT DISTINCT query_id, normalized FROM b5 JOIN fm USING (chunk_id) WHERE normalized IS NOT NULL)"
+_FUZZY = (
+    f"fp AS (SELECT kb_id, id, unnest(w) AS term FROM (SELECT kb_id, id, {sql_terms('content_tokenized')} AS w FROM fm)), fl AS (SELECT id, len({sql_terms('coalesce(content_tokenized, $$$$)')}) AS dl FROM fm), fst AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM fl), "
+    f"aterm AS (SELECT DISTINCT query_id, unnest({sql_terms('normalized')}) AS term FROM af), ftf AS (SELECT term, kb_id, id, count(*) AS tf FROM fp WHERE term IN (SELECT term FROM aterm) GROUP BY ALL), fdf AS (SELECT term, count(*) AS df FROM ftf GROUP BY term), "
+    "fw AS (SELECT term, kb_id, id, (CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM ftf JOIN fdf USING (term) JOIN fl USING (id), fst), "
+    "fsum AS (SELECT query_id, kb_id, id, round(sum(w), 9) AS score FROM fw JOIN aterm USING (term) GROUP BY ALL), ftop AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY score DESC, id) AS rank FROM fsum QUALIFY rank <= 50), frank AS (SELECT *, count(*) OVER (PARTITION BY query_id, kb_id) AS n FROM ftop), "
+    "fsc AS (SELECT query_id, chunk_id, max(s) AS fscore FROM (SELECT query_id, chunk_id, 0.8 * (n - rank + 1) / n AS s FROM frank JOIN fm USING (id) UNION ALL SELECT query_id, chunk_id, 1.0 FROM af JOIN fm USING (normalized)) GROUP BY ALL)"
+)
 
 
-@query("WITH q AS (SELECT DISTINCT normalized FROM formulas WHERE token_count BETWEEN 4 AND 6) SELECT DISTINCT chunk_id, normalized FROM formulas WHERE normalized IN (SELECT normalized FROM q)")
-def flt09_exact_formula(t):
-    q = t.formulas.where("token_count between 4 and 6").select("normalized").distinct()
-    return t.formulas.join(q, "normalized", "left_semi").select("chunk_id", "normalized").distinct()
+def _asked_formulas(t):
+    best = lexical.top_k(_leg(t, "adjusted"), 5, ["query_id"]).select("query_id", "chunk_id")
+    return best.join(t.formulas.select("chunk_id", "normalized"), "chunk_id").where("normalized is not null").select("query_id", "normalized").distinct()
 
 
-@query(f"WITH {_FP}, u AS (SELECT id, unnest(list_distinct(w)) AS term FROM fp) SELECT term, count(*) AS formulas FROM u GROUP BY term")
-def jn02_formula_postings(t):
-    u = t.formulas.where("normalized is not null").select("id", F.explode(F.array_distinct(tx.fts_terms(F.col("normalized")))).alias("term"))
-    return u.groupBy("term").agg(F.count(F.lit(1)).alias("formulas"))
+def _formula_scores(t):
+    return retrieval.formula_scores(_asked_formulas(t), t.formulas).groupBy("query_id", "chunk_id").agg(F.max("formula_score").alias("fscore"))
 
 
-@query("WITH r AS (SELECT kb_id, id, coalesce(token_count, 0) AS s, row_number() OVER (PARTITION BY kb_id ORDER BY coalesce(token_count, 0) DESC, id) AS rank, count(*) OVER (PARTITION BY kb_id) AS n FROM (SELECT DISTINCT kb_id, id, token_count FROM formulas)) SELECT kb_id, id, round(0.8 * (n - rank + 1) / n, 6) AS score FROM r")
-def win02_rank_score(t):
-    w = Window.partitionBy("kb_id")
-    r = t.formulas.select("kb_id", "id", F.coalesce("token_count", F.lit(0)).alias("s")).distinct().withColumn("rank", F.row_number().over(w.orderBy(F.col("s").desc(), "id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return r.select("kb_id", "id", _R(F.lit(0.8) * (F.col("n") - F.col("rank") + 1) / F.col("n")).alias("score"))
+@query(f"WITH {_ASKF} SELECT DISTINCT query_id, chunk_id, normalized FROM af JOIN fm USING (normalized)")
+def flt09_exact_formula(t):
+    return _asked_formulas(t).join(t.formulas.select("chunk_id", "normalized").distinct(), "normalized").select("query_id", "chunk_id", "normalized")
 
 
-_FS = "fs AS (SELECT chunk_id, max(CASE WHEN token_count >= 10 THEN 1.0 ELSE 0.8 * token_count / 10.0 END) AS fscore FROM formulas WHERE token_count > 0 GROUP BY chunk_id)"
+@query(f"WITH {_ASKF}, {_FUZZY} SELECT query_id, kb_id, id, rank::INT AS rank FROM frank")
+def jn02_formula_postings(t):
+    """Formula postings joined with the queries' formulas: the ranked matches of each base."""
+    return retrieval.formula_candidates(_asked_formulas(t), t.formulas).select("query_id", "kb_id", "id", "rank")
 
 
-def _formula_scores(t):
-    s = F.when(F.col("token_count") >= 10, 1.0).otherwise(0.8 * F.col("token_count") / 10.0)
-    return t.formulas.where("token_count > 0").groupBy("chunk_id").agg(F.max(s).alias("fscore"))
+@query(f"WITH {_ASKF}, {_FUZZY} SELECT query_id, kb_id, id, round(0.8 * (n - rank + 1) / n, 6) AS score FROM frank")
+def win02_rank_score(t):
+    r = retrieval.formula_candidates(_asked_formulas(t), t.formulas)
+    return r.select("query_id", "kb_id", "id", _R(F.lit(retrieval.FUZZY_TOP) * (F.col("n") - F.col("rank") + 1) / F.col("n")).alias("score"))
 
 
-@query(f"WITH {_FS} SELECT chunk_id, round(fscore, 6) AS formula_score FROM fs")
+@query(f"WITH {_ASKF}, {_FUZZY} SELECT query_id, chunk_id, round(fscore, 6) AS formula_score FROM fsc")
 def agg08_formula_score(t):
-    return _formula_scores(t).select("chunk_id", _R(F.col("fscore")).alias("formula_score"))
+    return _formula_scores(t).select("query_id", "chunk_id", _R(F.col("fscore")).alias("formula_score"))
 
 
-@query(f"WITH {_LAST2}, {_FS} SELECT query_id, chunk_id, round(score + 0.35 * coalesce(fscore, 0), 6) AS score FROM lx LEFT JOIN fs USING (chunk_id) WHERE leg = 'fusion'")
+@query(f"WITH {_ASKF}, {_FUZZY} SELECT query_id, chunk_id, round(score + 0.35 * coalesce(fscore, 0), 6) AS score FROM lx LEFT JOIN fsc USING (query_id, chunk_id) WHERE leg = 'fusion'")
 def sco10_formula_boost(t):
-    return _leg(t, "fusion").join(_formula_scores(t), "chunk_id", "left").select("query_id", "chunk_id", _R(F.col("score") + ranking.FORMULA_BOOST * F.coalesce("fscore", F.lit(0.0))).alias("score"))
+    h = _leg(t, "fusion").join(_formula_scores(t), ["query_id", "chunk_id"], "left")
+    return h.select("query_id", "chunk_id", _R(F.col("score") + ranking.FORMULA_BOOST * F.coalesce("fscore", F.lit(0.0))).alias("score"))
 
 
-@query(f"WITH {_LAST2}, {_FS}, qk AS (SELECT DISTINCT query_id, kb_id FROM lx), cand AS (SELECT qk.query_id, fs.chunk_id, fscore FROM fs JOIN (SELECT DISTINCT id, kb_id FROM chunks) c ON c.id = fs.chunk_id JOIN qk USING (kb_id)), inj AS (SELECT * FROM cand ANTI JOIN lx USING (query_id, chunk_id)) SELECT query_id, chunk_id, round(0.35 * fscore, 6) AS score FROM inj QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(fscore, 6) DESC, chunk_id) <= 5")
+@query(f"WITH {_ASKF}, {_FUZZY}, {_KB}, inj AS (SELECT query_id, chunk_id, fscore, trust FROM fsc JOIN (SELECT id AS chunk_id, kb_id FROM chunks) c USING (chunk_id) JOIN kb USING (kb_id) ANTI JOIN lx USING (query_id, chunk_id)) SELECT query_id, chunk_id, round(fscore * trust, 6) AS score FROM inj QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(fscore, 9) DESC, chunk_id) <= 5")
 def srt09_formula_injection(t):
-    h = _latest_hits(t).where("score is not null")
-    scope = h.select("query_id", "kb_id").distinct()
-    c = t.chunks.select(F.col("id").alias("chunk_id"), "kb_id").distinct()
-    cand = _formula_scores(t).join(c, "chunk_id").join(scope, "kb_id").select("query_id", "chunk_id", F.round("fscore", 6).alias("score"))
-    inj = cand.join(h.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
-    return lexical.top_k(inj, 5, ["query_id"]).select("query_id", "chunk_id", _R(ranking.FORMULA_BOOST * F.col("score")).alias("score"))
+    h = _latest_hits(t).where("score is not null").select("query_id", "chunk_id").distinct()
+    c = t.chunks.select(F.col("id").alias("chunk_id"), "kb_id").join(_scope(t), "kb_id")
+    new = _formula_scores(t).join(h, ["query_id", "chunk_id"], "left_anti").join(c, "chunk_id").withColumn("fscore", F.round("fscore", 9))
+    return lexical.top_k(new, retrieval.FORMULA_INJECTED, ["query_id"], "fscore").select("query_id", "chunk_id", _R(F.col("fscore") * F.col("trust")).alias("score"))
+
+
+_BOOSTED = f"bz AS (SELECT query_id, chunk_id, adj + 0.35 * coalesce(fscore, 0) AS adj, sb, qs FROM z LEFT JOIN fsc USING (query_id, chunk_id))"
 
 
-# Context.
-@query("SELECT id AS chunk_id, kb_id, coalesce(lag(id) OVER w, '') AS before, coalesce(lead(id) OVER w, '') AS after FROM chunks WHERE file_path IS NOT NULL AND start_line IS NOT NULL WINDOW w AS (PARTITION BY kb_id, file_path ORDER BY start_line, end_line NULLS FIRST, id)")
+@query(
+    f"WITH {_ASKF}, {_FUZZY}, {_HYBRID.replace('rx AS (SELECT * FROM ro', 'rx AS (SELECT * FROM ro')}, {_sql_adjust('hf')}, {_COV}, {_BOOSTED}, g AS (SELECT query_id, chunk_id, adj, sb, len(qs) AS n, CASE WHEN len(qs) = 0 THEN 0 ELSE len(list_intersect(cs, qs)) / len(qs) END AS cov FROM bz JOIN k USING (chunk_id)), "
+    "inj AS (SELECT query_id, chunk_id, fscore, trust FROM fsc JOIN (SELECT id AS chunk_id, kb_id FROM chunks) c USING (chunk_id) JOIN kb USING (kb_id) ANTI JOIN z USING (query_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(fscore, 9) DESC, chunk_id) <= 5), "
+    f"al AS (SELECT query_id, chunk_id, round(adj, 6) AS score, 'retrieved' AS reason FROM g WHERE {_GATE} UNION ALL SELECT query_id, chunk_id, round(fscore * trust, 6), 'formula' FROM inj) SELECT query_id, chunk_id, score, reason, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM al QUALIFY rank <= 10"
+)
+def ret08_formula_search(t):
+    """Hybrid search with the formula leg: boosts before the gate, injected chunks behind it."""
+    rows, _ = _hybrid_rows(t, evidence=retrieval.Evidence(asked=_asked_formulas(t), formulas=t.formulas))
+    return lexical.top_k(rows.withColumn("score", _R(F.col("score"))), 10, ["query_id"]).select("query_id", "chunk_id", "score", "reason", "rank")
+
+
+# Context. Seeds are the chunks that are among some query's five best hits by fusion.
+_SEEDS = f"{_LAST2}, sd AS (SELECT DISTINCT chunk_id AS sid FROM (SELECT chunk_id FROM lx WHERE leg = 'fusion' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5)), s AS (SELECT c.* FROM chunks c JOIN sd ON sd.sid = c.id)"
+
+
+def _seeds(t):
+    top = lexical.top_k(_leg(t, "fusion"), 5, ["query_id"]).select(F.col("chunk_id").alias("id")).distinct()
+    return t.chunks.join(top, "id", "left_semi")
+
+
+@query("SELECT id AS chunk_id, kb_id, CASE WHEN file_path IS NULL THEN '' ELSE coalesce(lag(id) OVER w, '') END AS before, CASE WHEN file_path IS NULL THEN '' ELSE coalesce(lead(id) OVER w, '') END AS after FROM chunks WINDOW w AS (PARTITION BY kb_id, file_path ORDER BY start_line NULLS FIRST, end_line NULLS FIRST, id)")
 def ret14_neighbours(t):
+    """The chunks before and after each chunk of a file; a chunk without a file has none."""
     from fathomgrid.operators.maintenance import neighbours
 
-    c = t.chunks.where("file_path is not null and start_line is not null")
-    return neighbours(c).join(c.select(F.col("id").alias("chunk_id"), "kb_id"), "chunk_id").select("chunk_id", "kb_id", "before", "after")
+    c = t.chunks.where("file_path is not null")
+    found = neighbours(c).join(c.select(F.col("id").alias("chunk_id"), "kb_id"), "chunk_id").select("chunk_id", "kb_id", "before", "after")
+    return found.unionByName(t.chunks.where("file_path is null").select(F.col("id").alias("chunk_id"), "kb_id", F.lit("").alias("before"), F.lit("").alias("after")))
 
 
-@query("SELECT s.id AS seed_id, c.id AS chunk_id FROM chunks s JOIN chunks c ON s.kb_id = c.kb_id AND s.file_path = c.file_path AND c.end_line >= s.start_line - 20 AND c.start_line <= s.end_line + 20")
+@query(f"WITH {_SEEDS} SELECT s.id AS seed_id, c.id AS chunk_id FROM s JOIN chunks c ON s.kb_id = c.kb_id AND s.file_path = c.file_path AND c.end_line >= s.start_line - 20 AND c.start_line <= s.end_line + 20")
 def jn10_context_window(t):
     from fathomgrid.operators.maintenance import context_windows
 
-    return context_windows(t.chunks, t.chunks).select("seed_id", "chunk_id")
+    return context_windows(_seeds(t), t.chunks).select("seed_id", "chunk_id")
 
 
-_AD = "p AS (SELECT s.id AS seed_id, c.id AS chunk_id, c.start_line AS sl, c.end_line AS el, CASE WHEN c.id = s.id THEN 2 ELSE 0 END + 1 / (1 + (CASE WHEN c.id = s.id THEN 0 ELSE least(abs(c.start_line - s.start_line), abs(c.end_line - s.end_line)) END) / 20.0) AS score FROM chunks s JOIN chunks c ON s.kb_id = c.kb_id AND s.file_path = c.file_path AND c.end_line >= s.start_line - 80 AND c.start_line <= s.end_line + 80)"
+_REL = "CASE WHEN c.id = s.id THEN 0 WHEN NOT (coalesce(s.sym, s.kind, s.par, '') <> '' OR len(s.sc) > 0) OR NOT (coalesce(c.sym, c.kind, c.par, '') <> '' OR len(c.sc) > 0) THEN 0 WHEN len(s.sc) > 1 AND len(c.sc) > 1 AND s.sc[1:len(s.sc) - 1] = c.sc[1:len(c.sc) - 1] THEN CASE WHEN s.sym IS NOT DISTINCT FROM c.sym THEN 0.35 ELSE 1.35 END WHEN coalesce(s.par, '') <> '' AND s.par IS NOT DISTINCT FROM c.par THEN CASE WHEN s.sym IS NOT DISTINCT FROM c.sym THEN 0.35 ELSE 1.2 END WHEN (len(s.sc) > 0 AND len(s.sc) < len(c.sc) AND c.sc[1:len(s.sc)] = s.sc) OR (len(c.sc) > 0 AND len(c.sc) < len(s.sc) AND s.sc[1:len(c.sc)] = c.sc) THEN 0.9 ELSE 0 END"
+_AD = (
+    f"{_LAST2}, sd AS (SELECT query_id, chunk_id AS sid FROM lx WHERE leg = 'fusion' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5), "
+    "cm AS (SELECT id, kb_id, coalesce(file_path, '') AS fp, coalesce(start_line, 1) AS sl, coalesce(end_line, start_line, 1) AS el, content, CASE WHEN json_valid(metadata_json) THEN metadata_json END AS j FROM chunks), "
+    f"cx AS (SELECT *, j->>'$.symbol' AS sym, j->>'$.symbol_kind' AS kind, j->>'$.parent_symbol' AS par, coalesce(j->>'$.scope[*]', []) AS sc, {sql_signals(sql_tokens('content'))} AS cs FROM cm), q AS (SELECT query_id, {sql_signals(sql_tokens('query_text'))} AS qs FROM search_queries), "
+    f"p AS (SELECT sd.query_id, s.id AS seed_id, c.id AS chunk_id, c.sl, c.el, CASE WHEN c.id = s.id THEN 2 ELSE {_REL} END + 1 / (1 + (CASE WHEN c.id = s.id THEN 0 ELSE least(abs(c.sl - s.sl), abs(c.el - s.el)) END) / 20.0) + CASE WHEN len(qs) = 0 THEN 0 ELSE len(list_intersect(coalesce(c.cs, []), qs)) / len(qs) END AS score "
+    "FROM sd JOIN cx s ON s.id = sd.sid JOIN q ON q.query_id = sd.query_id JOIN cx c ON s.kb_id = c.kb_id AND s.fp = c.fp AND (c.id = s.id OR (c.el >= greatest(1, s.sl - 80) AND c.sl <= s.el + 80)))"
+)
 
 
 def _adaptive(t):
-    from fathomgrid.operators.maintenance import context_windows
+    seeds = lexical.top_k(_leg(t, "fusion"), 5, ["query_id"]).select("query_id", "chunk_id", "score")
+    return retrieval.adaptive_scores(seeds, t.chunks, t.search_queries)
 
-    s = t.chunks.select(F.col("id").alias("seed_id"), F.col("start_line").alias("s0"), F.col("end_line").alias("e0"))
-    w = context_windows(t.chunks, t.chunks, 80).join(s, "seed_id")
-    same = F.col("seed_id") == F.col("chunk_id")
-    far = F.when(same, 0).otherwise(F.least(F.abs(F.col("start_line") - F.col("s0")), F.abs(F.col("end_line") - F.col("e0"))))
-    return w.withColumn("score", F.when(same, 2.0).otherwise(0.0) + 1 / (1 + far / 20.0))
 
-
-@query(f"WITH {_AD} SELECT seed_id, chunk_id, round(score, 6) AS score FROM p")
+@query(f"WITH {_AD} SELECT query_id, seed_id, chunk_id, round(score, 6) AS score FROM p")
 def sco14_adaptive_score(t):
-    return _adaptive(t).select("seed_id", "chunk_id", _R(F.col("score")).alias("score"))
+    return _adaptive(t).select("query_id", "seed_id", "chunk_id", _R(F.col("adaptive")).alias("score"))
 
 
-@query(f"WITH {_AD} SELECT seed_id, chunk_id FROM p QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY round(score, 9) DESC, sl, el, chunk_id) <= 3")
+@query(f"WITH {_AD} SELECT query_id, seed_id, chunk_id FROM p QUALIFY row_number() OVER (PARTITION BY query_id, seed_id ORDER BY round(score, 9) DESC, sl, el, chunk_id) <= 3")
 def win11_adaptive_neighbours(t):
-    w = Window.partitionBy("seed_id").orderBy(F.round("score", 9).desc(), "start_line", "end_line", "chunk_id")
-    return _adaptive(t).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("seed_id", "chunk_id")
+    w = Window.partitionBy("query_id", "seed_id").orderBy(F.col("adaptive").desc(), "start_line", "end_line", "chunk_id")
+    return _adaptive(t).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("query_id", "seed_id", "chunk_id")
 
 
 @query("WITH o AS (SELECT kb_id, file_path, id, length(content) AS n, coalesce(sum(length(content) + 2) OVER (PARTITION BY kb_id, file_path ORDER BY start_line, end_line NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM chunks WHERE file_path IS NOT NULL AND start_line IS NOT NULL AND content IS NOT NULL) SELECT id, least(n, 4000 - used) AS taken FROM o WHERE used < 4000")
@@ -337,21 +429,30 @@ def win06_context_budget(t):
     return c.select("id", F.length("content").alias("n"), used.alias("used")).where("used < 4000").select("id", F.least(F.col("n").cast("long"), 4000 - F.col("used")).alias("taken"))
 
 
-@query("SELECT a.id, b.id AS other, (CASE WHEN greatest(a.start_line, b.start_line) <= least(a.end_line, b.end_line) THEN 1.0 WHEN greatest(a.start_line, b.start_line) - least(a.end_line, b.end_line) <= 20 THEN 0.8 WHEN greatest(a.start_line, b.start_line) - least(a.end_line, b.end_line) <= 80 THEN 0.45 ELSE 0.2 END)::DOUBLE AS proximity FROM chunks a JOIN chunks b ON a.kb_id = b.kb_id AND a.file_path = b.file_path AND a.id < b.id WHERE a.start_line IS NOT NULL AND b.start_line IS NOT NULL AND a.end_line IS NOT NULL AND b.end_line IS NOT NULL")
+@query(
+    f"WITH {_LAST2}, h AS (SELECT query_id, chunk_id FROM lx WHERE leg = 'fusion' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10), d AS (SELECT query_id, id, kb_id, file_path, start_line AS s, end_line AS e FROM h JOIN chunks ON id = chunk_id WHERE start_line IS NOT NULL AND end_line IS NOT NULL AND file_path IS NOT NULL) "
+    "SELECT a.query_id, a.id, b.id AS other, (CASE WHEN a.kb_id <> b.kb_id OR a.file_path <> b.file_path THEN 0 WHEN greatest(a.s, b.s) <= least(a.e, b.e) THEN 1.0 WHEN greatest(a.s, b.s) - least(a.e, b.e) <= 20 THEN 0.8 WHEN greatest(a.s, b.s) - least(a.e, b.e) <= 80 THEN 0.45 ELSE 0.2 END)::DOUBLE AS proximity FROM d a JOIN d b ON a.query_id = b.query_id AND a.id < b.id"
+)
 def sco12_line_proximity(t):
-    c = t.chunks.where("start_line is not null and end_line is not null and file_path is not null").select("kb_id", "file_path", "id", "start_line", "end_line")
-    d = c.select("kb_id", "file_path", F.col("id").alias("other"), F.col("start_line").alias("s1"), F.col("end_line").alias("e1"))
+    """How near the ten best hits of a query stand to each other: what diversity weighs."""
+    h = lexical.top_k(_leg(t, "fusion"), 10, ["query_id"]).select("query_id", F.col("chunk_id").alias("id"))
+    d = h.join(t.chunks.where("start_line is not null and end_line is not null and file_path is not null").select("id", "kb_id", "file_path", "start_line", "end_line"), "id")
+    o = d.select("query_id", F.col("id").alias("other"), F.col("kb_id").alias("k1"), F.col("file_path").alias("p1"), F.col("start_line").alias("s1"), F.col("end_line").alias("e1"))
     gap = F.greatest("start_line", "s1") - F.least("end_line", "e1")
-    near = F.when(gap <= 0, 1.0).when(gap <= 20, 0.8).when(gap <= 80, 0.45).otherwise(0.2)
-    return c.join(d, ["kb_id", "file_path"]).where("id < other").select("id", "other", near.alias("proximity"))
+    near = F.when((F.col("kb_id") != F.col("k1")) | (F.col("file_path") != F.col("p1")), 0.0).when(gap <= 0, 1.0).when(gap <= 20, 0.8).when(gap <= 80, 0.45).otherwise(0.2)
+    return d.join(o, "query_id").where("id < other").select("query_id", "id", "other", near.alias("proximity"))  # at most 45 pairs a query
 
 
-@query("WITH h AS (SELECT query_id, chunk_id, leg, score, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC NULLS LAST, chunk_id) AS rn FROM (SELECT DISTINCT query_id, chunk_id, leg, score FROM search_hits)), best AS (SELECT query_id, chunk_id FROM h WHERE leg = 'adjusted' AND rn = 1) SELECT leg, round(avg(hit), 6) AS recall, count(*) AS queries FROM (SELECT l.leg, b.query_id, max((h.chunk_id IS NOT NULL)::INT) AS hit FROM best b CROSS JOIN (SELECT DISTINCT leg FROM h) l LEFT JOIN h ON h.query_id = b.query_id AND h.leg = l.leg AND h.rn <= 10 AND h.chunk_id = b.chunk_id GROUP BY ALL) GROUP BY leg")
+# Evaluation: what a query expects is the file of its best adjusted chunk; what it gets are the ten best of a leg.
+@query(
+    f"WITH {_LAST2}, gd AS (SELECT query_id, file_path AS want FROM (SELECT query_id, chunk_id FROM lx WHERE leg = 'adjusted' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) = 1) JOIN chunks ON id = chunk_id WHERE file_path IS NOT NULL), "
+    "rs AS (SELECT query_id, file_path, score FROM (SELECT query_id, chunk_id, score FROM lx WHERE leg = 'bm25' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10) JOIN chunks ON id = chunk_id), "
+    "oc AS (SELECT coalesce(mode, 'hybrid') AS domain, gd.query_id, max((rs.file_path IS NOT NULL AND rs.file_path = want)::INT) AS hit FROM gd JOIN search_queries USING (query_id) LEFT JOIN rs USING (query_id) GROUP BY ALL) "
+    "SELECT domain, count(*) AS queries, sum(hit)::BIGINT AS hits, round(avg(hit), 6) AS recall FROM oc GROUP BY ROLLUP (domain)"
+)
 def agg18_recall_at_10(t):
-    w = Window.partitionBy("query_id", "leg").orderBy(F.col("score").desc_nulls_last(), "chunk_id")
-    h = t.search_hits.select("query_id", "chunk_id", "leg", "score").distinct().withColumn("rn", F.row_number().over(w)).where("rn <= 10")
-    best = h.where("leg = 'adjusted' and rn = 1").select("query_id", F.col("chunk_id").alias("want"))
-    legs = F.broadcast(t.search_hits.select("leg").distinct())  # the legs are four
-    hits = h.select("query_id", "leg", F.col("chunk_id").alias("want"), F.lit(1).alias("got")).distinct()
-    per = best.crossJoin(legs).join(hits, ["query_id", "leg", "want"], "left")
-    return per.groupBy("leg").agg(_R(F.avg(F.coalesce("got", F.lit(0)))).alias("recall"), F.count(F.lit(1)).alias("queries"))
+    top = lexical.top_k(_leg(t, "adjusted"), 1, ["query_id"]).select("query_id", F.col("chunk_id").alias("id"))
+    files = t.chunks.select("id", "file_path")
+    golden = top.join(files.where("file_path is not null"), "id").join(t.search_queries, "query_id").select("query_id", F.coalesce("mode", F.lit("hybrid")).alias("domain"), "file_path")
+    got = lexical.top_k(_leg(t, "bm25"), 10, ["query_id"]).select("query_id", F.col("chunk_id").alias("id"), "rank", "score").join(files, "id")
+    return evaluation.recall(evaluation.outcomes(golden, got, 10)).withColumn("recall", _R(F.col("recall")))
