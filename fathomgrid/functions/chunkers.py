@@ -368,15 +368,16 @@ def chunk(text: str, kind: str) -> list[Piece]:
 CHUNK_SCHEMA = "doc string, ordinal int, content string, start_line int, end_line int, metadata_json string, content_tokenized string"
 
 
-def chunk_documents(docs: DataFrame, key: str, text: str, kind: Column) -> DataFrame:
-    """Chunks of every document: (doc, ordinal, content, start_line, end_line, metadata_json, content_tokenized)."""
+def chunk_documents(docs: DataFrame, key: str, text: str, kind: Column, tokenize: bool = True) -> DataFrame:
+    """Chunks of every document: (doc, ordinal, content, start_line, end_line, metadata_json, content_tokenized).
+    Without ``tokenize`` the stream is null, for callers that index the text with its prefix."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for doc, body, k in zip(f["doc"], f["body"], f["kind"]):
                 for n, p in enumerate(chunk(body, k)):
-                    rows.append((doc, n, p.content, p.start, p.end, json.dumps(p.metadata, ensure_ascii=False), pre_tokenize(p.content)))
+                    rows.append((doc, n, p.content, p.start, p.end, json.dumps(p.metadata, ensure_ascii=False), pre_tokenize(p.content) if tokenize else None))
             yield pd.DataFrame(rows, columns=["doc", "ordinal", "content", "start_line", "end_line", "metadata_json", "content_tokenized"])
 
     d = docs.select(F.col(key).cast("string").alias("doc"), F.col(text).alias("body"), F.coalesce(kind, F.lit("text")).alias("kind")).where(F.length("body") > 0)

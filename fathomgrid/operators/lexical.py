@@ -30,7 +30,7 @@ def stored_postings(chunks: DataFrame, column: str = "content_tokenized") -> Dat
     without terms keeps a row with none, so that lengths are complete."""
     w = tx.fts_terms(F.coalesce(F.col(column), F.lit("")))
     d = chunks.select("kb_id", F.col("id").alias("chunk_id"), w.alias("w"))
-    sorted_ = F.array_sort(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    sorted_ = F.array_sort(F.transform("w", lambda t, i: F.named_struct(F.lit("t"), t, F.lit("i"), i)))
     places = lambda t: F.transform(F.filter("s", lambda x: x["t"] == t), lambda x: x["i"])
     e = d.select("kb_id", "chunk_id", F.size("w").alias("dl"), sorted_.alias("s"), F.explode_outer(F.array_distinct("w")).alias("term"))
     return e.select("kb_id", "chunk_id", "dl", "term", places(F.col("term")).alias("places"))

@@ -100,3 +100,64 @@ def context_windows(seeds: DataFrame, chunks: DataFrame, margin: int = 20) -> Da
     s = seeds.select(F.col("id").alias("seed_id"), "kb_id", "file_path", (F.col("start_line") - margin).alias("lo"), (F.col("end_line") + margin).alias("hi"))
     c = chunks.select(F.col("id").alias("chunk_id"), "kb_id", "file_path", "start_line", "end_line")
     return s.join(c, ["kb_id", "file_path"]).where("end_line >= lo and start_line <= hi").select("seed_id", "chunk_id", "start_line", "end_line")
+
+
+# What an issue takes from a base's health.
+PENALTY = {"blocking": 35, "warning": 12, "info": 2}
+STUCK_SECONDS, LOW_COVERAGE = 600, 80
+
+
+def doctor(bases: DataFrame, with_chunks: DataFrame, with_vectors: DataFrame, with_symbols: DataFrame, jobs: DataFrame | None = None, covered: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """(kb_id, severity, code, action, health): a row per issue of a base; a base without issues has one
+    row with a null code.  ``jobs`` (kb_id, progress_at) of running jobs and ``covered`` (kb_id, percent)
+    add the rules on stuck indexing and coverage."""
+    now = F.current_timestamp() if now is None else now
+    b = bases.select("kb_id", "status", F.coalesce("chunk_count", F.lit(0)).alias("n"), F.col("updated_at").alias("at"))
+    flag = lambda df, name: df.select("kb_id").distinct().withColumn(name, F.lit(True))
+    j = b.join(flag(with_chunks, "c"), "kb_id", "left").join(flag(with_vectors, "v"), "kb_id", "left").join(flag(with_symbols, "s"), "kb_id", "left")
+    j = j.join(jobs.groupBy("kb_id").agg(F.max("progress_at").alias("progress_at")), "kb_id", "left") if jobs is not None else j.withColumn("progress_at", F.lit(None).cast("timestamp"))
+    j = j.join(covered.select("kb_id", "percent"), "kb_id", "left") if covered is not None else j.withColumn("percent", F.lit(None).cast("long"))
+    age = (F.unix_micros(now) - F.unix_micros(F.coalesce("progress_at", "at"))) / 1e6
+    issue = lambda when, severity, code, action: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(action).alias("action")))
+    rules = F.array_compact(
+        F.array(
+            issue((F.col("status") == "indexing") & (age > STUCK_SECONDS), "blocking", "stuck_indexing", "wait_for_indexing"),
+            issue(F.col("status") == "error", "blocking", "error_state", "rebuild_kb"),
+            issue((F.col("n") > 0) & F.col("v").isNull(), "blocking", "vectors_missing", "rebuild_kb"),
+            issue(F.col("percent") < LOW_COVERAGE, "warning", "coverage", "review_skipped_scope"),
+            issue((F.col("status") == "ready") & (F.col("n") > 0) & F.col("s").isNull(), "info", "no_symbols", "run_update"),
+        )
+    )
+    worth = F.create_map(*[x for k, v in PENALTY.items() for x in (F.lit(k), F.lit(v))])
+    h = j.select("kb_id", rules.alias("r")).withColumn("health", F.greatest(F.lit(0), 100 - F.aggregate("r", F.lit(0), lambda acc, x: acc + worth[x["severity"]])))
+    return h.select("kb_id", "health", F.explode_outer("r").alias("i")).select("kb_id", "i.severity", "i.code", "i.action", "health")
+
+
+def search_symbols(symbols: DataFrame, query: str, kind: str | None = None, exact: bool = False, path: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The symbols a query names, with their ``place``: equal names first, then prefixes, then the rest;
+    then by path and line.  The order is a top-k of ``offset + limit`` rows, numbered afterwards."""
+    q = query.lower()
+    low = F.lower("name")
+    s = symbols.where(low == q) if exact else symbols.where(low.contains(q) | F.lower("file_path").contains(q) | F.lower(F.coalesce("signature", F.lit(""))).contains(q))
+    s = s.where(F.col("kind") == kind) if kind else s
+    s = s.where(F.lower("file_path").contains(path.lower())) if path else s
+    tier = F.when(low == q, 0).when(low.startswith(q), 1).otherwise(2)
+    order = ["tier", F.col("file_path").asc_nulls_first(), "line", "kind", "name"]
+    top = s.withColumn("tier", tier).orderBy(*order).limit(offset + limit)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") > offset)
+
+
+def file_contents(chunks: DataFrame) -> DataFrame:
+    """(kb_id, file_path, first_line, last_line, content, n_chars): a file's chunks joined in order."""
+    c = chunks.where("file_path is not null and start_line is not null").groupBy("kb_id", "file_path")
+    parts = F.sort_array(F.collect_list(F.struct("start_line", "end_line", "id", "content")))  # one file's text
+    return c.agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.array_join(F.transform(parts, lambda x: x["content"]), "\n\n").alias("content"), F.sum(F.length("content")).alias("n_chars"))
+
+
+def class_children(children: DataFrame, bases: DataFrame, class_name: str) -> DataFrame:
+    """(name, child, state) of a class's child folders and bases: discovered, known, collided or vanished."""
+    n = children.select("child", F.concat(F.lit(f"{class_name}-"), F.substring("child", 1, 12)).alias("name"))
+    n = n.join(n.groupBy("name").agg(F.count(F.lit(1)).alias("children")), "name")
+    j = n.join(bases.select("name").distinct().withColumn("known", F.lit(True)), "name", "full")
+    state = F.when(F.col("child").isNull(), "vanished").when(F.col("children") > 1, "collided").when(F.col("known").isNull(), "discovered").otherwise("known")
+    return j.select("name", "child", state.alias("state"))

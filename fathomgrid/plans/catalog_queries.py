@@ -21,14 +21,8 @@ def src20_vector_scan(t):
     return t.chunk_vectors.where("embedding is not null").select("chunk_id", "kb_id", F.size("embedding").alias("dim"))
 
 
-@query("SELECT id, content_hash, start_line, end_line FROM chunks WHERE kb_id = (SELECT min(kb_id) FROM chunks)")
+@query("SELECT kb_id, id, content_hash, start_line, end_line FROM chunks WHERE kb_id IS NOT NULL")
 def src21_base_scan(t):
-    first = t.chunks.agg(F.min("kb_id").alias("kb_id"))
-    return t.chunks.join(first, "kb_id", "left_semi").select("id", "content_hash", "start_line", "end_line")
-
-
-@query(None)
-def src21_all_bases(t):
     """The scan of every base: the rows carry their base."""
     return t.chunks.where("kb_id is not null").select("kb_id", "id", "content_hash", "start_line", "end_line")
 
@@ -38,17 +32,11 @@ def src22_lookup(t):
     return t.knowledge_bases.where(F.col("name").contains("robotics")).select("id", "name", "status")
 
 
-@query("SELECT kb_id, count(*) AS chunks, count(DISTINCT file_path) AS files, sum(length(content))::BIGINT AS chars, count(*) FILTER (WHERE length(content) > 6000) AS oversized FROM chunks GROUP BY kb_id")
-def src23_index_plan(t):
-    return t.chunks.groupBy("kb_id").agg(_count().alias("chunks"), F.count_distinct("file_path").alias("files"), F.sum(F.length("content")).alias("chars"), F.count_if(F.length("content") > 6000).alias("oversized"))
-
-
 @query("SELECT id, chunk_id, ordinal, normalized FROM formulas WHERE chunk_id NOT IN (SELECT id FROM chunks WHERE length(content) > 1000) UNION ALL SELECT id, chunk_id, ordinal, upper(normalized) FROM formulas WHERE chunk_id IN (SELECT id FROM chunks WHERE length(content) > 1000)")
 def snk02_replace_per_key(t):
     long = t.chunks.where(F.length("content") > 1000).select(F.col("id").alias("chunk_id"))
     f = t.formulas.select("id", "chunk_id", "ordinal", "normalized")
-    new = f.join(long, "chunk_id", "left_semi").withColumn("normalized", F.upper("normalized"))
-    return f.join(long, "chunk_id", "left_anti").select("id", "chunk_id", "ordinal", "normalized").unionByName(new)
+    return mt.replace_per_key(f, f.withColumn("normalized", F.upper("normalized")), "chunk_id", long)
 
 
 @query("SELECT id FROM chunks WHERE id NOT IN (SELECT chunk_id FROM formulas)")
@@ -144,6 +132,27 @@ def ret16_diagnose(t):
     return _issues(t)
 
 
+_NOW = "TIMESTAMPTZ '2026-01-01 00:00:00+00'"
+_DOC = (
+    "cc AS (SELECT kb_id, count(DISTINCT file_path) AS f FROM chunks GROUP BY kb_id), jr AS (SELECT kb_id, max(last_progress_at) AS pr FROM indexing_jobs WHERE status = 'running' GROUP BY kb_id), "
+    "sy AS (SELECT DISTINCT kb_id FROM (SELECT kb_id, unnest(string_split(content, chr(10))) AS line FROM chunks) WHERE regexp_matches(line, '^#{1,6} +[^ ]')), cv AS (SELECT DISTINCT kb_id FROM chunk_vectors WHERE embedding IS NOT NULL), "
+    f"kb AS (SELECT id AS kb_id, status, coalesce(chunk_count, 0) AS n, floor(coalesce(f, 0) * 100.0 / greatest(file_count, 1) + 0.5)::BIGINT AS pc, epoch_us({_NOW}) - epoch_us(coalesce(pr, updated_at)) AS age FROM knowledge_bases LEFT JOIN cc ON cc.kb_id = id LEFT JOIN jr ON jr.kb_id = id), "
+    "iss AS (SELECT kb_id, 'blocking' AS severity, 'stuck_indexing' AS code, 35 AS p FROM kb WHERE status = 'indexing' AND age > 600000000 UNION ALL SELECT kb_id, 'blocking', 'error_state', 35 FROM kb WHERE status = 'error' UNION ALL SELECT kb_id, 'blocking', 'vectors_missing', 35 FROM kb WHERE n > 0 AND kb_id NOT IN (SELECT kb_id FROM cv) "
+    "UNION ALL SELECT kb_id, 'warning', 'coverage', 12 FROM kb WHERE pc < 80 UNION ALL SELECT kb_id, 'info', 'no_symbols', 2 FROM kb WHERE status = 'ready' AND n > 0 AND kb_id NOT IN (SELECT kb_id FROM sy WHERE kb_id IS NOT NULL))"
+)
+
+
+@query(f"WITH {_DOC} SELECT kb.kb_id, severity, code, greatest(0, 100 - coalesce(sum(p) OVER (PARTITION BY kb.kb_id), 0))::INT AS health FROM kb LEFT JOIN iss USING (kb_id)")
+def ret17_doctor(t):
+    """All rules over the bases, with the time of the judgement given."""
+    f = t.chunks.groupBy("kb_id").agg(F.count_distinct("file_path").alias("f"))
+    k = t.knowledge_bases.select(F.col("id").alias("kb_id"), "status", "chunk_count", "file_count", "updated_at")
+    covered = k.join(f, "kb_id", "left").select("kb_id", F.floor(F.coalesce("f", F.lit(0)) * 100.0 / F.coalesce(F.greatest("file_count", F.lit(1)), F.lit(1)) + 0.5).alias("percent"))
+    jobs = t.indexing_jobs.where("status = 'running'").select("kb_id", F.col("last_progress_at").alias("progress_at"))
+    found = mt.doctor(k, t.chunks.select("kb_id"), t.chunk_vectors.where("embedding is not null").select("kb_id"), _symbols(t).select("kb_id"), jobs, covered, F.lit("2026-01-01 00:00:00+00").cast("timestamp"))
+    return found.select("kb_id", "severity", "code", "health")
+
+
 @query(f"WITH {_ISSUES} SELECT id, greatest(0, 100 - sum(CASE severity WHEN 'blocking' THEN 35 WHEN 'warning' THEN 12 ELSE 2 END))::BIGINT AS health FROM iss GROUP BY id")
 def agg13_health_score(t):
     p = F.when(F.col("severity") == "blocking", 35).when(F.col("severity") == "warning", 12).otherwise(2)
@@ -155,19 +164,11 @@ def agg14_status_totals(t):
     return t.knowledge_bases.rollup("status").agg(_count().alias("bases"), F.sum(F.coalesce("chunk_count", F.lit(0))).alias("chunks"))
 
 
-@query("SELECT kb_id, file_path, min(start_line) AS first_line, max(end_line) AS last_line, string_agg(substring(content, 1, 20), '|' ORDER BY start_line, id) AS outline FROM chunks WHERE file_path IS NOT NULL AND start_line IS NOT NULL GROUP BY ALL")
-def agg15_file_outline(t):
-    c = t.chunks.where("file_path is not null and start_line is not null").groupBy("kb_id", "file_path")
-    parts = F.sort_array(F.collect_list(F.struct("start_line", "id", F.substring("content", 1, 20).alias("s"))))
-    return c.agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.array_join(F.transform(parts, lambda x: x["s"]), "|").alias("outline"))
-
-
-@query(None)
+@query("SELECT kb_id, file_path, min(start_line) AS first_line, max(end_line) AS last_line, sha256(string_agg(content, chr(10) || chr(10) ORDER BY start_line, end_line NULLS FIRST, id)) AS content_hash, sum(length(content))::BIGINT AS n_chars FROM chunks WHERE file_path IS NOT NULL AND start_line IS NOT NULL AND content IS NOT NULL GROUP BY ALL")
 def agg15_file_contents(t):
-    """The whole contents of each file's chunks, joined in order as in a context."""
-    c = t.chunks.where("file_path is not null and start_line is not null").groupBy("kb_id", "file_path")
-    parts = F.sort_array(F.collect_list(F.struct("start_line", "end_line", "id", "content")))
-    return c.agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.array_join(F.transform(parts, lambda x: x["content"]), "\n\n").alias("content"))
+    """The whole contents of each file's chunks, joined in order as in a context; the query gives their hash."""
+    g = mt.file_contents(t.chunks.where("content is not null"))
+    return g.select("kb_id", "file_path", "first_line", "last_line", F.sha2("content", 256).alias("content_hash"), "n_chars")
 
 
 @query("SELECT kb_id, class_name, count(*) AS chunks FROM chunks c JOIN knowledge_bases k ON k.id = c.kb_id GROUP BY ALL")
@@ -249,7 +250,7 @@ def set05_retained(t):
 
 @query("SELECT id, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY id)::INT AS occurrence FROM chunks")
 def win10_occurrence(t):
-    return t.chunks.select("id", "content_hash", F.row_number().over(Window.partitionBy("content_hash").orderBy("id")).alias("occurrence"))
+    return mt.number_within(t.chunks.select("id", "content_hash"), "content_hash", "id")
 
 
 @query("SELECT kb_id, split_part(file_path, '/', 1) AS child, count(DISTINCT file_path) AS files FROM chunks WHERE file_path IS NOT NULL GROUP BY ALL")
@@ -257,11 +258,15 @@ def set07_children(t):
     return t.chunks.where("file_path is not null").groupBy("kb_id", F.get(F.split("file_path", "/"), F.lit(0)).alias("child")).agg(F.count_distinct("file_path").alias("files"))
 
 
-@query("WITH a AS (SELECT DISTINCT split_part(file_path, '/', 1) AS child FROM chunks WHERE file_path IS NOT NULL), k AS (SELECT DISTINCT split_part(name, '-', 2) AS child FROM knowledge_bases) SELECT child, CASE WHEN a.child IS NULL THEN 'vanished' WHEN k.child IS NULL THEN 'discovered' ELSE 'known' END AS state FROM a FULL JOIN k USING (child)")
+@query(
+    "WITH a AS (SELECT DISTINCT split_part(file_path, '/', 1) AS child FROM chunks WHERE file_path IS NOT NULL), n AS (SELECT child, 'cls-' || substring(child, 1, 12) AS name FROM a), c AS (SELECT name, count(*) AS children FROM n GROUP BY name), "
+    "k AS (SELECT DISTINCT coalesce(class_name, 'cls') || '-' || substring(split_part(name, '-', 2), 1, 12) AS name FROM knowledge_bases) SELECT coalesce(n.name, k.name) AS name, child, CASE WHEN child IS NULL THEN 'vanished' WHEN children > 1 THEN 'collided' WHEN k.name IS NULL THEN 'discovered' ELSE 'known' END AS state FROM n JOIN c USING (name) FULL JOIN k USING (name)"
+)
 def ret20_class_reconcile(t):
-    a = t.chunks.where("file_path is not null").select(F.get(F.split("file_path", "/"), F.lit(0)).alias("child")).distinct().withColumn("a", F.lit(1))
-    k = t.knowledge_bases.select(F.get(F.split("name", "-"), F.lit(1)).alias("child")).distinct().withColumn("k", F.lit(1))
-    return a.join(k, "child", "full").select("child", F.when(F.col("a").isNull(), "vanished").when(F.col("k").isNull(), "discovered").otherwise("known").alias("state"))
+    """Children of a class against its bases: names are the class and twelve characters, which may collide."""
+    child = t.chunks.where("file_path is not null").select(F.get(F.split("file_path", "/"), F.lit(0)).alias("child")).distinct()
+    base = F.concat(F.coalesce("class_name", F.lit("cls")), F.lit("-"), F.substring(F.coalesce(F.get(F.split("name", "-"), F.lit(1)), F.lit("")), 1, 12))
+    return mt.class_children(child, t.knowledge_bases.select(base.alias("name")), "cls")
 
 
 # Label graph: a formula is defined by the chunks whose first formula it is, and referred to by every chunk that holds it.
@@ -318,6 +323,14 @@ def _symbols(t):
     return lines.select("id", "kb_id", "file_path", F.trim(F.regexp_extract("line", "^#{1,6} +(.+)$", 1)).alias("name"), F.length(F.regexp_extract("line", "^(#{1,6}) ", 1)).alias("depth"))
 
 
+@query(f"WITH {_SYM} SELECT name, file_path, CASE WHEN lower(name) = 'dense' THEN 0 WHEN starts_with(lower(name), 'dense') THEN 1 ELSE 2 END AS tier FROM sy JOIN (SELECT id AS kb FROM knowledge_bases WHERE status IN ('ready', 'stale')) k ON kb = kb_id WHERE contains(lower(name), 'dense') OR contains(lower(coalesce(file_path, '')), 'dense') ORDER BY tier, file_path NULLS FIRST, name LIMIT 200")
+def ret15_symbols_by_query(t):
+    """Symbols whose name or path holds the query: equal names first, then prefixes."""
+    k = t.knowledge_bases.where(F.col("status").isin("ready", "stale")).select(F.col("id").alias("kb_id"))
+    s = _symbols(t).join(k, "kb_id", "left_semi").select("name", F.coalesce("file_path", F.lit("")).alias("file_path"), F.lit(0).alias("line"), F.lit("heading").alias("kind"), F.lit(None).cast("string").alias("signature"))
+    return mt.search_symbols(s, "dense", limit=200).select("name", F.nullif("file_path", F.lit("")).alias("file_path"), "tier")
+
+
 @query(f"WITH {_SYM} SELECT DISTINCT s.name, s.file_path, s.depth FROM sy s JOIN knowledge_bases k ON k.id = s.kb_id WHERE k.status IN ('ready', 'stale') AND contains(lower(s.name), 'after') ORDER BY 1")
 def ret15_symbol_search(t):
     k = t.knowledge_bases.where(F.col("status").isin("ready", "stale")).select(F.col("id").alias("kb_id"))
@@ -389,22 +402,25 @@ def dat02_job_ages(t):
     return j.select("job_seq", F.unix_millis("updated_at").alias("at_ms"), (F.unix_millis("updated_at") - F.unix_millis("started_at")).alias("age_ms"), stuck.alias("stuck")).distinct()
 
 
-@query("SELECT query_id, query_text FROM search_queries QUALIFY row_number() OVER (PARTITION BY mode ORDER BY asked_at DESC, query_id) = 1")
-def ret21_last_query_per_mode(t):
-    w = Window.partitionBy("mode").orderBy(F.col("asked_at").desc(), "query_id")
-    return t.search_queries.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("query_id", "query_text")
+@query("SELECT mode, arg_max(query_text, (asked_at, query_id)) AS query_text FROM search_queries WHERE asked_at IS NOT NULL GROUP BY mode")
+def ret21_last_message(t):
+    """The last message of each conversation (a mode's queries stand for one): what context is looked up for."""
+    return t.search_queries.where("asked_at is not null").groupBy("mode").agg(F.max_by("query_text", F.struct("asked_at", "query_id")).alias("query_text"))
 
 
-@query("SELECT kb_id, count(DISTINCT content_hash) AS texts, count(*) - count(DISTINCT content_hash) AS copies FROM chunks GROUP BY kb_id")
-def agg17_distinct_texts(t):
-    return t.chunks.groupBy("kb_id").agg(F.count_distinct("content_hash").alias("texts"), (_count() - F.count_distinct("content_hash")).alias("copies"))
+@query(r"SELECT id, array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i)[1:20], '|') AS links FROM (SELECT id, list_filter(list_transform(regexp_extract_all(content, '\[\[([^\[\]|]+)(\|[^\[\]]*)?\]\]', 1), lambda x: trim(x, ' ')), lambda x: x <> '') AS g FROM chunks WHERE contains(content, '[['))")
+def agg17_capped_links(t):
+    """The first twenty different links of a text, in order."""
+    found = F.filter(F.transform(F.regexp_extract_all("content", F.lit(r"\[\[([^\[\]|]+)(\|[^\[\]]*)?\]\]"), 1), F.trim), lambda x: x != "")
+    return t.chunks.where(F.col("content").contains("[[")).select("id", F.array_join(F.slice(F.array_distinct(found), 1, 20), "|").alias("links"))
 
 
-@query("SELECT k.name AS base, to_json({'name': k.name, 'chunks': coalesce(c.n, 0)}) AS header FROM knowledge_bases k LEFT JOIN (SELECT kb_id, count(*) AS n FROM chunks GROUP BY kb_id) c ON c.kb_id = k.id")
-def snk08_export_header(t):
-    c = t.chunks.groupBy("kb_id").agg(_count().alias("n"))
-    k = t.knowledge_bases.join(c, F.col("id") == F.col("kb_id"), "left")
-    return k.select(F.col("name").alias("base"), F.to_json(F.struct("name", F.coalesce("n", F.lit(0)).alias("chunks"))).alias("header"))
+@query("SELECT id, (v->>'$.content') IS NOT DISTINCT FROM content AS whole, (v->>'$.start_line')::INT AS first_line FROM (SELECT id, content, to_json({'content': content, 'start_line': start_line}) AS v FROM chunks)")
+def snk08_export_rows(t):
+    """Every chunk as a line of the export, read back."""
+    v = t.chunks.select("id", "content", F.struct("content", "file_path", "file_type", "start_line", "end_line", "metadata_json").alias("c"))
+    back = v.select("id", "content", F.to_json("c", {"ignoreNullFields": "false"}).alias("value"))
+    return back.select("id", F.get_json_object("value", "$.content").eqNullSafe(F.col("content")).alias("whole"), F.get_json_object("value", "$.start_line").cast("int").alias("first_line"))
 
 
 @query("WITH h AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM chunks), s AS (SELECT id, n, line, sum(regexp_matches(line, '^#{1,6} ')::INT) OVER (PARTITION BY id ORDER BY n) AS section FROM h) SELECT id, section::BIGINT AS section, min(n) AS first_line, max(n) AS last_line FROM s GROUP BY ALL")

@@ -54,10 +54,14 @@ def sql_terms(col: str) -> str:
 
 
 def sql_tokens(col: str) -> str:
+    return f"list_distinct({sql_token_list(col)})"
+
+
+def sql_token_list(col: str) -> str:
     low = rf"regexp_replace(regexp_replace(lower({col}), '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g')"
     low = rf"""replace(regexp_replace({low}, '[-_*"(){{}}\[\]^~:+.#@!\\/<>|&$%?]', ' ', 'g'), chr(1), '.')"""
     fixed = f"list_transform(regexp_split_to_array({low}, '[ \\t\\n\\x0b\\f\\r]+'), lambda t: {sql_case('t', tx.TYPOS, 't')})"
-    return f"list_distinct(list_filter({fixed}, lambda t: length(t) > 1 OR regexp_matches(t, '[0-9]') OR regexp_matches(t, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]')))"
+    return f"list_filter({fixed}, lambda t: length(t) > 1 OR regexp_matches(t, '[0-9]') OR regexp_matches(t, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]'))"
 
 
 SQL_STEM = (

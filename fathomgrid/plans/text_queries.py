@@ -6,24 +6,42 @@ from pyspark.sql import functions as F
 
 from fathomgrid.functions import science as sci
 from fathomgrid.functions import text as tx
-from fathomgrid.plans.registry import SQL_STEM, query, sql_case, sql_list, sql_signals, sql_spaced, sql_terms, sql_tokens
+from fathomgrid.plans import tuning as tn
+from fathomgrid.plans.registry import SQL_STEM, query, sql_case, sql_list, sql_signals, sql_spaced, sql_terms, sql_token_list, sql_tokens
 
 T = "content_tokenized"
 _EXT = r"lower(regexp_extract(file_path, '[^/]\.([^./]+)$', 1))"
 
 
-@query("SELECT id, CASE WHEN source_path IS NULL THEN 'text' WHEN regexp_matches(source_path, '^https?://') THEN 'url' WHEN regexp_matches(source_path, '\\.[A-Za-z0-9]{1,6}$') THEN 'file' WHEN source_path LIKE '/%' OR source_path LIKE './%' THEN 'directory' ELSE 'text' END AS source_class FROM knowledge_bases")
+_DISK = "CASE WHEN source_type IN ('directory', 'file') THEN source_type END"
+
+
+@query(
+    f"SELECT id, CASE WHEN p IS NULL OR p = '' THEN 'text' WHEN starts_with(p, 'http://') OR starts_with(p, 'https://') THEN 'url' WHEN k IS NOT NULL THEN k WHEN NOT contains(p, chr(10)) AND NOT starts_with(p, '//') AND (p[1] IN ('.', '/', '~') OR contains(p, '/') OR contains(p, '\\') OR regexp_matches(p, '\\.[A-Za-z0-9][A-Za-z0-9_-]{{0,15}}$')) THEN 'missing' ELSE 'text' END AS source_class FROM (SELECT id, trim(source_path) AS p, {_DISK} AS k FROM knowledge_bases)"
+)
 def src01_classify_source(t):
-    p = F.col("source_path")
-    kind = F.when(p.isNull(), "text").when(p.rlike("^https?://"), "url").when(p.rlike(r"\.[A-Za-z0-9]{1,6}$"), "file").when(p.startswith("/") | p.startswith("./"), "directory").otherwise("text")
-    return t.knowledge_bases.select("id", kind.alias("source_class"))
+    """What a base's source is; its recorded type says what stands on the disk."""
+    from fathomgrid.sources.files import classify_source
+
+    on_disk = F.when(F.col("source_type").isin("directory", "file"), F.col("source_type"))
+    return t.knowledge_bases.select("id", classify_source(F.col("source_path"), on_disk).alias("source_class"))
+
+
+def _sql_ignored(path: str) -> str:
+    """Ignore rules in SQL: names by glob on every segment, paths by their first two segments."""
+    from fathomgrid.sources.files import DEFAULT_IGNORED
+
+    names = " OR ".join(f"x GLOB '{p}'" for p in DEFAULT_IGNORED if "/" not in p)
+    paths = " OR ".join(f"(split_part({path}, '/', 1) = '{p.split('/')[0]}' AND split_part({path}, '/', 2) GLOB '{p.split('/')[1]}')" for p in DEFAULT_IGNORED if "/" in p)
+    return f"(list_bool_or(list_transform(string_split({path}, '/'), lambda x: {names})) OR {paths})"
 
 
-@query("SELECT id, file_path, regexp_matches(file_path, '(^|/)(node_modules|dist|build|\\.git)(/|$)') OR regexp_matches(file_path, '\\.(log|tmp|lock)$') AS ignored FROM chunks")
+@query(f"SELECT id, file_path, {_sql_ignored('file_path')} AS ignored FROM chunks")
 def src04_ignore_rules(t):
-    from fathomgrid.sources.files import ignore_pattern
+    from fathomgrid.sources.files import DEFAULT_IGNORED, ignore_pattern
 
-    return t.chunks.select("id", "file_path", ignore_pattern(F.col("file_path"), ["node_modules/", "dist/", "build/", ".git/", "*.log", "*.tmp", "*.lock"]).alias("ignored"))
+    p = F.col("file_path")
+    return t.chunks.select("id", "file_path", F.when(p.isNotNull(), ignore_pattern(p, DEFAULT_IGNORED)).alias("ignored"))
 
 
 _INC, _EXC = ["chemistry", "compression"], ["chemistry/batch"]
@@ -36,16 +54,36 @@ def src05_path_override(t):
     return t.chunks.select("id", path_decision(F.col("file_path"), _INC, _EXC).alias("decision"))
 
 
-@query("WITH r AS (SELECT CASE WHEN content IS NULL OR trim(content) = '' THEN 'empty' WHEN length(content) > 6000 THEN 'oversized' WHEN file_type IS NULL THEN 'untyped' END AS reason, id FROM chunks), n AS (SELECT reason, id, row_number() OVER (PARTITION BY reason ORDER BY id) AS rn FROM r WHERE reason IS NOT NULL) SELECT reason, count(*) AS n, string_agg(id, ',' ORDER BY id) FILTER (WHERE rn <= 25) AS samples FROM n GROUP BY reason")
+_BIN = "CASE WHEN {ign} THEN 'suggested_excluded' WHEN strlen(content) > 20000 THEN 'oversized' WHEN (ext IN ({exts}) OR contains(left(content, 512), chr(0))) AND ext NOT IN ('doc', 'docx', 'pdf') THEN 'binary' END"
+
+
+def _sql_judged() -> str:
+    from fathomgrid.sources.files import BINARY_EXTENSIONS
+
+    case = _BIN.format(ign=_sql_ignored("file_path"), exts=", ".join(f"'{e}'" for e in BINARY_EXTENSIONS))
+    return f"ju AS (SELECT kb_id, id, file_path, strlen(content) AS n, {case} AS reason FROM (SELECT *, {_EXT} AS ext FROM chunks WHERE file_path IS NOT NULL))"
+
+
+def _judged(t):
+    """Chunks judged as files: their path, the length of their content, a cap of 20,000 bytes."""
+    from fathomgrid.sources.files import DEFAULT_IGNORED, skip_reason
+
+    c = t.chunks.where("file_path is not null").select("kb_id", "id", "file_path", F.octet_length("content").cast("long").alias("length"), F.encode("content", "UTF-8").alias("content"))
+    return c.withColumn("reason", skip_reason(F.col("file_path"), F.col("length"), F.col("content"), DEFAULT_IGNORED, max_bytes=20_000))
+
+
+@query(f"WITH {_sql_judged()}, n AS (SELECT reason, id, row_number() OVER (PARTITION BY reason ORDER BY id) AS rn FROM ju WHERE reason IS NOT NULL) SELECT reason, count(*) AS n, string_agg(id, ',' ORDER BY id) FILTER (WHERE rn <= 25) AS samples FROM n GROUP BY reason")
 def src08_skip_accounting(t):
-    reason = F.when(F.col("content").isNull() | (F.trim("content") == ""), "empty").when(F.length("content") > 6000, "oversized").when(F.col("file_type").isNull(), "untyped")
-    from pyspark.sql import Window
+    from fathomgrid.sources.files import skip_report
+
+    return skip_report(_judged(t), 25, "id").withColumn("samples", F.array_join("samples", ","))
+
 
-    w = Window.partitionBy("reason").orderBy("id")
-    r = t.chunks.select(reason.alias("reason"), "id").where("reason is not null")
-    counts = r.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    samples = r.withColumn("rn", F.row_number().over(w)).where("rn <= 25").groupBy("reason").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("samples"))
-    return counts.join(samples, "reason")
+@query(f"WITH {_sql_judged()} SELECT kb_id, count(*) FILTER (WHERE reason IS NULL) AS files, coalesce(sum(n) FILTER (WHERE reason IS NULL), 0)::BIGINT AS bytes, count(*) FILTER (WHERE reason IS NOT NULL) AS skipped FROM ju GROUP BY kb_id")
+def src23_index_plan(t):
+    from fathomgrid.sources.files import index_plan
+
+    return index_plan(_judged(t), ["kb_id"])
 
 
 @query(rf"SELECT id, {sql_case(_EXT, tx.EXTENSIONS, "'text'")} AS inferred_type FROM chunks")
@@ -58,9 +96,9 @@ def src10_document_file(t):
     return t.chunks.select("id", tx.extension(F.col("file_path")).isin(*tx.DOCUMENT_EXTENSIONS).alias("is_document"))
 
 
-@query("SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '<script\\b[^>]*>.*?</script>', ' ', 'gis'), '<style\\b[^>]*>.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '&[A-Za-z]+;', ' ', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ') AS text FROM chunks WHERE content LIKE '%<%>%'")
+@query("SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '<script\\b[^>]*>.*?</script>', ' ', 'gis'), '<style\\b[^>]*>.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '&[A-Za-z]+;', ' ', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ') AS text FROM chunks")
 def src12_html_text(t):
-    return t.chunks.where(F.col("content").like("%<%>%")).select("id", tx.html_text(F.col("content")).alias("text"))
+    return t.chunks.select("id", tx.html_text(F.col("content")).alias("text"))
 
 
 @query(f"SELECT id, len({sql_terms(T)}) AS n_terms, array_to_string(list_sort(list_distinct({sql_terms(T)})), ' ') AS terms FROM chunks")
@@ -125,17 +163,15 @@ def str13_content_hash(t):
     return t.chunks.select("id", F.sha2("content", 256).alias("content_hash"), (F.sha2("content", 256) == F.col("content_hash")).alias("agrees"))
 
 
-@query("SELECT id, sha256(file_path || chr(0) || coalesce(file_type, '') || chr(0) || coalesce(start_line::VARCHAR, '') || chr(0) || coalesce(end_line::VARCHAR, '') || chr(0) || coalesce(metadata_json, '') || chr(0) || content) AS identity FROM chunks WHERE file_path IS NOT NULL AND content IS NOT NULL")
+@query("SELECT id, sha256(coalesce(file_path, '') || chr(0) || coalesce(file_type, '') || chr(0) || coalesce(start_line::VARCHAR, '') || chr(0) || coalesce(end_line::VARCHAR, '') || chr(0) || coalesce(metadata_json, '') || chr(0) || coalesce(content, '')) AS identity FROM chunks")
 def str13_identity_hash(t):
     e = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    c = t.chunks.where("file_path is not null and content is not null")
-    return c.select("id", tx.identity_hash(F.col("file_path"), e("file_type"), e("start_line"), e("end_line"), e("metadata_json"), F.col("content")).alias("identity"))
+    return t.chunks.select("id", tx.identity_hash(*map(e, ("file_path", "file_type", "start_line", "end_line", "metadata_json", "content"))).alias("identity"))
 
 
-@query("SELECT id, sha256(chunk_id || chr(0) || coalesce(ordinal, -1)::VARCHAR || chr(0) || coalesce(normalized, '')) AS row_id FROM formulas WHERE chunk_id IS NOT NULL")
+@query("SELECT id, sha256(coalesce(chunk_id, '') || chr(0) || coalesce(ordinal, -1)::VARCHAR || chr(0) || coalesce(normalized, '')) AS row_id FROM formulas")
 def str14_row_ids(t):
-    f = t.formulas.where("chunk_id is not null")
-    return f.select("id", tx.identity_hash(F.col("chunk_id"), F.coalesce("ordinal", F.lit(-1)), F.coalesce("normalized", F.lit(""))).alias("row_id"))
+    return t.formulas.select("id", tx.identity_hash(F.coalesce("chunk_id", F.lit("")), F.coalesce("ordinal", F.lit(-1)), F.coalesce("normalized", F.lit(""))).alias("row_id"))
 
 
 @query(
@@ -154,10 +190,10 @@ def str16_normal_path(t):
     return t.chunks.select("id", tx.normal_path(F.col("file_path")).alias("path"))
 
 
-@query(f"SELECT id, list_extract(string_split(file_path, '/'), -1) AS basename, regexp_replace(regexp_replace(list_extract(string_split(file_path, '/'), -1), '\\.[^.]+$', ''), '(?i:_test|\\.test|\\.spec)$', '') AS stem, array_to_string(list_sort({sql_tokens(sql_spaced('file_path'))}), ' ') AS path_tokens FROM chunks WHERE file_path IS NOT NULL")
+@query(f"SELECT id, list_extract(string_split(file_path, '/'), -1) AS basename, regexp_replace(regexp_replace(list_extract(string_split(file_path, '/'), -1), '\\.[^.]+$', ''), '(?i:_test|\\.test|\\.spec)$', '') AS stem, array_to_string(list_sort({sql_tokens(sql_spaced('file_path'))}), ' ') AS path_tokens FROM chunks")
 def str17_path_tokens(t):
     p = F.col("file_path")
-    return t.chunks.where(p.isNotNull()).select("id", tx.basename(p).alias("basename"), tx.path_stem(p).alias("stem"), F.array_join(F.array_sort(tx.search_tokens(tx.spaced(p))), " ").alias("path_tokens"))
+    return t.chunks.select("id", tx.basename(p).alias("basename"), tx.path_stem(p).alias("stem"), F.array_join(F.array_sort(tx.search_tokens(tx.spaced(p))), " ").alias("path_tokens"))
 
 
 @query("SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS size FROM (SELECT id, strlen(content) AS n FROM chunks WHERE content IS NOT NULL)")
@@ -171,24 +207,69 @@ def str19_format_duration(t):
     return t.indexing_jobs.select("job_seq", "status", tx.format_duration(ms).alias("took")).distinct()
 
 
+_SQL_EXACT = (
+    "translate(q, chr(34) || chr(39) || chr(96), '') <> q OR list_bool_or(list_transform(string_split(replace(replace(q, '\\', '.'), '/', '.'), '.')[2:], lambda x: x <> '' AND regexp_matches(x[1], '[A-Za-z0-9_-]'))) OR contains(q, '..') OR contains(q, '/.') OR contains(q, '\\.') "
+    "OR list_bool_or(list_transform(regexp_extract_all(q, '[A-Za-z0-9_]+'), lambda x: x[1] BETWEEN 'A' AND 'Z' AND length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 2)) OR list_bool_or(list_transform(regexp_split_to_array(q, '[^A-Za-z0-9-]+'), lambda x: regexp_full_match(x, '[A-Z]+-[0-9]+')))"
+)
+
+
 @query(
-    "SELECT query_id, CASE WHEN e THEN 'fast' WHEN n >= 10 OR regexp_matches(query_text, '(?i)how|why|explain|concept|architecture|design|流程|架構|概念|為什麼|如何') THEN 'semantic' ELSE 'hybrid' END AS auto_mode FROM "
-    "(SELECT *, len(list_filter(regexp_split_to_array(trim(query_text), '[ \\t]+'), lambda w: w <> '')) AS n, regexp_matches(query_text, '[\"''`]') OR regexp_matches(query_text, '[./\\\\][A-Za-z0-9_.-]+') OR regexp_matches(query_text, '(^|[^A-Za-z0-9_])[A-Z][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*') OR regexp_matches(query_text, '(^|[^A-Za-z0-9_])[A-Z]+-[0-9]+($|[^A-Za-z0-9_])') AS e FROM search_queries)"
+    f"SELECT query_id, CASE WHEN coalesce({_SQL_EXACT}, false) THEN 'fast' WHEN len(list_filter(regexp_split_to_array(q, '[ \\t]+'), lambda w: w <> '')) >= {tx.LONG_QUERY} OR list_bool_or(list_transform({sql_list(tx.EXPLAIN)}, lambda w: contains(lower(q), w))) THEN 'semantic' ELSE 'hybrid' END AS auto_mode FROM (SELECT query_id, trim(query_text) AS q FROM search_queries)"
 )
 def str20_auto_mode(t):
     return t.search_queries.select("query_id", tx.auto_mode(F.col("query_text")).alias("auto_mode"))
 
 
+@query(f"SELECT query_id, array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i), ' ') AS normalized FROM (SELECT query_id, {sql_token_list('query_text')} AS g FROM search_queries)")
+def str06_normalized_query(t):
+    return t.search_queries.select("query_id", tx.normalized_query(F.col("query_text")).alias("normalized"))
+
+
+def _sql_words(values: list[str]) -> str:
+    return f"list_has_any(regexp_split_to_array(lower(q), '[^a-z0-9_]+'), {sql_list(values)})"
+
+
+def _sql_holds(values: list[str]) -> str:
+    return f"list_bool_or(list_transform({sql_list(values)}, lambda w: contains(lower(q), w)))"
+
+
+_SQL_CODE = (
+    f"regexp_full_match(q, '[A-Z][A-Z0-9_]{{2,}}') OR (NOT regexp_matches(q, '[ \\t]') AND contains(q, '.') AND lower(list_extract(string_split(q, '.'), -1)) IN ({', '.join(repr(e) for e in tn.FILE_ENDS)})) OR regexp_matches(q, '[A-Za-z0-9_$][(].*[)]') OR regexp_matches(q, '[A-Za-z0-9_$][.][A-Za-z_$]') "
+    "OR list_bool_or(list_transform(regexp_extract_all(q, '[A-Za-z0-9_$]+'), lambda x: (x[1] BETWEEN 'A' AND 'Z' AND length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 2) OR regexp_matches(x, '^[a-z]+[A-Z]')))"
+)
+
+
+@query(
+    f"SELECT query_id, CASE WHEN m IN ({', '.join(map(repr, tn.PRECISE_MODES))}) THEN 'precision' WHEN m IN ({', '.join(map(repr, tn.LONG_MODES))}) THEN 'long_context' WHEN m = 'semantic' THEN 'recall' WHEN {_sql_words(tn.ERRORS)} OR {_sql_holds(tn.ERRORS_CJK)} OR coalesce({_SQL_CODE}, false) THEN 'precision' "
+    f"WHEN len(list_filter(regexp_split_to_array(q, '[ \\t]+'), lambda w: w <> '')) >= {tx.LONG_QUERY} OR {_sql_words(tn.LONG)} OR {_sql_holds(tn.LONG_CJK)} THEN 'long_context' ELSE 'balanced' END AS profile FROM (SELECT query_id, trim(query_text) AS q, coalesce(mode, 'hybrid') AS m FROM search_queries)"
+)
+def sco17_profile(t):
+    return t.search_queries.select("query_id", tn.profile(F.col("query_text"), F.col("mode")).alias("profile"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v.limit}, {v.candidates()}, {v.min_score})" for k, v in tn.PROFILES.items()) + ") AS x(profile, result_limit, candidates, min_score)")
+def srt11_profile_limits(t):
+    rows = [(k, v.limit, v.candidates(), float(v.min_score)) for k, v in tn.PROFILES.items()]
+    return t.spark.createDataFrame(rows, "profile string, result_limit int, candidates int, min_score double")
+
+
+@query("SELECT query_id, least(10000, greatest(0, (query_id * 997)::BIGINT)) AS from_row, greatest(50, least(10000, greatest(0, query_id * 997)) + 10 * 12) AS candidates FROM search_queries")
+def srt05_candidate_limit(t):
+    """Offsets are clamped; the candidates grow with them."""
+    at = F.least(F.lit(10_000), F.greatest(F.lit(0), F.col("query_id") * 997))
+    b = tn.PROFILES["balanced"]
+    return t.search_queries.select("query_id", at.alias("from_row"), F.greatest(F.lit(b.candidate_min), at + b.limit * b.candidate_times).alias("candidates"))
+
+
 @query(f"WITH q AS (SELECT query_id, {sql_signals(sql_tokens('query_text'))} AS s FROM search_queries) SELECT query_id, list_has_any(s, {sql_list(tx.TESTS)}) AS tests, list_has_any(s, {sql_list(tx.GUIDE)}) AS guide, list_has_any(s, {sql_list(tx.LOCALIZATION)}) AS localization FROM q")
 def str21_intents(t):
     s = tx.signals(tx.search_tokens(F.col("query_text")))
     return t.search_queries.select("query_id", tx.asks_for(s, tx.TESTS).alias("tests"), tx.asks_for(s, tx.GUIDE).alias("guide"), tx.asks_for(s, tx.LOCALIZATION).alias("localization"))
 
 
-@query("SELECT id, " + " OR ".join(f"contains(lower(file_path), '{m}')" for m in tx.TEST_MARKS) + " AS is_test, file_type IN ('json', 'markdown', 'text', 'toml', 'yaml') AND regexp_matches(lower(file_path), '(^|/)(locales?|lang|i18n|translations)/') AS is_localization FROM chunks WHERE file_path IS NOT NULL AND file_type IS NOT NULL")
+@query("SELECT id, " + " OR ".join(f"contains(lower(file_path), '{m}')" for m in tx.TEST_MARKS) + " AS is_test, file_type IN ('json', 'markdown', 'text', 'toml', 'yaml') AND regexp_matches(lower(file_path), '(^|/)(locales?|lang|i18n|translations)/') AS is_localization FROM chunks")
 def str21_path_tests(t):
-    c = t.chunks.where("file_path is not null and file_type is not null")
-    return c.select("id", tx.is_test_path(F.col("file_path")).alias("is_test"), tx.is_localization_path(F.col("file_path"), F.col("file_type")).alias("is_localization"))
+    return t.chunks.select("id", F.when(F.col("file_path").isNotNull(), tx.is_test_path(F.col("file_path"))).alias("is_test"), tx.is_localization_path(F.col("file_path"), F.col("file_type")).alias("is_localization"))
 
 
 @query("SELECT id, class_name || '-' || substring(name, 1, 12) AS member_name FROM knowledge_bases WHERE class_name IS NOT NULL")
@@ -202,9 +283,13 @@ def str23_embedding_signature(t):
     return t.knowledge_bases.select("id", F.substring(F.sha2(s, 256), 1, 12).alias("signature"))
 
 
-@query("SELECT id, len(string_split(substring(content, 1, 500), chr(10))) AS line_at_500 FROM chunks WHERE content IS NOT NULL")
+@query("WITH l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM chunks), o AS (SELECT id, line, n, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS place FROM l) SELECT id, place, n::INT AS line FROM o WHERE regexp_matches(line, '^#{1,6} +[^ ]')")
 def str24_line_at_offset(t):
-    return t.chunks.where("content is not null").select("id", F.size(F.split(F.substring("content", 1, 500), "\n")).alias("line_at_500"))
+    """The line of every heading's offset, over whole texts."""
+    from fathomgrid.functions.chunkers import place_lines_udf
+
+    c = t.chunks.where(F.col("content").contains("#")).select("id", F.explode(place_lines_udf(F.col("content"))).alias("p"))
+    return c.where("p.kind = 'heading'").select("id", F.col("p.offset").alias("place"), "p.line")
 
 
 @query(None)
@@ -219,9 +304,9 @@ def str24_lines_of_places(t):
 _MATH = {k: v for k, v in {**sci.MATH_WORDS, **sci.SCRIPT_WORDS}.items()}
 
 
-@query("SELECT id, regexp_replace(trim(" + "".join("replace(" for _ in _MATH) + "content" + "".join(f", '{k}', ' {v} ')" for k, v in _MATH.items()) + ", ' '), '  +', ' ', 'g') AS words FROM chunks WHERE content IS NOT NULL AND len(content) < 6000")
+@query("SELECT id, regexp_replace(trim(" + "".join("replace(" for _ in _MATH) + "content" + "".join(f", '{k}', ' {v} ')" for k, v in _MATH.items()) + ", ' '), '  +', ' ', 'g') AS words FROM chunks WHERE content IS NOT NULL")
 def sci01_math_words(t):
-    return _math_words(t.chunks.where("content is not null and length(content) < 6000"))
+    return _math_words(t.chunks.where("content is not null"))
 
 
 def _math_words(chunks):
@@ -231,21 +316,15 @@ def _math_words(chunks):
     return chunks.select("id", F.regexp_replace(F.trim(some), "  +", " ").alias("words"))
 
 
-@query(None)
-def sci01_all_math_words(t):
-    """``sci01_math_words`` of every chunk, however long."""
-    return _math_words(t.chunks.where("content is not null"))
-
-
 @query(None)
 def sci05_normalized_formulas(t):
     f = t.formulas.select("id", sci.normalize_formula_udf(F.col("raw")).alias("f"))
     return f.select("id", "f.normalized", "f.token_count")
 
 
-@query("SELECT id, regexp_matches(normalized, '^[A-Z][a-z]?[0-9]*( [A-Z][a-z]?[0-9]*)+$') AS molecular FROM formulas WHERE normalized IS NOT NULL")
+@query(f"SELECT id, coalesce(length(u) BETWEEN 1 AND 64 AND regexp_full_match(u, '{sci.MOLECULE}') AND len(regexp_extract_all(u, '{sci.ELEMENT}')) >= 2, false) AS molecular FROM (SELECT id, translate(trim(raw), '{sci.SCRIPTED}', '{sci.UNSCRIPTED}') AS u FROM formulas)")
 def sci07_molecular(t):
-    return t.formulas.where("normalized is not null").select("id", F.col("normalized").rlike("^[A-Z][a-z]?[0-9]*( [A-Z][a-z]?[0-9]*)+$").alias("molecular"))
+    return t.formulas.select("id", F.coalesce(sci.molecular(F.col("raw")), F.lit(False)).alias("molecular"))
 
 
 @query(None)
@@ -263,9 +342,10 @@ def sci11_unit_products(t):
     return t.formulas.where("normalized is not null").select("id", F.array_join(tx.drop_unit_products(F.split("normalized", " ")), " ").alias("stream"))
 
 
-@query(r"SELECT id, array_to_string(list_distinct(regexp_extract_all(content, '\$\$[^$]+\$\$'))[1:10], '|') AS formulas, len(list_distinct(regexp_extract_all(content, '\$\$[^$]+\$\$'))) AS n FROM chunks WHERE contains(content, '$$') AND len(list_distinct(regexp_extract_all(content, '\$\$[^$]+\$\$'))) <= 1")
+@query(r"SELECT id, array_to_string(f[1:10], '|') AS formulas, len(f) AS n FROM (SELECT id, list_filter(g, lambda x, i: list_position(g, x) = i) AS f FROM (SELECT id, regexp_extract_all(content, '\$\$[^$]+\$\$') AS g FROM chunks WHERE contains(content, '$$')))")
 def sci14_display_formulas(t):
-    return _display_formulas(t.chunks).where("n <= 1")
+    """The first ten different display formulas of every chunk in order of first occurrence, and how many there are."""
+    return _display_formulas(t.chunks)
 
 
 def _display_formulas(chunks):
@@ -274,12 +354,6 @@ def _display_formulas(chunks):
     return c.select("id", F.array_join(F.slice("f", 1, 10), "|").alias("formulas"), F.size("f").alias("n"))
 
 
-@query(None)
-def sci14_all_display_formulas(t):
-    """The first ten different display formulas of every chunk in order of first occurrence, and how many there are."""
-    return _display_formulas(t.chunks)
-
-
 @query(r"SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(content, '\[\[([^\[\]|]+)(\|[^\[\]]*)?\]\]', 1), lambda x: trim(x, ' ')))), '|') AS links FROM chunks WHERE contains(content, '[[')")
 def sci15_wikilinks(t):
     found = F.transform(F.regexp_extract_all("content", F.lit(r"\[\[([^\[\]|]+)(\|[^\[\]]*)?\]\]"), 1), F.trim)
@@ -297,9 +371,9 @@ def flt04_file_type_alias(t):
     return t.chunks.where("file_type is not null").select("id", tx.file_type_alias(F.col("file_type")).alias("file_type"))
 
 
-@query("SELECT id FROM chunks WHERE length(trim(content)) >= 300")
+@query("SELECT id FROM chunks WHERE length(trim(content)) >= 50")
 def flt12_short_chunks(t):
-    return t.chunks.where(F.length(F.trim("content")) >= 300).select("id")
+    return t.chunks.where(F.length(F.trim("content")) >= 50).select("id")
 
 
 @query("SELECT query_id, CASE WHEN coalesce(mode, 'hybrid') IN ('code', 'config', 'errors') THEN 'fast' WHEN coalesce(mode, 'hybrid') IN ('auto', 'docs', 'decision') THEN 'hybrid' ELSE coalesce(mode, 'hybrid') END AS retrieval FROM search_queries")
@@ -340,29 +414,44 @@ def gen08_heading_symbols(t):
     return lines.select("id", F.regexp_extract("line", "^(#{1,6}) ", 1).alias("marks"), name.alias("name"), (F.col("p") + 1).alias("line"))
 
 
-@query("SELECT id, regexp_extract(line, '^[ \\t]*(?:export +)?([A-Za-z_][A-Za-z0-9_]*)[ \\t]*=[^=]', 1) AS name, n AS line FROM (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM chunks WHERE content LIKE '%=%') WHERE regexp_matches(line, '^[ \\t]*(?:export +)?[A-Za-z_][A-Za-z0-9_]*[ \\t]*=[^=]')")
-def gen09_assignment_symbols(t):
-    p = r"^[ \t]*(?:export +)?([A-Za-z_][A-Za-z0-9_]*)[ \t]*=[^=]"
-    lines = t.chunks.where(F.col("content").contains("=")).select("id", F.posexplode(F.split("content", "\n")).alias("p", "text")).where(F.col("text").rlike(p))
-    return lines.select("id", F.regexp_extract("text", p, 1).alias("name"), (F.col("p") + 1).alias("line"))
+@query(
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE contains(text, ':')) SELECT doc_id, regexp_extract(line, '^[ \\t]*([A-Za-z0-9_.-]+)[ \\t]*:', 1) AS name, n::INT AS line FROM l WHERE regexp_matches(line, '^[ \\t]*[A-Za-z0-9_.-]+[ \\t]*:')"
+)
+def gen09_config_symbols(t):
+    """Keys of texts read as YAML (front matter among them), by the reader of configuration files."""
+    from fathomgrid.functions.symbols import symbols_udf
+
+    d = t.documents.where(F.col("text").contains(":")).select("doc_id", F.explode(symbols_udf(F.col("text"), F.lit("config.yaml"), F.lit("yaml"))).alias("s"))
+    return d.where("s.kind = 'config_key'").select("doc_id", "s.name", "s.line")
 
 
-@query(r"SELECT id, unnest(regexp_extract_all(content, '\b(?:def|fn|func|function) +([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM chunks")
+@query(
+    r"SELECT id, 'function' AS kind, unnest(regexp_extract_all(content, '(?m)^[ \t]*(?:export +)?(?:pub +)?(?:async +)?(?:def|fn|func|function) +([A-Za-z_][A-Za-z0-9_]*) *[(]', 1)) AS name FROM chunks WHERE lower(trim(file_type)) IN ('python', 'go', 'rust', 'typescript') "
+    r"UNION ALL SELECT id, 'class', unnest(regexp_extract_all(content, '(?m)^[ \t]*(?:export +)?class +([A-Za-z_][A-Za-z0-9_]*)', 1)) FROM chunks WHERE lower(trim(file_type)) IN ('python', 'go', 'rust', 'typescript')"
+)
 def gen10_code_symbols(t):
-    return t.chunks.select("id", F.explode(F.regexp_extract_all("content", F.lit(r"\b(?:def|fn|func|function) +([A-Za-z_][A-Za-z0-9_]*)"), 1)).alias("name"))
+    """Functions and classes of program texts; the SQL reads declarations at a line's start."""
+    from fathomgrid.functions.symbols import code_symbols_udf
 
+    c = t.chunks.where(F.lower(F.trim("file_type")).isin("python", "go", "rust", "typescript"))
+    s = c.select("id", F.explode(code_symbols_udf(F.col("content"))).alias("s")).select("id", "s.kind", "s.name")
+    return s.where(F.col("kind").isin("function", "class"))
 
-@query(r"SELECT id, regexp_extract(line, '^\\(chapter|section|subsection|subsubsection|paragraph)', 1) AS kind, regexp_extract(line, '^\\(?:chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]+)\}', 1) AS name FROM (SELECT id, unnest(string_split(content, chr(10))) AS line FROM chunks WHERE contains(content, '\')) WHERE regexp_matches(line, '^\\(?:chapter|section|subsection|subsubsection|paragraph)\*?\{[^{}]+\}')")
+
+@query(r"SELECT id, regexp_extract(line, '^\\(chapter|section|subsection|subsubsection)', 1) AS kind, regexp_extract(line, '^\\(?:chapter|section|subsection|subsubsection)\*?\{([^{}]+)\}', 1) AS name FROM (SELECT id, unnest(string_split(content, chr(10))) AS line FROM chunks WHERE contains(content, '\')) WHERE regexp_matches(line, '^\\(?:chapter|section|subsection|subsubsection)\*?\{[^{}]+\}')")
 def gen12_latex_headings(t):
-    p = r"^\\(chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]+)\}"
+    p = r"^\\(chapter|section|subsection|subsubsection)\*?\{([^{}]+)\}"
     lines = t.chunks.where(F.col("content").contains("\\")).select("id", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(p))
     return lines.select("id", F.regexp_extract("line", p, 1).alias("kind"), F.regexp_extract("line", p, 2).alias("name"))
 
 
-@query("SELECT chunk_id, count(*) AS formulas, sum(coalesce(token_count, 0))::BIGINT AS tokens, max(ordinal) AS last_ordinal FROM (SELECT DISTINCT chunk_id, ordinal, normalized, token_count FROM formulas) GROUP BY chunk_id")
+@query("WITH m AS (SELECT id, CASE WHEN json_valid(metadata_json) THEN metadata_json END AS j FROM chunks), f AS (SELECT id, unnest(j->>'$.formulas[*]') AS raw, generate_subscripts(j->>'$.formulas[*]', 1) - 1 AS ordinal FROM m) SELECT id AS chunk_id, ordinal::INT AS ordinal, raw, sha256(id || chr(0) || ordinal) AS row_id FROM f")
 def gen14_formula_rows(t):
-    f = t.formulas.select("chunk_id", "ordinal", "normalized", "token_count").distinct()
-    return f.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("formulas"), F.sum(F.coalesce("token_count", F.lit(0))).alias("tokens"), F.max("ordinal").alias("last_ordinal"))
+    """A row per formula of a chunk's metadata, with the id that its stored row has."""
+    from fathomgrid.functions.metadata import metadata
+
+    f = t.chunks.select(F.col("id").alias("chunk_id"), F.posexplode(metadata(F.col("metadata_json"))["formulas"]).alias("ordinal", "raw"))
+    return f.select("chunk_id", "ordinal", "raw", tx.identity_hash(F.col("chunk_id"), F.col("ordinal")).alias("row_id"))
 
 
 # ---- Python cores over columns: checked by literals in the tests ---------------------------------
@@ -381,7 +470,7 @@ def gen02_markdown_chunks(t):
     from fathomgrid.functions.chunkers import chunk_documents
     from fathomgrid.functions.metadata import metadata
 
-    c = chunk_documents(t.documents.where("text like '%# %'"), "doc_id", "text", F.lit("markdown"))
+    c = chunk_documents(t.documents.where(tx.file_type_alias(F.col("file_type")) == "markdown"), "doc_id", "text", F.lit("markdown"))
     m = metadata(F.col("metadata_json"))
     return c.select("doc", "ordinal", m["heading"].alias("heading"), m["breadcrumb"].alias("breadcrumb"), F.size(m["formulas"]).alias("formulas"), F.size(m["links"]).alias("links"))
 
@@ -405,10 +494,11 @@ def gen05_code_chunks(t):
 
 @query(None)
 def gen07_code_symbols(t):
-    from fathomgrid.functions.chunkers import CODE, symbols_udf
+    from fathomgrid.functions.chunkers import CODE
+    from fathomgrid.functions.symbols import code_symbols_udf
 
     c = t.chunks.where(F.lower(F.trim("file_type")).isin(*sorted(CODE)))
-    return c.select("id", F.explode(symbols_udf(F.col("content"))).alias("s")).select("id", "s.kind", "s.name", "s.line", "s.signature")
+    return c.select("id", F.explode(code_symbols_udf(F.col("content"))).alias("s")).select("id", "s.kind", "s.name", "s.line", "s.signature")
 
 
 @query(None)
@@ -435,4 +525,4 @@ def sci18_table_rows(t):
 def ret12_hashed_embeddings(t):
     from fathomgrid.operators.vector import hashed_embedding
 
-    return t.chunks.select("id", hashed_embedding(F.col(T)).alias("embedding"))
+    return t.search_queries.select("query_id", F.array_join(F.transform(hashed_embedding(F.col("query_text")), lambda x: F.round(x, 6).cast("string")), ",").alias("embedding"))

@@ -84,19 +84,39 @@ def test_rerank_forms(spark):
 
 
 def test_ignore_rules_and_scan(spark, tmp_path):
-    for name, data in {"a.py": b"x = 1", "node_modules/m.js": b"1", "b.bin": b"\0", "c.txt": b"\0\1bin", "logs/x.log": b"l", "keep/notes.md": b"# hi"}.items():
+    tree = {
+        "a.py": b"x = 1", "node_modules/m.js": b"1", "b.bin": b"\0", "c.txt": b"\0\1bin", "logs/x.log": b"l", "keep/notes.md": b"# hi", ".env": b"KEY=1", "deep/.env.local": b"K=2", "certs/server.pem": b"-", "id.key": b"k", "my-secrets.txt": b"s", "docs/an-eval-report.md": b"r",
+        "skip/me.md": b"m", "skip/not.md": b"n", "big.txt": b"x" * 200, ".gitignore": b"# own rules\nskip/*\n!skip/not.md\n",
+    }
+    for name, data in tree.items():
         p = tmp_path / name
-        p.parent.mkdir(exist_ok=True)
+        p.parent.mkdir(exist_ok=True, parents=True)
         p.write_bytes(data)
-    s = files.scan(spark, str(tmp_path))
+    s = files.scan(spark, str(tmp_path), max_bytes=100)
     got = {r["rel_path"]: r["reason"] for r in s.select("rel_path", "reason").collect()}
-    assert got == {"a.py": None, "node_modules/m.js": "ignored", "b.bin": "binary", "c.txt": "binary", "logs/x.log": "ignored", "keep/notes.md": None}
-    assert {r["file_type"] for r in files.readable(s).collect()} == {"python", "markdown"}
-    assert files.index_plan(s).first().asDict() == {"files": 2, "bytes": 9, "skipped": 4}
+    out = "suggested_excluded"
+    assert got == {
+        "a.py": None, "node_modules/m.js": out, "b.bin": "binary", "c.txt": "binary", "logs/x.log": None, "keep/notes.md": None, "certs/server.pem": out, "id.key": out, "my-secrets.txt": out, "docs/an-eval-report.md": out,
+        "skip/me.md": out, "skip/not.md": None, "big.txt": "oversized",
+    }
+    assert {r["file_type"] for r in files.readable(s).collect()} == {"python", "markdown", "text"}
+    assert files.index_plan(s).first()["files"] == 4 and files.index_plan(s).first()["skipped"] == 9
+    report = {r["reason"]: (r["n"], r["samples"]) for r in files.skip_report(s, samples=2).collect()}
+    assert report["oversized"] == (1, ["big.txt"]) and report[out] == (6, ["certs/server.pem", "docs/an-eval-report.md"])
+    plan = s._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(length,100)" in plan
+    again = {r["rel_path"]: r["reason"] for r in files.scan(spark, str(tmp_path), include=["node_modules"], exclude=["keep"]).collect()}
+    assert again["node_modules/m.js"] is None and again["keep/notes.md"] == out
     p = spark.createDataFrame([("src/a.tmp",), ("src/keep.tmp",), ("src/b.py",)], "p string")
     assert [r[0] for r in p.select(files.ignore_pattern(F.col("p"), ["*.tmp", "!keep.tmp"])).collect()] == [True, False, False]
 
 
+def test_classify_source(spark):
+    rows = [("http://x", None, "url"), ("/srv/a", "directory", "directory"), ("/srv/a.md", "file", "file"), ("./gone", None, "missing"), ("notes.txt", None, "missing"), ("some words of text", None, "text"), ("a/b", None, "missing"), ("line\n/two", None, "text"), (None, None, "text"), ("//host", None, "text")]
+    d = spark.createDataFrame(rows, "s string, k string, want string")
+    assert all(r["got"] == r["want"] for r in d.select("want", files.classify_source(F.col("s"), F.col("k")).alias("got")).collect())
+
+
 def test_documents(spark):
     import io
     import zipfile
@@ -119,3 +139,78 @@ def test_relation_boost(spark):
     d = spark.createDataFrame(pairs, "a string, b string, want double")
     for r in d.select("want", ranking.relation_boost(metadata(F.col("a")), metadata(F.col("b"))).alias("got")).collect():
         assert r["got"] == r["want"]
+
+
+def test_numbers_within_a_hot_key(spark):
+    rows = [("hot", f"i{k:04d}") for k in range(900)] + [("cold", "a"), ("cold", "b"), (None, "n1"), (None, "n2")]
+    got = {(r["h"], r["id"]): r["occurrence"] for r in maintenance.number_within(spark.createDataFrame(rows, "h string, id string"), "h", "id").collect()}
+    assert all(got["hot", f"i{k:04d}"] == k + 1 for k in range(900)) and got["cold", "b"] == 2 and got[None, "n2"] == 2
+
+
+def test_debounce_against_a_plain_fold(spark):
+    import random
+
+    random.seed(3)
+    rows = [(k, t) for k in ("a", "b") for t in sorted(random.sample(range(4000), 300))]
+    d = spark.createDataFrame(rows, "k string, t long").select("k", F.timestamp_seconds("t").alias("ts"))
+    got = sorted((r["k"], r["burst"], r["events"]) for r in maintenance.debounce(d, "k", "ts", 25).collect())
+    want = []
+    for k in ("a", "b"):
+        ts = [t for x, t in rows if x == k]
+        n, size = 1, 1
+        for p, q in zip(ts, ts[1:]):
+            if q - p >= 25:
+                want.append((k, n, size))
+                n, size = n + 1, 0
+            size += 1
+        want.append((k, n, size))
+    assert got == sorted(want)
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = [("k", f"v{i}", [float(x) for x in rng.normal(size=8)]) for i in range(60)]
+    q = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(12)]
+    vs, qs = spark.createDataFrame(v, "kb_id string, chunk_id string, embedding array<float>"), spark.createDataFrame(q, "query_id long, embedding array<float>")
+    one = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in vector.vector_search(vs, qs, 3).collect())
+    monkeypatch.setattr(vector, "BROADCAST_NUMBERS", 20)
+    assert one == sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in vector.vector_search(vs, qs, 3).collect())
+
+
+def test_stored_postings_give_the_same_scores(spark, corpus):
+    q = spark.createDataFrame([(1, "vectors meanings"), (2, "11.94"), (3, "tie anchor"), (4, "nothing here")], "query_id long, query_text string")
+    plain = sorted(map(tuple, lexical.bm25_search(corpus, q, 10).collect()))
+    stored = lexical.stored_postings(corpus)
+    assert plain and plain == sorted(map(tuple, lexical.bm25_search(corpus, q, 10, stored=stored).collect()))
+    assert stored.where("term = 'vectors'").count() == 2
+
+
+def test_doctor_rules(spark):
+    b = spark.createDataFrame([("ok", "ready", 3), ("bad", "error", 0), ("slow", "indexing", 0), ("blind", "ready", 5)], "kb_id string, status string, chunk_count long").withColumn("updated_at", F.lit("2025-01-01").cast("timestamp"))
+    one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "kb_id string")
+    got = {}
+    for r in maintenance.doctor(b, one("ok", "blind"), one("ok"), one("ok"), now=F.lit("2025-01-02").cast("timestamp")).collect():
+        got.setdefault(r["kb_id"], []).append((r["code"], r["health"]))
+    assert got == {"ok": [(None, 100)], "bad": [("error_state", 65)], "slow": [("stuck_indexing", 65)], "blind": [("vectors_missing", 63), ("no_symbols", 63)]}
+
+
+def test_tuning_profiles(spark):
+    from fathomgrid.plans import tuning
+
+    t = tuning.resolve("balanced", {"FATHOMGRID_SEARCH_LIMIT": "500", "FATHOMGRID_SEARCH_MIN_SCORE": "0.3", "FATHOMGRID_SEARCH_SNIPPET": "x", "FATHOMGRID_SEARCH_NEIGHBOURS": "nan"})
+    assert (t.limit, t.min_score, t.snippet, t.neighbours) == (50, 0.3, 240, 5) and tuning.resolve("recall", {}).candidates(offset=100) == 340
+    rows = [("fix the ENOENT error", None, "precision"), ("MAX_SIZE", None, "precision"), ("foo.ts", None, "precision"), ("run(x)", None, "precision"), ("a.b", None, "precision"), ("getName", None, "precision"), ("why is it slow", None, "long_context"), ("cold start", None, "balanced"), ("x", "semantic", "recall"), ("x", "docs", "long_context"), ("錯誤", None, "precision")]
+    d = spark.createDataFrame(rows, "q string, m string, want string").withColumn("got", tuning.profile(F.col("q"), F.col("m")))
+    assert all(r["got"] == r["want"] for r in d.collect())
+
+
+def test_golden_evaluation(spark):
+    from fathomgrid.operators import evaluation
+
+    g = spark.createDataFrame([(1, "a", "x.md", None, None), (2, "a", None, "docs/", 0.5), (3, "b", None, "docs/", 0.9)], "query_id long, domain string, file_path string, path_prefix string, min_score double")
+    r = spark.createDataFrame([(1, 1, "y.md", 0.9), (1, 2, "x.md", 0.8), (2, 1, "docs/z.md", 0.6), (3, 1, "docs/z.md", 0.6)], "query_id long, rank int, file_path string, score double")
+    o = evaluation.outcomes(g, r, 5)
+    assert {x["query_id"]: x["rank"] for x in o.collect()} == {1: 2, 2: 1, 3: None}
+    assert {x["domain"]: (x["queries"], x["hits"]) for x in evaluation.recall(o).collect()} == {"a": (2, 2), "b": (1, 0), None: (3, 2)}

@@ -9,8 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = ("agg05", "agg06", "ret01", "str07", "srt01")
-NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith(SLOW) and not (n[0] == "p" and n[1].isdigit()))
+NAMES = sorted(n for n in entry.oracle_sql() if not (n[0] == "p" and n[1].isdigit()))
 
 
 @pytest.fixture(scope="module")

@@ -1,4 +1,4 @@
-"""Queries that take every row or the whole text, against brute force (their SQL-bound namesakes take less)."""
+"""Queries that take every row or the whole text, against brute force."""
 
 import re
 
@@ -19,14 +19,14 @@ def run(spark, tmp_path):
 
 def test_math_words_of_oversized_texts(run):
     texts = {"short": "α ≤ β", "long": "x → y and  more " * 600, "edge": "π" * 6000, "plain": "word " * 2000}
-    got = {r["id"]: r["words"] for r in run("sci01_all_math_words", [*texts.items(), ("null", None)], "id string, content string").collect()}
+    got = {r["id"]: r["words"] for r in run("sci01_math_words", [*texts.items(), ("null", None)], "id string, content string").collect()}
     words = {**sci.MATH_WORDS, **sci.SCRIPT_WORDS}
     assert got == {k: re.sub("  +", " ", "".join(f" {words[c]} " if c in words else c for c in t).strip(" ")) for k, t in texts.items()}
 
 
 def test_several_display_formulas_in_order(run):
     texts = {"three": "$$b$$ x $$a$$ y $$b$$ $$\nc\n$$", "twelve": " ".join(f"$${k}$$" for k in range(11, -1, -1)), "one": "$$z$$ $$z$$", "none": "a $$ b", "plain": "$x$"}
-    got = {r["id"]: (r["formulas"], r["n"]) for r in run("sci14_all_display_formulas", [*texts.items(), ("null", None)], "id string, content string").collect()}
+    got = {r["id"]: (r["formulas"], r["n"]) for r in run("sci14_display_formulas", [*texts.items(), ("null", None)], "id string, content string").collect()}
     want = {k: list(dict.fromkeys(re.findall(r"\$\$[^$]+\$\$", t))) for k, t in texts.items() if "$$" in t}
     assert got == {k: ("|".join(f[:10]), len(f)) for k, f in want.items()}
     assert got["three"] == ("$$b$$|$$a$$|$$\nc\n$$", 3)
@@ -34,14 +34,16 @@ def test_several_display_formulas_in_order(run):
 
 def test_every_base_is_scanned(run):
     rows = [(f"c{k}", ("kb-a", "kb-b", "kb-b", "kb-c")[k % 4], f"h{k}", k, k + 3) for k in range(40)]
-    got = run("src21_all_bases", [*rows, ("lost", None, "h", 1, 2)], "id string, kb_id string, content_hash string, start_line int, end_line int")
+    got = run("src21_base_scan", [*rows, ("lost", None, "h", 1, 2)], "id string, kb_id string, content_hash string, start_line int, end_line int")
     assert sorted(map(tuple, got.collect())) == sorted((kb, i, h, a, b) for i, kb, h, a, b in rows)
 
 
-def test_file_contents_are_whole(run):
-    text = "a part much longer than the twenty characters of the outline " * 200
+def test_file_contents_are_whole(spark):
+    from fathomgrid.operators.maintenance import file_contents
+
+    text = "a part much longer than the twenty characters of an outline " * 200
     rows = [("k", "f", "c2", 9, 12, "last"), ("k", "f", "c1", 1, 8, text), ("k", "f", "c3", 9, 10, "middle"), ("k", "f", "c4", 20, 21, None), ("k", "g", "c5", 5, 6, text), ("k", None, "c6", 1, 1, "x"), ("k", "f", "c7", None, 1, "y")]
-    got = run("agg15_file_contents", rows, "kb_id string, file_path string, id string, start_line int, end_line int, content string")
+    got = file_contents(spark.createDataFrame(rows, "kb_id string, file_path string, id string, start_line int, end_line int, content string"))
     assert sorted(map(tuple, got.select("kb_id", "file_path", "first_line", "last_line", "content").collect())) == [("k", "f", 1, 21, f"{text}\n\nmiddle\n\nlast"), ("k", "g", 5, 6, text)]
 
 
