@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgrid.functions import text as tx
-from fathomgrid.session import cut_lineage
+from fathomgrid.session import cut_lineage, spread
 
 K1, B = 1.2, 0.75
 #: Distinct query terms that a scan takes as a set.
@@ -46,7 +46,7 @@ def term_statistics(chunks: DataFrame, column: str = "content_tokenized") -> Dat
 
     Each text's terms are sorted, so the first of equal ones counts the document: one aggregate by
     term with map-side combine, no shuffle of (term, document) pairs."""
-    d = chunks.select(F.array_sort(tx.fts_terms(F.col(column))).alias("w"))
+    d = spread(chunks.select(column)).select(F.array_sort(tx.fts_terms(F.col(column))).alias("w"))
     marked = F.transform("w", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("w", i - 1) != t)).cast("int").alias("first")))
     return d.select(F.explode(marked).alias("m")).groupBy("m.term").agg(F.sum("m.first").alias("df"), F.count(F.lit(1)).alias("tf"))
 
@@ -60,7 +60,7 @@ def query_phrases(queries: DataFrame, query_id: str = "query_id", text: str = "q
 
 def _scan(chunks: DataFrame, terms: list[str], column: str) -> DataFrame:
     """(kb_id, chunk_id, dl, hits): every text's length and the places of the wanted terms."""
-    d = chunks.select("kb_id", F.col("id").alias("chunk_id"), tx.fts_terms(F.coalesce(F.col(column), F.lit(""))).alias("w"))
+    d = spread(chunks.select("kb_id", "id", column)).select("kb_id", F.col("id").alias("chunk_id"), tx.fts_terms(F.coalesce(F.col(column), F.lit(""))).alias("w"))
     placed = F.transform("w", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
     return d.select("kb_id", "chunk_id", F.size("w").alias("dl"), F.filter(placed, lambda x: x["term"].isin(terms)).alias("hits"))
 
@@ -110,8 +110,8 @@ def strict_or_relaxed(scores: DataFrame, relax: bool = True) -> DataFrame:
     full = F.col("matched") == F.col("terms")
     if not relax:
         return scores.where(full)
-    best = F.max(full.cast("int")).over(Window.partitionBy("query_id", "kb_id"))
-    return scores.withColumn("_any", best).where(full | (F.col("_any") == 0)).drop("_any")
+    strict = scores.where(full).select("query_id", "kb_id").distinct()
+    return scores.where(full).unionByName(scores.where(~full).join(strict, ["query_id", "kb_id"], "left_anti"))
 
 
 def top_k(scores: DataFrame, k: int, by: list[str], score: str = "score", tie: str = "chunk_id") -> DataFrame:

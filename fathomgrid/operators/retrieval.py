@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.functions import text as tx
 from fathomgrid.operators import lexical, ranking, vector
-from fathomgrid.session import cut_lineage
+from fathomgrid.session import cut_lineage, spread
 
 # Candidates of the formula leg of each base, its best fuzzy score, injected rows of either leg, edges walked from a chunk.
 FORMULA_CANDIDATES, FUZZY_TOP, FORMULA_INJECTED, DEPENDENCY_INJECTED, EDGES = 50, 0.8, 5, 10, 2
@@ -89,21 +89,32 @@ def base_scores(mode: str, chunks: DataFrame, vectors: DataFrame | None, queries
     return trusted(ranking.fuse(lex, vec).select("query_id", "kb_id", "chunk_id", "score"))
 
 
-def chunk_columns(chunks: DataFrame, stream: str = "content_tokenized") -> DataFrame:
-    """What ranking needs of a chunk."""
+#: Distinct query signals up to which a chunk's signals are cut down to those that some query has.
+SIGNALS = 20_000
+
+
+def chunk_columns(chunks: DataFrame, wanted: list[str] | None = None, stream: str = "content_tokenized") -> DataFrame:
+    """What ranking needs of a chunk; of its signals only the ``wanted`` ones, if given."""
     p = F.coalesce("file_path", F.lit(""))
+    cut = lambda c: c if wanted is None else F.filter(c, lambda x: x.isin(wanted))
+    signals = lambda c: cut(tx.signals(tx.search_tokens(c)))
     return chunks.select(
-        F.col("id").alias("chunk_id"), p.alias("file_path"), tx.file_type_alias(F.col("file_type")).alias("file_type"), "start_line", "end_line", tx.signals(tx.search_tokens(F.col(stream))).alias("text_signals"),
-        tx.signals(tx.search_tokens(tx.spaced(p))).alias("path_signals"), tx.signals(tx.search_tokens(tx.spaced(tx.path_stem(p)))).alias("stem_signals"),
+        F.col("id").alias("chunk_id"), p.alias("file_path"), tx.file_type_alias(F.col("file_type")).alias("file_type"), "start_line", "end_line",
+        signals(F.col(stream)).alias("text_signals"), signals(tx.spaced(p)).alias("path_signals"), signals(tx.spaced(tx.path_stem(p))).alias("stem_signals"),
     )
 
 
 def adjusted(scored: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """``scored`` with the boosts and penalties, ``coverage`` and the score after them.  Texts are
-    tokenised once per candidate chunk, not per query and candidate."""
-    q = queries.select("query_id", tx.signals(tx.search_tokens(F.col("query_text"))).alias("query_signals"))
+    """``scored`` with the boosts and penalties, ``coverage`` and the score after them.
+
+    Texts are tokenised once per candidate chunk, and a chunk carries only signals that some query of
+    the batch has, so the rows of queries and candidates stay small."""
+    q = cut_lineage(queries.select("query_id", tx.signals(tx.search_tokens(F.col("query_text"))).alias("query_signals")))
+    some = [r["s"] for r in q.select(F.explode("query_signals").alias("s")).distinct().limit(SIGNALS + 1).collect()]
     wanted = scored.select(F.col("chunk_id").alias("id")).distinct()
-    rows = ranking.adjusted(scored.join(chunk_columns(chunks.join(wanted, "id", "left_semi")), "chunk_id").join(q, "query_id"))
+    held = spread(chunks.select("id", "file_path", "file_type", "start_line", "end_line", "content_tokenized")).join(wanted, "id", "left_semi")
+    c = cut_lineage(chunk_columns(held, some if len(some) <= SIGNALS else None))
+    rows = ranking.adjusted(scored.join(c, "chunk_id").join(q, "query_id"))
     return rows.withColumn("coverage", tx.coverage(F.col("text_signals"), F.col("query_signals"))).withColumn("score", F.col("adjusted_score"))
 
 
@@ -154,7 +165,7 @@ def hybrid_rows(
     scored = base_scores(mode, chunks, vectors, queries, qvecs, bases, k, stored)
     scored = scored.groupBy("query_id", "chunk_id").agg(F.first("kb_id").alias("kb_id"), F.max("score").alias("score"))
     rows = adjusted(scored, chunks, queries)
-    keep = ["query_id", "kb_id", "chunk_id", "score", "file_path", "file_type", "start_line", "end_line", "path_boost", "source_boost", "documentation_boost", "coverage", "query_signals"]
+    keep = ["query_id", "kb_id", "chunk_id", "score", "file_path", "file_type", "start_line", "end_line", "path_boost", "source_boost", "documentation_boost", "coverage", F.size("query_signals").alias("n_signals")]
     rows = rows.select(*keep)
     inside = chunks.join(bases.select("kb_id", "trust"), "kb_id").select("kb_id", F.col("id").alias("chunk_id"), "trust", F.coalesce("file_path", F.lit("")).alias("file_path"), tx.file_type_alias(F.col("file_type")).alias("file_type"), "start_line", "end_line")
     formula = dependency = None
@@ -170,9 +181,9 @@ def hybrid_rows(
     if mode == "fast":
         found = found.where("coverage > 0")
     elif mode != "semantic":
-        found = found.where((F.round("score", 9) >= min_score) & ranking.enough_evidence(F.size("query_signals"), F.round("source_boost", 9), F.col("coverage")))
+        found = found.where((F.round("score", 9) >= min_score) & ranking.enough_evidence(F.col("n_signals"), F.round("source_boost", 9), F.col("coverage")))
     found = found.where(matches_filter(file_type, path_pattern)).withColumn("reason", F.lit("retrieved"))
-    out = found.drop("query_signals")
+    out = found.drop("n_signals")
     blank = {c: F.lit(0.0) for c in ("path_boost", "source_boost", "documentation_boost", "coverage")}
     retrieved = rows.select("query_id", "chunk_id")
     injected = None

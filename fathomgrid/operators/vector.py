@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fathomgrid.functions import text as tx
 from fathomgrid.operators.lexical import top_k
@@ -61,16 +66,57 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, key: str
     task and the vectors are read once, without a shuffle; a larger one is dealt out in ``blocks``,
     each of which meets all vectors in tasks spread by a salt.  The k best per query and group are
     kept before the shuffle."""
-    q = queries.select("query_id", F.col("embedding").alias("q")).where(F.col("q").isNotNull())
-    v = vectors.select(group, key, F.col("embedding").alias("v"))
+    q = queries.select("query_id", F.col("embedding").alias("q")).where(F.col("q").isNotNull() & ~F.exists("q", lambda x: x.isNull()))
+    v = vectors.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col("embedding").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
     numbers = q.agg(F.sum(F.size("q"))).first()[0] or 0
     if numbers <= BROADCAST_NUMBERS:
-        pairs = v.join(F.broadcast(q), F.size("v") == F.size("q"))
+        scored = _products(v, q, k)
     else:
         blocks = blocks or -(-numbers // BROADCAST_NUMBERS)
         dealt = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
         salts = 64
-        left = v.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        left = v.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         pairs = left.join(dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["block", "salt"]).where(F.size("v") == F.size("q"))
-    scored = pairs.select("query_id", group, key, dot(F.col("v"), F.col("q")).alias("score")).where(F.col("score").isNotNull())
-    return top_k(scored.withColumn("_s", F.round("score", 9)), k, ["query_id", group], "_s", key).drop("_s")
+        scored = pairs.select("query_id", "g", "key", dot(F.col("v"), F.col("q")).alias("score"))
+    named = scored.select("query_id", F.col("g").alias(group), F.col("key").alias(key), "score", F.round("score", 9).alias("_s"))
+    return top_k(named, k, ["query_id", group], "_s", key).drop("_s")
+
+
+def _products(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """(query_id, g, key, score) by matrix products: the queries (bounded by the caller) are broadcast as
+    matrices by dimension, each batch of vectors is multiplied at once, and a query's rows below the
+    k best of a group in the batch fall away at the source."""
+    spark = v.sparkSession
+    kinds = dict(q.dtypes) | dict(v.dtypes)
+    by_dim: dict[int, tuple[list, list]] = {}
+    for r in q.collect():
+        ids, rows = by_dim.setdefault(len(r["q"]), ([], []))
+        ids.append(r["query_id"])
+        rows.append(r["q"])
+    shared = spark.sparkContext.broadcast({d: (ids, np.array(rows, dtype=np.float64)) for d, (ids, rows) in by_dim.items()})
+    schema = f"query_id {kinds['query_id']}, g {kinds['g']}, key {kinds['key']}, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            size = np.asarray(lists.value_lengths())
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            start = np.concatenate(([0], np.cumsum(size)))
+            groups = pc.dictionary_encode(batch.column("g"), null_encoding="encode").indices.to_numpy()
+            for d in np.unique(size):
+                if int(d) not in shared.value:
+                    continue
+                names, matrix = shared.value[int(d)]
+                at = np.flatnonzero(size == d)
+                order = at[np.argsort(groups[at], kind="stable")]
+                sims = flat[start[order][:, None] + np.arange(d)] @ matrix.T
+                edges = np.flatnonzero(np.diff(groups[order])) + 1
+                for lo, hi in zip([0, *edges], [*edges, len(order)]):
+                    s = np.round(sims[lo:hi], 9)
+                    keep = s >= np.partition(s, hi - lo - k, axis=0)[hi - lo - k] if hi - lo > k else np.ones(s.shape, dtype=bool)
+                    i, j = np.nonzero(keep)
+                    take = pa.array(order[lo + i])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, type=out[0].type).take(pa.array(j)), batch.column("g").take(take), batch.column("key").take(take), pa.array(sims[lo + i, j])], schema=out)
+
+    out = to_arrow_schema(T._parse_datatype_string(schema))
+    return v.select("g", "key", "v").mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from fathomgrid.functions import science as sci
 from fathomgrid.functions import text as tx
 from fathomgrid.plans import tuning as tn
 from fathomgrid.plans.registry import SQL_STEM, query, sql_case, sql_list, sql_signals, sql_spaced, sql_terms, sql_token_list, sql_tokens
+from fathomgrid.session import spread
 
 T = "content_tokenized"
 _EXT = r"lower(regexp_extract(file_path, '[^/]\.([^./]+)$', 1))"
@@ -329,7 +330,7 @@ def sci07_molecular(t):
 
 @query(None)
 def sci04_pre_tokenized(t):
-    return t.chunks.select("id", sci.pre_tokenize_udf(F.col("content")).alias("stream"))
+    return spread(t.chunks.select("id", "content")).select("id", sci.pre_tokenize_udf(F.col("content")).alias("stream"))
 
 
 @query(f"SELECT id, array_to_string(list_transform(string_split({T}, ' '), lambda x: {sql_case('lower(x)', sci.UNIT_WORDS, 'x')}), ' ') AS stream FROM chunks WHERE {T} IS NOT NULL")

@@ -50,5 +50,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, dealt out over all of them; any other plan as it
+    is.  Heavy work on the texts of a few small files runs on every core so; a scan of many files (the
+    case at scale) isn't touched."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":  # has an exchange already
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if plan.execute().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def default_sf_dir() -> str:
     return os.environ.get("FATHOMGRID_SF_DIR", "/root/testdata/sf0.001")
