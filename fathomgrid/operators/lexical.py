@@ -110,6 +110,7 @@ def strict_or_relaxed(scores: DataFrame, relax: bool = True) -> DataFrame:
     full = F.col("matched") == F.col("terms")
     if not relax:
         return scores.where(full)
+    scores = cut_lineage(scores)  # used three times
     strict = scores.where(full).select("query_id", "kb_id").distinct()
     return scores.where(full).unionByName(scores.where(~full).join(strict, ["query_id", "kb_id"], "left_anti"))
 
