@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from fathomgrid.session import spread
+
 #: Characters handled at a time; a longer single text is a slice of its own, whole.
 SLICE_BYTES = 1 << 20
 
@@ -37,4 +39,4 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], Iterato
                 else:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

@@ -97,9 +97,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's tokens stand in containers once and on end, and no container is over its capacity."""
+    packed = packing.pack_documents(table(spark, d, "documents"))
+    g = packed.groupBy("doc_id").agg(F.min("token_start").alias("a"), F.max("token_end").alias("b"), F.sum(F.col("token_end") - F.col("token_start")).alias("n"), F.count(F.lit(1)).alias("pieces"))
+    whole = (F.col("a") == 0) & (F.col("b") == F.col("n")) & ((F.col("pieces") == 1) | (F.col("n") > packing.CAPACITY))
+    over = packing.container_fill(packed).agg(F.max("tokens").alias("most"), F.min("tokens").alias("least"))  # one row
+    return g.crossJoin(F.broadcast(over)).select("doc_id", (whole & (F.col("most") <= packing.CAPACITY) & (F.col("least") > 0)).alias("whole"))
+
+
+def _p1_sql(select: str) -> str:
+    """The ranking in SQL: latest scores, discrete quantiles by sorted lists, normalised columns, distances."""
+    legs = sorted(rank_fusion.LEGS)
+    last = "s AS (SELECT query_id, chunk_id, leg, arg_max(score, (seen, coalesce(score, -1e300))) AS score FROM (SELECT query_id, chunk_id, leg, coalesce(seen_at, TIMESTAMPTZ '1970-01-01 00:00:00+00') AS seen, CASE WHEN isnan(score) THEN NULL ELSE score END AS score FROM search_hits WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND leg IN ('bm25', 'vector', 'fusion', 'adjusted')) GROUP BY ALL)"
+    last = last.replace("arg_max(score, (seen, coalesce(score, -1e300)))", "(max({'seen': seen, 'score': coalesce(score, -1e300)})).score")
+    lists = "l AS (SELECT query_id, leg, list_sort(list(score)) AS v FROM s WHERE score > -1e299 GROUP BY ALL)"
+    share = "1 - 0.15 / power(2, greatest(0, least(30, floor(log2(greatest(len(v) * 0.15 / 10, 1.0))))))"
+    bounds = f"b AS (SELECT query_id, leg, v[greatest(1, ceil(0.1 * len(v))::INT)] AS lo, v[greatest(1, ceil(round({share}, 12) * len(v))::INT)] AS hi FROM l)"
+    clip = "c AS (SELECT s.query_id, s.chunk_id, s.leg, CASE WHEN score > -1e299 THEN least(greatest(score, lo), hi) - lo ELSE 0 END AS x, CASE WHEN score > -1e299 AND hi > lo THEN 1 - (hi - lo) / (greatest(score - hi, 0) + hi - lo) ELSE 0 END AS o FROM s LEFT JOIN b ON b.query_id = s.query_id AND b.leg = s.leg)"
+    wide = "w AS (SELECT query_id, chunk_id, " + ", ".join(f"coalesce(sum(x) FILTER (WHERE leg = '{g}'), 0) AS {g}" for g in legs) + ", sum(coalesce(o, 0)) AS over FROM (SELECT query_id, chunk_id, leg, coalesce(x, 0) AS x, o FROM c) GROUP BY ALL)"
+    norm = "n AS (SELECT query_id, " + ", ".join(f"sqrt(sum({g} * {g})) AS n_{g}, max({g}) AS m_{g}" for g in legs) + " FROM w GROUP BY query_id)"
+    unit = lambda v, g: f"CASE WHEN n_{g} > 0 THEN ({v}) / n_{g} ELSE 0 END"
+    far = lambda v: "sqrt(" + " + ".join(f"power({unit(v(g), g)}, 2)" for g in legs) + ")"
+    dist = f"d AS (SELECT query_id, chunk_id, over, {far(lambda g: f'm_{g} - {g}')} AS up, {far(lambda g: g)} AS down FROM w JOIN n USING (query_id))"
+    rank = "r AS (SELECT query_id, chunk_id, over, CASE WHEN up + down > 0 THEN down / (up + down) ELSE 0 END AS closeness FROM d), p AS (SELECT query_id, chunk_id, closeness, row_number() OVER (PARTITION BY query_id ORDER BY round(closeness, 9) DESC, round(over, 9) DESC, chunk_id) AS position FROM r)"
+    return f"WITH {', '.join([last, lists, bounds, clip, wide, norm, dist, rank])} {select}"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say what the operator does; the others are tested against brute force."""
     return {
+        "p1_found": _p1_sql("SELECT query_id, chunk_id FROM p WHERE position <= 10"),
+        "p1_ranking": _p1_sql("SELECT query_id, chunk_id, position::INT AS position, round(closeness, 6) AS closeness FROM p"),
+        "p8_coverage": "SELECT doc_id, true AS whole FROM documents WHERE length(text) > 0",
         "p4_found": "SELECT id AS chunk_id FROM chunks WHERE length(content) > 6000",
         "p2_found": (
             "WITH u AS (SELECT DISTINCT v.kb_id, v.chunk_id, v.embedding FROM chunk_vectors v JOIN knowledge_bases k ON k.id = v.kb_id WHERE v.embedding IS NOT NULL AND len(v.embedding) = k.embedding_dimension AND list_sum(list_transform(v.embedding, lambda x: abs(x))) > 0), "

@@ -8,7 +8,7 @@ Defined results: the row with the latest ``seen_at`` holds for a query, chunk an
 times, and of null times, the higher score); a null score or NaN is no evidence, as is a leg that
 didn't return the chunk; rows with a null query, chunk or leg, or an unknown leg, don't count;
 repeated rows count once; a leg with one distinct value decides nothing; ties are broken by what
-the bounds cut off (bounded per leg, so that no leg decides), then by chunk id.  Extra columns are ignored, an empty table gives an empty result.
+the bounds cut off (bounded per leg, so that no leg decides), then by chunk id; both are compared to nine digits.  Extra columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -103,6 +103,7 @@ def ideal_point_ranking(hits: DataFrame, top: int | None = None, **options) -> D
     The row_number filter becomes a group limit before the shuffle, so a hot query sends ``top``
     rows per partition to its reducer.
     """
-    w = Window.partitionBy("query_id").orderBy(F.col("closeness").desc(), F.col("over").desc(), F.col("chunk_id"))
+    r = lambda c: F.round(c, 9).desc()  # noqa: E731  sums in another order differ in the last digits
+    w = Window.partitionBy("query_id").orderBy(r("closeness"), r("over"), F.col("chunk_id"))
     ranked = ideal_point_scores(hits, **options).withColumn("position", F.row_number().over(w))
     return ranked if top is None else ranked.where(F.col("position") <= top)
