@@ -214,3 +214,22 @@ def test_golden_evaluation(spark):
     o = evaluation.outcomes(g, r, 5)
     assert {x["query_id"]: x["rank"] for x in o.collect()} == {1: 2, 2: 1, 3: None}
     assert {x["domain"]: (x["queries"], x["hits"]) for x in evaluation.recall(o).collect()} == {"a": (2, 2), "b": (1, 0), None: (3, 2)}
+
+
+def test_converters_and_cache(spark):
+    import sys
+
+    write = [sys.executable, "-c", "import sys,pathlib; pathlib.Path(sys.argv[2],'a.md').write_text('text of '+pathlib.Path(sys.argv[1]).read_bytes().decode())", "{input}", "{output_dir}"]
+    assert documents.pdf_text(b"x", write) == ("text of x", None)
+    fails = {"missing": ["/no/such/program"], "exit 3": [sys.executable, "-c", "raise SystemExit(3)"], "no output": [sys.executable, "-c", "0"]}
+    assert {k: documents.pdf_text(b"x", c)[1] for k, c in fails.items()} == {k: k for k in fails}
+    assert documents.pdf_text(b"x", [sys.executable, "-c", "import time; time.sleep(9)"], timeout=1)[1] == "timeout" and documents.pdf_text(b"x")[1] == "no converter"
+    import hashlib
+
+    files_ = spark.createDataFrame([("a.pdf", bytearray(b"one"), None), ("b.pdf", bytearray(b"two"), None), ("c.docx", bytearray(b"no zip"), None), ("d.pdf", bytearray(b"z"), "binary")], "rel_path string, content binary, reason string")
+    cache = spark.createDataFrame([(hashlib.sha256(b"two").hexdigest(), "kept")], "content_hash string, text string")
+    got = {r["rel_path"]: (r["text"], r["failure"]) for r in documents.extract(files_, write, cache).collect()}
+    assert got == {"a.pdf": ("text of one", None), "b.pdf": ("kept", None), "c.docx": (None, "no document")}
+    images = spark.createDataFrame([("p.png", bytearray(b"ab"))], "path string, content binary")
+    read = [sys.executable, "-c", "import sys,pathlib; print(len(pathlib.Path(sys.argv[1]).read_bytes()))", "{input}"]
+    assert [tuple(r) for r in documents.ocr_captions(images, read).collect()] == [("p.png", "2", None)]
