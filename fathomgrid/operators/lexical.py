@@ -93,12 +93,13 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, column: str = "content_to
 
     N, df and average length are index-wide, so scores of different bases compare."""
     phrases = query_phrases(queries) if phrases is None else phrases
-    posts, stats = _postings_and_statistics(chunks, phrases, column, stored)  # stats: one row
+    posts, stats = _postings_and_statistics(chunks, phrases, column, stored)
+    n_docs, avgdl = stats.first()  # two numbers
     freq = phrase_frequencies(posts, phrases)
     df = freq.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    scored = freq.join(df, "phrase").crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = freq.join(df, "phrase")
+    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
     per = scored.select("phrase", "kb_id", "chunk_id", weight.alias("w"))
     asked = phrases.select("query_id", "phrase").distinct()
     total = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))

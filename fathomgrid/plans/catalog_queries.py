@@ -229,8 +229,8 @@ _CUT = "(SELECT median(epoch_us(indexed_at)) FROM chunks)"
 
 
 def _stored(t):
-    cut = t.chunks.agg(F.median(F.unix_micros("indexed_at")).alias("cut"))  # one row
-    return t.chunks.crossJoin(F.broadcast(cut)).where(F.unix_micros("indexed_at") <= F.col("cut"))
+    cut = t.chunks.agg(F.median(F.unix_micros("indexed_at"))).first()[0]  # one number
+    return t.chunks.where(F.unix_micros("indexed_at") <= F.lit(cut))
 
 
 @query(f"WITH a AS (SELECT content_hash AS h, count(*) AS n FROM chunks WHERE epoch_us(indexed_at) <= {_CUT} GROUP BY ALL), b AS (SELECT content_hash AS h, count(*) AS n FROM chunks GROUP BY ALL) SELECT coalesce(a.h, b.h) AS hash, least(coalesce(a.n, 0), coalesce(b.n, 0)) AS retained, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS removed, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS added FROM a FULL JOIN b USING (h)")

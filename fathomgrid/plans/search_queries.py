@@ -37,8 +37,8 @@ def agg05_term_statistics(t):
 
 @query(f"WITH {_POST}, {_LEN} SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(DISTINCT term) FROM post) AS terms FROM st")
 def agg05_corpus_statistics(t):
-    lengths = lexical.document_lengths(t.chunks).agg(F.count(F.lit(1)).alias("n_docs"), _R(F.avg("dl")).alias("avgdl"))
-    return lengths.crossJoin(lexical.term_statistics(t.chunks).agg(F.count(F.lit(1)).alias("terms")))  # one row each
+    n_docs, avgdl = lexical.document_lengths(t.chunks).agg(F.count(F.lit(1)), _R(F.avg("dl"))).first()
+    return lexical.term_statistics(t.chunks).agg(F.lit(n_docs).alias("n_docs"), F.lit(avgdl).alias("avgdl"), F.count(F.lit(1)).alias("terms"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, kb_id, chunk_id, round(score, 6) AS score, matched FROM sc")
@@ -139,6 +139,16 @@ _VLEG = (
     "qy AS (SELECT * FROM qx WHERE list_sum(list_transform(v, lambda x: abs(x))) > 0), "
     "vs AS (SELECT query_id, kb_id, chunk_id, (list_sum(list_transform(list_zip(e, v), lambda p: p[1]::DOUBLE * p[2])) / sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x))) / sqrt(list_sum(list_transform(v, lambda x: x * x)))) AS score FROM cw JOIN qy USING (dim))"
 )
+@query(
+    f"WITH v AS (SELECT query_id, {_sql_vector('w', '64')} AS v FROM (SELECT query_id, list_distinct({sql_terms('coalesce(query_text, $$$$)')}) AS w FROM search_queries)), n AS (SELECT query_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v), "
+    "u AS (SELECT query_id, n, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS place FROM n) SELECT query_id, place::INT AS place, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) AS value FROM u"
+)
+def ret12_hashed_embeddings(t):
+    """The offline embedding of every query, number by number."""
+    e = t.search_queries.select("query_id", F.posexplode(vector.hashed_embedding(F.col("query_text"))).alias("place", "value"))
+    return e.select("query_id", "place", _R(F.col("value")).alias("value"))
+
+
 _CAND = 120  # the candidates of the balanced profile
 _HYBRID = (
     f"{_BM25}, {_RELAX}, {_KB}, lexl AS (SELECT query_id, kb_id, chunk_id, round(score, 9) AS score FROM rx JOIN kb USING (kb_id) QUALIFY row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id) <= {_CAND}), "

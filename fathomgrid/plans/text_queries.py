@@ -520,10 +520,3 @@ def sci18_table_rows(t):
     from fathomgrid.functions.chunkers import table_rows_udf
 
     return t.chunks.where(F.col("content").contains("|")).select("id", table_rows_udf(F.col("content")).alias("content"))
-
-
-@query(None)
-def ret12_hashed_embeddings(t):
-    from fathomgrid.operators.vector import hashed_embedding
-
-    return t.search_queries.select("query_id", F.array_join(F.transform(hashed_embedding(F.col("query_text")), lambda x: F.round(x, 6).cast("string")), ",").alias("embedding"))
