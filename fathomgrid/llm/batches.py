@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fathomgrid.session import spread
 
@@ -40,3 +41,24 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], Iterato
                     yield out
 
     return spread(df).mapInArrow(run, schema)
+
+
+#: Bits of a filter (2 MB, whatever it holds).
+FILTER_BITS = 24
+
+
+def bit_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bit table of 2^FILTER_BITS bits, packed, with one bit per 64-bit hash: rows of 64 bits are put
+    together by an aggregate, so the driver gets at most 2^(FILTER_BITS - 6) numbers."""
+    at = F.shiftrightunsigned(column, 64 - FILTER_BITS)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
+    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    for r in hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("r")).agg(F.bit_or(one).alias("bits")).collect():
+        table[r["r"]] = r["bits"]
+    return table.view(np.uint8)
+
+
+def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a bit table may hold; false only for hashes that weren't put in."""
+    at = hashes >> np.uint64(64 - FILTER_BITS)
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.functions.science import pre_tokenize
 from fathomgrid.llm import codepoints as cpx
-from fathomgrid.llm.batches import map_texts
+from fathomgrid.llm.batches import bit_filter, map_texts, may_hold
 from fathomgrid.session import cut_lineage
 
 # Element names of HTML and of wiki text.
@@ -296,39 +296,44 @@ def remove_boilerplate(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages
     its host repeats on ``min_pages`` or more distinct pages.
 
     Blocks of a host are sorted in parallel and give (host, run hash, pages); the counts are added
-    over blocks, and the repeated runs come back to the pages by joins on host and hash.
+    over blocks.  A bit table of the repeated runs keeps all other places from the shuffle in which the
+    runs come back to their pages by host and hash.  Hosts are keyed by a 64-bit hash.
     """
-    p = pages.select("host", "page_id", F.coalesce("text", F.lit("")).alias("text"))
+    p = pages.select(F.xxhash64("host").alias("host"), "page_id", F.coalesce("text", F.lit("")).alias("text"))
     # Copies of one text count as one page, and texts are read once per copy class.
     p = p.withColumn("body", F.xxhash64("text"))
     sizes = p.groupBy("host").agg((F.sum(F.length("text")) / F.lit(6.0 * block_tokens)).alias("load"))
-    placed = p.join(sizes, "host").withColumn("block", F.pmod("body", F.greatest(F.lit(1), F.ceil("load")).cast("long")))
+    placed = p.join(sizes, "host").withColumn("blocks", F.greatest(F.lit(1), F.ceil("load")).cast("long")).withColumn("block", F.pmod("body", F.col("blocks"))).select("host", "body", "text", "blocks", "block")
 
     def sort_block(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.drop_duplicates("body")
         h, row, _, _, _ = _stream(f["text"].tolist())
         start, group = suffix_groups(h, row, min_tokens)
         if not len(start):
-            return pd.DataFrame({"host": np.array([], dtype=object), "run": np.array([], dtype=np.int64), "pages": np.array([], dtype=np.int64)})
+            return pd.DataFrame({"host": np.array([], dtype=np.int64), "run": np.array([], dtype=np.int64), "pages": np.array([], dtype=np.int64)})
         x, first = cpx.shingles(h, row, min_tokens)
         run = dict(zip(first.tolist(), range(len(first))))
         page = row[start]
         pair = np.unique(np.stack([group, page]), axis=1)  # distinct pages of each group
         uniq, counts = np.unique(pair[0], return_counts=True)
         heads = start[np.searchsorted(group, uniq)]
-        return pd.DataFrame({"host": np.full(len(uniq), key[0], dtype=object), "run": x[[run[s] for s in heads.tolist()]].view(np.int64), "pages": counts})
+        out = pd.DataFrame({"host": np.full(len(uniq), key[0], dtype=np.int64), "run": x[[run[s] for s in heads.tolist()]].view(np.int64), "pages": counts})
+        return out[out["pages"] >= min_pages] if f["blocks"].iloc[0] == 1 else out  # a block by itself is its host
 
-    runs = placed.groupBy("host", "block").applyInPandas(sort_block, "host string, run long, pages long")
-    common = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages).select("host", "run")
+    runs = placed.groupBy("host", "block").applyInPandas(sort_block, "host long, run long, pages long")
+    common = cut_lineage(runs.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages).select("host", "run"))
+    shared = pages.sparkSession.sparkContext.broadcast(bit_filter(common, "run"))
 
     def positions(batch: pa.RecordBatch) -> pa.Table:
         h, row, _, _, _ = _stream(batch.column("text").to_pylist())
         x, first = cpx.shingles(h, row, min_tokens)
+        some = may_hold(shared.value, x)
+        x, first = x[some], first[some]
         base = np.searchsorted(row, np.arange(batch.num_rows))
         take = pa.array(row[first])
         return pa.table({"host": batch.column("host").take(take), "page_id": batch.column("page_id").take(take), "run": pa.array(x.view(np.int64)), "at": pa.array((first - base[row[first]]).astype(np.int32))})
 
-    at = map_texts(p.select("host", "page_id", "text"), "text", positions, "host string, page_id string, run long, at int")
+    at = map_texts(p.select("host", "page_id", "text"), "text", positions, "host long, page_id string, run long, at int")
     covered = at.join(common, ["host", "run"]).groupBy("page_id").agg(F.sort_array(F.collect_set("at")).alias("covered"))
 
     def cut(batch: pa.RecordBatch) -> pa.Table:

@@ -19,7 +19,6 @@ their own; equal sizes are placed in the order of part, id and piece; an item's
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -102,8 +102,9 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, d, "documents"))
     g = packed.groupBy("doc_id").agg(F.min("token_start").alias("a"), F.max("token_end").alias("b"), F.sum(F.col("token_end") - F.col("token_start")).alias("n"), F.count(F.lit(1)).alias("pieces"))
     whole = (F.col("a") == 0) & (F.col("b") == F.col("n")) & ((F.col("pieces") == 1) | (F.col("n") > packing.CAPACITY))
-    over = packing.container_fill(packed).agg(F.max("tokens").alias("most"), F.min("tokens").alias("least"))  # one row
-    return g.crossJoin(F.broadcast(over)).select("doc_id", (whole & (F.col("most") <= packing.CAPACITY) & (F.col("least") > 0)).alias("whole"))
+    most, least = packing.container_fill(packed).agg(F.max("tokens"), F.min("tokens")).first()
+    fits = most is None or (most <= packing.CAPACITY and least > 0)
+    return g.select("doc_id", (whole & F.lit(fits)).alias("whole"))
 
 
 def _p1_sql(select: str) -> str:

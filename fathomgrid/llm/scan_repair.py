@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import codepoints as cpx
-from fathomgrid.llm.batches import map_texts
+from fathomgrid.llm.batches import bit_filter, map_texts, may_hold
 from fathomgrid.session import cut_lineage
 
 # Shapes that scanners take for each other, (read, meant), either way.
@@ -41,8 +41,6 @@ _ONE = str.maketrans({"0": "o", "1": "l", "i": "l", "@": "a", "c": "e", "f": "t"
 CHEAP, DEAR, MOST, SUPPORTED, RATIO = 0.3, 1.0, 0.95, 1.0, 10
 #: Different misread words that make a text noisy by themselves: in texts of scanned form, in others.
 LEAST, ALONE = 2, 3
-#: Bits of the filter that keeps words without a correction from the shuffle (2 MB, whatever the lexicon).
-FILTER_BITS = 24
 
 _NUMBER = r"(?:[-–—] ?\d{1,4} ?[-–—]|\[\d{1,4}\]|\(\d{1,4}\)|\d{1,4} \||\| \d{1,4}|\d{1,4} ?/ ?\d{1,4}|(?:[Pp]age|[Pp]\.|[Ss]eite|S\.|[Pp]ágina|pág\.) ?\d{1,4}(?: (?:of|de|von|sur|/) \d{1,4})?|\d{1,4})"
 _HEAD = r"(?:(?:Chapter|Chapitre|Kapitel|Capítulo|Section|Part)\.? \d{1,3}[.:]? [^\n]{1,80}|Proc\. [^\n]{1,60}|Vol\. [^\n]{1,60}|[^\W\d_][^\n.,;:!?]{0,40} (?:Handbook|Journal|Proceedings|Handbuch|Manuel|Manual) (?:of|de|der|du|des) [^\n.,;:!?]{1,40}|[^\n.,;:!?]{1,60} {1,3}[·•|] {1,3}[^\n.,;:!?]{1,60}|[^\Wa-zß-ÿ\d_][^a-zß-ÿ\n.,;:!?]{6,80})"
@@ -251,35 +249,20 @@ def corrections(lex: DataFrame) -> DataFrame:
     return weighed.groupBy("h", "word").agg(F.sort_array(F.collect_list(F.struct("cost", (-F.col("fix_n")).alias("less"), "fix"))).alias("fixes"))
 
 
-def word_filter(fixes: DataFrame) -> np.ndarray:
-    """A bit table of 2^FILTER_BITS bits with one bit per word hash: rows of 64 bits are put together
-    by an aggregate, so the driver gets at most 2^(FILTER_BITS - 6) numbers."""
-    at = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    rows = fixes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("r")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits")).collect()
-    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    for r in rows:
-        table[r["r"]] = r["bits"]
-    return np.unpackbits(table.view(np.uint8), bitorder="little")
-
-
 _SUSPECTS = "doc string, kind int, at int, h long, page_lines int, scanned boolean"
 
 
 def suspects(texts: DataFrame, fixes: DataFrame) -> DataFrame:
     """What speaks for scan noise: rows of kind 0 (a page line count), 1 and 2 (a broken word joined
     and with its hyphen, by number), 3 (a different word that may have a correction, with its first place)."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(word_filter(fixes)))
-    cache: list[np.ndarray] = []
+    shared = texts.sparkSession.sparkContext.broadcast(bit_filter(fixes, "h"))
 
     def fn(batch: pa.RecordBatch) -> pa.Table | None:
-        if not cache:
-            cache.append(np.unpackbits(shared.value).astype(bool))
-        may = cache[0]
-        top = np.uint64(64 - FILTER_BITS)
+        may = lambda x: may_hold(shared.value, x)
         text, cp, off = cpx.from_arrow(batch.column("text"))
         h, row, _, _ = cpx.words(cp, off, extra=(64,))
         nth = np.arange(len(h)) - np.searchsorted(row, row)
-        hit = np.flatnonzero(may[(h >> top).astype(np.int64)])
+        hit = np.flatnonzero(may(h))
         ends = np.searchsorted(row[hit], np.arange(batch.num_rows + 1))
         rows: list[tuple] = []
         for i, doc in enumerate(batch.column("doc").to_pylist()):
@@ -299,7 +282,7 @@ def suspects(texts: DataFrame, fixes: DataFrame) -> DataFrame:
             if pages or breaks:  # the words of the text without page lines and with broken words joined
                 _, fcp, foff = cpx.from_arrow(pa.array([_BREAK.sub(r"\1\2", flat)], pa.string()))
                 x = cpx.words(fcp, foff, extra=(64,))[0]
-                place = np.flatnonzero(may[(x >> top).astype(np.int64)])
+                place = np.flatnonzero(may(x))
                 x = x[place]
             else:
                 x, place = h[found], nth[found]
