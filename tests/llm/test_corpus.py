@@ -171,3 +171,15 @@ def test_pack_documents(spark, tmp_path):
         fill[r["container_id"]] = fill.get(r["container_id"], 0) + r["tokens"]
     assert sorted(fill.values()) == [2, 10, 10, 10, 10, 10, 10] and sorted(fill) == list(range(7))
     assert pk.pack_documents(d.limit(0), 10, str(path)).collect() == []
+
+
+def test_bit_filter_holds_all_it_was_given(spark):
+    from fathomgrid.llm import batches
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-(1 << 63), (1 << 63) - 1, 5000, dtype=np.int64)
+    table = batches.bit_filter(spark.createDataFrame([(int(v),) for v in x], "h long"), "h")
+    assert len(table) == 1 << (batches.FILTER_BITS - 3) and batches.may_hold(table, x.view(np.uint64)).all()
+    other = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    assert batches.may_hold(table, other).mean() < 0.01
+    assert not batches.may_hold(batches.bit_filter(spark.createDataFrame([], "h long"), "h"), other).any()
