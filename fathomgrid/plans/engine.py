@@ -250,8 +250,9 @@ class Engine:
             vectors = self.store.read("vectors", [i for i in ids if i not in strangers])
             qvecs = retrieval.query_vectors(asked, [self.dimension], self.embed)
         forms = asked.select("query_id", F.explode("formulas").alias("normalized")).distinct()
-        evidence = retrieval.Evidence(
-            asked=forms if forms.limit(1).count() else None, formulas=self.store.read("formulas", ids), edges=self.store.read("edges", ids),
+        edges = self.store.read("edges", ids).where("target is not null")
+        evidence = retrieval.Evidence(  # a leg without evidence costs nothing
+            asked=forms if forms.limit(1).count() else None, formulas=self.store.read("formulas", ids), edges=edges if edges.limit(1).count() else None,
         )
         rows, depends = retrieval.hybrid_rows(retrieve, chunks, vectors, asked, qvecs, bases, k, t.min_score, evidence, file_type, path_pattern, self.store.read("postings", ids))
         top = cut_lineage(lexical.top_k(rows.withColumn("score", F.round("score", 9)), k, ["query_id"]).drop("rank"))
@@ -275,8 +276,11 @@ class Engine:
         page = ranked.where((F.col("place") > offset) & (F.col("place") <= offset + limit)).withColumn("place", F.col("place") - offset)
         terms = asked.select("query_id", tx.search_tokens(F.col("query_text")).alias("terms"))
         page = page.join(terms, "query_id").join(total, "query_id")
-        edge = depends.groupBy("query_id", F.col("trigger").alias("chunk_id")).agg(F.sort_array(F.collect_set(F.struct("label", F.col("target").alias("chunk_id"), "pinned"))).alias("depends_on"))  # at most EDGES entries
-        page = page.join(edge, ["query_id", "chunk_id"], "left")
+        if depends is None:
+            page = page.withColumn("depends_on", F.lit(None).cast("array<struct<label:string,chunk_id:string,pinned:boolean>>"))
+        else:
+            walked = depends.groupBy("query_id", F.col("trigger").alias("chunk_id")).agg(F.sort_array(F.collect_set(F.struct("label", F.col("target").alias("chunk_id"), "pinned"))).alias("depends_on"))  # at most EDGES entries
+            page = page.join(walked, ["query_id", "chunk_id"], "left")
         n = max(0, min(MAX_NEIGHBOURS, int(expand)))
         if n:
             near = maintenance.neighbours(chunks.join(page.select("kb_id", "file_path").distinct(), ["kb_id", "file_path"], "left_semi"), n)
