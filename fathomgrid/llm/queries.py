@@ -40,6 +40,16 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p4_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every oversized chunk: without their overlaps they are its text again, and limit,
+    overlap and line numbers hold."""
+    pieces = splitting.split_oversized(table(spark, d, "chunks"))
+    own = F.struct("piece", F.expr("substring(content, new_char - start_char + 1)").alias("text"))
+    good = (F.length("content") <= splitting.LIMIT) & (F.col("new_char") - F.col("start_char") <= splitting.OVERLAP) & (F.col("end_line") >= F.col("start_line"))
+    g = pieces.groupBy("chunk_id").agg(F.sort_array(F.collect_list(own)).alias("p"), F.every(good).alias("good"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"))
+    return g.select("chunk_id", F.sha2(F.array_join(F.transform("p", lambda x: x["text"]), ""), 256).alias("content_hash"), "good", "first_line", "last_line")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_repair.noisy_chunks(table(spark, d, "chunks")).select("chunk_id")
 
@@ -131,6 +141,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _p1_sql("SELECT query_id, chunk_id FROM p WHERE position <= 10"),
         "p1_ranking": _p1_sql("SELECT query_id, chunk_id, position::INT AS position, round(closeness, 6) AS closeness FROM p"),
         "p8_coverage": "SELECT doc_id, true AS whole FROM documents WHERE length(text) > 0",
+        "p4_whole": "SELECT id AS chunk_id, sha256(content) AS content_hash, true AS good, b AS first_line, (b + length(content) - length(replace(content, chr(10), '')) - (CASE WHEN content[-1] = chr(10) THEN 1 ELSE 0 END))::INT AS last_line FROM (SELECT *, CASE WHEN coalesce(start_line, 0) >= 1 THEN start_line ELSE 1 END AS b FROM chunks) WHERE length(content) > 6000",
         "p4_found": "SELECT id AS chunk_id FROM chunks WHERE length(content) > 6000",
         "p2_found": (
             "WITH u AS (SELECT DISTINCT v.kb_id, v.chunk_id, v.embedding FROM chunk_vectors v JOIN knowledge_bases k ON k.id = v.kb_id WHERE v.embedding IS NOT NULL AND len(v.embedding) = k.embedding_dimension AND list_sum(list_transform(v.embedding, lambda x: abs(x))) > 0), "
