@@ -153,6 +153,13 @@ def oracle_sql() -> dict[str, str]:
             "g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3), n AS (SELECT id, count(*) AS n FROM g GROUP BY id), "
             "c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL) SELECT a AS chunk_id_a, b AS chunk_id_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k * 2 >= x.n + y.n - k"
         ),
+        "p7_groups": (
+            "WITH RECURSIVE w AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS w FROM chunks WHERE content IS NOT NULL), "
+            "g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5), sg AS (SELECT id, md5(string_agg(s, '|' ORDER BY s)) AS sig, count(*) AS n FROM g GROUP BY id), "
+            "cl AS (SELECT sig, min(id) AS cid, count(*) AS members, any_value(n) AS n FROM sg GROUP BY sig), gr AS (SELECT cid, s FROM g JOIN cl ON cl.cid = g.id), pr AS (SELECT a.cid AS x, b.cid AS y, count(*) AS k FROM gr a JOIN gr b ON a.s = b.s AND a.cid < b.cid GROUP BY ALL), "
+            "pp AS (SELECT x, y FROM pr JOIN cl c ON c.cid = x JOIN cl d ON d.cid = y WHERE k / (c.n + d.n - k) >= 0.8), e AS (SELECT x, y FROM pp UNION ALL SELECT y, x FROM pp), reach AS (SELECT cid AS a, cid AS b FROM cl UNION SELECT r.a, e.y FROM reach r JOIN e ON r.b = e.x), "
+            "grp AS (SELECT a AS cid, min(b) AS gid FROM reach GROUP BY a), deg AS (SELECT x AS cid, count(*) AS d FROM e GROUP BY x) SELECT sg.id, cid AS class_id, gid AS group_id, coalesce(d, 0) + members - 1 AS links FROM sg JOIN cl USING (sig) JOIN grp USING (cid) LEFT JOIN deg USING (cid) WHERE members > 1 OR d IS NOT NULL"
+        ),
         "p9_found": (
             "WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '</?[A-Za-z][^<>\\n]*>', ' ', 'g'), '&(?:[A-Za-z]{2,}|#[0-9]+|#x[0-9A-Fa-f]+);', ' ', 'g'), '\\]\\([^()\\s]+\\)', '] ', 'g'), '\\[\\[[^\\[\\]|\\n]+\\|([^\\[\\]\\n]*\\]\\])', '[[\\1', 'g') AS text FROM documents WHERE text IS NOT NULL), "
             "d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS w FROM m), i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL), "
