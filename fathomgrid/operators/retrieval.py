@@ -52,7 +52,7 @@ def scope(bases: DataFrame, kb_ids: list[str] | None = None, class_name: str | N
 
 def latest_vectors(vectors: DataFrame) -> DataFrame:
     """(kb_id, chunk_id, embedding): the latest usable vector of each chunk, by an aggregate."""
-    ok = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    ok = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
     at = F.coalesce("embedded_at", F.timestamp_micros(F.lit(0))) if "embedded_at" in vectors.columns else F.lit(0)
     return ok.groupBy("kb_id", "chunk_id").agg(F.max(F.struct(at.alias("at"), "embedding"))["embedding"].alias("embedding"))
 

@@ -65,9 +65,9 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, key: str
     The stated set of queries is measured first: up to BROADCAST_NUMBERS numbers it goes to every
     task and the vectors are read once, without a shuffle; a larger one is dealt out in ``blocks``,
     each of which meets all vectors in tasks spread by a salt.  The k best per query and group are
-    kept before the shuffle."""
-    q = queries.select("query_id", F.col("embedding").alias("q")).where(F.col("q").isNotNull() & ~F.exists("q", lambda x: x.isNull()))
-    v = vectors.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col("embedding").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    kept before the shuffle.  Vectors that are null or hold a null or NaN have no score."""
+    q = queries.select("query_id", F.col("embedding").alias("q")).where(F.col("q").isNotNull() & ~F.exists("q", lambda x: x.isNull() | F.isnan(x)))
+    v = vectors.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col("embedding").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     numbers = q.agg(F.sum(F.size("q"))).first()[0] or 0
     if numbers <= BROADCAST_NUMBERS:
         scored = _products(v, q, k)

@@ -51,9 +51,11 @@ def test_fusion_and_min_max(spark):
 
 
 def test_vector_search(spark):
-    v = spark.createDataFrame([("k", "x0", [1.0, 0.0, 0.0, 0.0]), ("k", "x1", [0.0, 1.0, 0.0, 0.0]), ("k", "x2", [0.0, 0.0, 1.0, 0.0]), ("k", "x3", [0.9, 0.1, 0.0, 0.0]), ("k", "short", [1.0])], "kb_id string, chunk_id string, embedding array<float>")
+    v = spark.createDataFrame([("k", "x0", [1.0, 0.0, 0.0, 0.0]), ("k", "x1", [0.0, 1.0, 0.0, 0.0]), ("k", "x2", [0.0, 0.0, 1.0, 0.0]), ("k", "x3", [0.9, 0.1, 0.0, 0.0]), ("k", "short", [1.0]), ("k", "hole", [1.0, None, 0.0, 0.0]), ("k", "nan", [float("nan"), 0.0, 0.0, 0.0]), ("k", "null", None), (None, "nobase", [0.5, 0.0, 0.0, 0.0])], "kb_id string, chunk_id string, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "query_id long, embedding array<float>")
-    assert [r["chunk_id"] for r in vector.vector_search(v, q, 2).orderBy("rank").collect()] == ["x0", "x3"]
+    assert [r["chunk_id"] for r in vector.vector_search(v, q, 2).where("kb_id = 'k'").orderBy("rank").collect()] == ["x0", "x3"]
+    assert [r["chunk_id"] for r in vector.vector_search(v, q, 9).where("kb_id is null").collect()] == ["nobase"]
+    assert vector.vector_search(v.limit(0), q, 2).collect() == [] == vector.vector_search(v, q.limit(0), 2).collect()
 
 
 def test_diversify_prefers_other_files(spark):
