@@ -43,7 +43,7 @@ def agg05_corpus_statistics(t):
 
 @query(f"WITH {_BM25} SELECT query_id, kb_id, chunk_id, round(score, 6) AS score, matched FROM sc")
 def agg06_bm25_scores(t):
-    return _scores(t).select("query_id", "kb_id", "chunk_id", _R(F.col("score")).alias("score"), "matched")
+    return lexical.bm25_scores(t.chunks, t.search_queries, digits=6).select("query_id", "kb_id", "chunk_id", "score", "matched")
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, round(round(score, 9), 6) AS score, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM sc WHERE matched = terms QUALIFY rank <= 10")
