@@ -54,8 +54,8 @@ def ret01_fast_search(t):
 
 @query(f"WITH {_BM25}, {_RELAX} SELECT query_id, kb_id, chunk_id, round(round(score, 9), 6) AS score, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM rx QUALIFY rank <= 5")
 def str07_or_fallback(t):
-    s = lexical.strict_or_relaxed(_scores(t)).withColumn("score", F.round("score", 9))
-    return lexical.top_k(s, 5, ["query_id", "kb_id"]).select("query_id", "kb_id", "chunk_id", _R(F.col("score")).alias("score"), "rank")
+    s = lexical.bm25_top(t.chunks, t.search_queries, 5, ["query_id", "kb_id"], "relaxed")
+    return s.select("query_id", "kb_id", "chunk_id", _R(F.col("score")).alias("score"), "rank")
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, round(round(score, 9), 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 3")
