@@ -31,6 +31,7 @@ class Best:
     def __init__(self, k: int, queries: int, names: list[str]) -> None:
         self.k, self.names, self.held, self.n = k, names, [], 0
         self.score = np.full((queries, k), -np.inf)
+        self.exact: np.ndarray | None = None
         self.row = np.full((queries, k), -1, dtype=np.int64)
         self.strict = np.zeros(queries, dtype=bool)
 
@@ -40,9 +41,9 @@ class Best:
         self.n += rows.num_rows
         return self.n - rows.num_rows
 
-    def update(self, dense: np.ndarray, lo: int, hi: int, first: int, strict: np.ndarray | None = None) -> None:
+    def update(self, dense: np.ndarray, lo: int, hi: int, first: int, strict: np.ndarray | None = None, exact: np.ndarray | None = None) -> None:
         """Scores (query, row) of the queries from lo to hi for the rows from ``first``; -inf: none.  Queries that
-        became ``strict`` lose the rows from before."""
+        became ``strict`` lose the rows from before.  ``exact``: the scores before rounding, kept along."""
         if strict is not None:
             new = np.flatnonzero(strict & ~self.strict[lo:hi])
             self.score[lo + new] = -np.inf
@@ -60,6 +61,10 @@ class Best:
         old = np.take_along_axis(self.row[some], np.minimum(at, self.k - 1), axis=1)
         self.row[some] = np.where(at < self.k, old, first + at - self.k)
         self.score[some] = np.take_along_axis(c, at, axis=1)
+        if exact is not None:
+            if self.exact is None:
+                self.exact = np.zeros_like(self.score)
+            self.exact[some] = np.take_along_axis(np.concatenate((self.exact[some], exact[some - lo]), axis=1), at, axis=1)
 
     def rows(self, step: int = 50_000) -> Iterator[tuple]:
         """(query, score, strict, *names) of the rows kept, in stretches."""

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -93,6 +93,18 @@ class Batch:
         inside = (q >= lo) & (q < hi)
         return np.concatenate(([0], np.cumsum(inside)))[starts], q[inside] - lo
 
+    def pick(self, ids: pa.Array) -> Batch:
+        """The same phrases, asked by the queries ``ids`` only, in their order."""
+        starts, q = self.asked
+        place = np.full(len(self.ids), -1, dtype=np.int64)
+        at = pc.index_in(ids, value_set=self.ids)
+        known = np.flatnonzero(np.asarray(at.is_valid()))
+        place[np.asarray(at.drop_null())] = known
+        total = np.zeros(len(ids), dtype=np.int64)
+        total[known] = self.total[np.asarray(at.drop_null())]
+        inside = place[q] >= 0
+        return Batch(ids, total, self.terms, self.need, self.lengths, (np.concatenate(([0], np.cumsum(inside)))[starts], place[q[inside]]))
+
 
 def starts_of(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(np.bincount(keys, minlength=n)[:n]))).astype(np.int64)
@@ -118,15 +130,16 @@ def batch_of(phrases: DataFrame) -> Batch | None:
     )
 
 
-def _hits(chunks: DataFrame, terms: list[str], column: str, stored: DataFrame | None) -> DataFrame:
-    """(kb_id, chunk_id, dl, hits): every text's length and the places of the wanted terms."""
+def _hits(chunks: DataFrame, terms: list[str], column: str, stored: DataFrame | None, more: dict[str, Column] | None = None) -> DataFrame:
+    """(kb_id, chunk_id, dl, hits): every text's length and the places of the wanted terms, and the columns
+    ``more`` of its chunk (without ``stored``)."""
     if stored is not None:
         place = F.transform("places", lambda i: F.struct(i.alias("pos"), F.col("term").alias("term")))
         wanted = F.when(F.col("term").isin(terms), place)
         return stored.groupBy("kb_id", "chunk_id", "dl").agg(F.flatten(F.collect_list(wanted)).alias("hits"))
-    d = spread(chunks.select("kb_id", "id", column)).select("kb_id", F.col("id").alias("chunk_id"), tx.fts_terms(F.coalesce(F.col(column), F.lit(""))).alias("w"))
+    d = spread(chunks.select("kb_id", "id", column) if not more else chunks).select("kb_id", F.col("id").alias("chunk_id"), tx.fts_terms(F.coalesce(F.col(column), F.lit(""))).alias("w"), *[c.alias(n) for n, c in (more or {}).items()])
     placed = F.transform("w", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
-    return d.select("kb_id", "chunk_id", F.size("w").alias("dl"), F.filter(placed, lambda x: x["term"].isin(terms)).alias("hits"))
+    return d.select("kb_id", "chunk_id", F.size("w").alias("dl"), F.filter(placed, lambda x: x["term"].isin(terms)).alias("hits"), *(more or {}))
 
 
 def lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -135,10 +148,11 @@ def lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa
 
 
 def _found(hits: DataFrame, batch: Batch) -> DataFrame:
-    """(kb_id, chunk_id, dl, p, tf): the phrases of the batch in each chunk and how often they stand there.
-    A phrase of several terms stands where all of them have the same origin (position minus offset)."""
+    """(kb_id, chunk_id, dl, p, tf, further columns): the phrases of the batch in each chunk and how often they
+    stand there.  A phrase of several terms stands where all of them have the same origin (position minus offset)."""
     shared = hits.sparkSession.sparkContext.broadcast(batch)
-    schema = "kb_id string, chunk_id string, dl int, p array<int>, tf array<int>"
+    more = [c for c in hits.columns if c not in ("kb_id", "chunk_id", "dl", "hits")]
+    schema = ", ".join(["kb_id string, chunk_id string, dl int, p array<int>, tf array<int>", *(f"{c} {t}" for c, t in hits.dtypes if c in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Batch = shared.value
@@ -159,10 +173,10 @@ def _found(hits: DataFrame, batch: Batch) -> DataFrame:
                 key = key[got == b.lengths[key % len(b.lengths)]]
             key, tf = np.unique(key, return_counts=True)
             own = key // max(1, len(b.lengths))
-            yield pa.RecordBatch.from_arrays([batch.column("kb_id"), batch.column("chunk_id"), batch.column("dl"), lists(key % max(1, len(b.lengths)), own, n, pa.int32()), lists(tf, own, n, pa.int32())], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column("kb_id"), batch.column("chunk_id"), batch.column("dl"), lists(key % max(1, len(b.lengths)), own, n, pa.int32()), lists(tf, own, n, pa.int32()), *(batch.column(c) for c in more)], schema=out)
 
     out = to_arrow_schema(T._parse_datatype_string(schema))
-    return hits.select(F.col("kb_id").cast("string"), F.col("chunk_id").cast("string"), F.col("dl").cast("int"), "hits").mapInArrow(run, schema)
+    return hits.select(F.col("kb_id").cast("string"), F.col("chunk_id").cast("string"), F.col("dl").cast("int"), "hits", *more).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -187,19 +201,19 @@ class Weights:
 
     def entries(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, phrase, weight) of the phrases in chunks of ``Weighed.found``."""
-        row = np.repeat(np.arange(rows.num_rows), rows.column("p").value_lengths())
+        row = np.repeat(np.arange(rows.num_rows), pc.fill_null(pc.list_value_length(rows.column("p")), 0))
         p, tf = (np.asarray(rows.column(c).flatten()) for c in ("p", "tf"))
-        dl = np.asarray(rows.column("dl"))[row]
+        dl = np.asarray(pc.fill_null(rows.column("dl"), 0))[row]
         return row, p, self.idf[p] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl))
 
 
-def weighed(chunks: DataFrame, phrases: DataFrame, column: str = "content_tokenized", stored: DataFrame | None = None) -> Weighed | None:
+def weighed(chunks: DataFrame, phrases: DataFrame, column: str = "content_tokenized", stored: DataFrame | None = None, more: dict[str, Column] | None = None) -> Weighed | None:
     """None for a batch beyond the limits.  N, df and average length are index-wide, so scores of
     different bases compare.  The texts are tokenised once."""
     batch = batch_of(phrases)
     if batch is None:
         return None
-    found = cut_lineage(_found(_hits(chunks, batch.terms.to_pylist(), column, stored), batch))
+    found = cut_lineage(_found(_hits(chunks, batch.terms.to_pylist(), column, stored, more), batch))
     n_docs, avgdl = found.agg(F.count(F.lit(1)), F.avg("dl")).first()
     df = np.zeros(len(batch.lengths))
     for r in found.select(F.explode("p").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("df")).collect():  # at most TERMS numbers, or as many as phrases

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathomgrid.functions import text as tx
 
 FORMULA_BOOST, DEPENDENCY_BOOST, MIN_HYBRID = 0.35, 0.25, 0.18
+W_LEXICAL, W_VECTOR, OVERLAP = 0.45, 0.55, 0.15
 
 
 def min_max(df: DataFrame, by: list[str], score: str = "score", to: str = "scaled") -> DataFrame:
@@ -18,7 +19,7 @@ def min_max(df: DataFrame, by: list[str], score: str = "score", to: str = "scale
     return df.join(bounds, by).withColumn(to, F.when(hi == lo, 1.0).otherwise((F.col(score) - lo) / (hi - lo))).drop("_lo", "_hi")
 
 
-def fuse(lexical: DataFrame, vector: DataFrame, w_lexical: float = 0.45, w_vector: float = 0.55, overlap: float = 0.15) -> DataFrame:
+def fuse(lexical: DataFrame, vector: DataFrame, w_lexical: float = W_LEXICAL, w_vector: float = W_VECTOR, overlap: float = OVERLAP) -> DataFrame:
     """(query_id, kb_id, chunk_id, score): weighted sum of the scaled legs, and a bonus on both."""
     keys = ["query_id", "kb_id", "chunk_id"]
     a = min_max(lexical.select(*keys, "score"), keys[:2], to="l").drop("score")
@@ -36,6 +37,12 @@ def path_boost(path_signals: Column, query_signals: Column) -> Column:
     return F.least(F.lit(0.45), F.lit(0.18) * matches(path_signals, query_signals))
 
 
+def place_boost(path: Column) -> Column:
+    """What a document's place counts for a query that asks for a guide."""
+    low = F.lower(path)
+    return F.when(low.contains("install") | low.contains("readme") | low.contains("getting-started") | low.contains("quickstart"), 0.85).when(low.startswith("docs/"), 0.35).otherwise(0.0)
+
+
 def adjusted(df: DataFrame, base: str = "score") -> DataFrame:
     """Adds the boosts and penalties of a row with path_signals, stem_signals, query_signals,
     file_path and file_type, and ``adjusted_score``."""
@@ -44,13 +51,7 @@ def adjusted(df: DataFrame, base: str = "score") -> DataFrame:
     is_source = F.coalesce(F.col("file_type").isin(*tx.SOURCE_TYPES), F.lit(False))
     raw = path_boost(F.col("path_signals"), q)
     stem_hit = F.when(F.arrays_overlap("stem_signals", q), 0.32).otherwise(0.0)
-    low = F.lower("file_path")
-    doc = (
-        F.when(~guide | ~F.coalesce(F.col("file_type").isin("markdown", "latex"), F.lit(False)), 0.0)
-        .when(low.contains("install") | low.contains("readme") | low.contains("getting-started") | low.contains("quickstart"), 0.85)
-        .when(low.startswith("docs/"), 0.35)
-        .otherwise(0.0)
-    )
+    doc = F.when(~guide | ~F.coalesce(F.col("file_type").isin("markdown", "latex"), F.lit(False)), 0.0).otherwise(place_boost(F.col("file_path")))
     d = (
         df.withColumn("path_boost", F.when(guide & is_source, F.least(F.lit(0.08), raw)).otherwise(raw))
         .withColumn("source_boost", F.when(~is_source, 0.0).when(guide, F.least(F.lit(0.05), raw)).when(stem_hit > 0, stem_hit).otherwise(F.least(F.lit(0.22), raw)))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathomgrid.functions import text as tx
-from fathomgrid.operators import evaluation, lexical, ranking, retrieval, vector
+from fathomgrid.operators import bases, evaluation, lexical, ranking, retrieval, vector
 from fathomgrid.plans.registry import SQL_DOT, query, sql_case, sql_list, sql_signals, sql_spaced, sql_terms, sql_tokens
 
 T = "content_tokenized"
@@ -173,6 +173,20 @@ def _hybrid_rows(t, mode="hybrid", **options):
     return retrieval.hybrid_rows(mode, t.chunks, t.chunk_vectors, t.search_queries, _query_vectors(t, scope), scope, _CAND, **options)
 
 
+def _best_rows(t, n, digits, mode="hybrid", formula=None):
+    """(query_id, chunk_id, score, reason, rank): the n best rows of each query, injected ones included."""
+    scope = _scope(t)
+    injected = retrieval.FORMULA_INJECTED if formula is not None else 0
+    rows = bases.search(mode, t.chunks, t.chunk_vectors, t.search_queries, _query_vectors(t, scope), scope, _CAND, n, digits, formula=formula() if formula is not None else None, injected=injected)
+    if rows is None:  # a batch beyond what tasks hold
+        evidence = retrieval.Evidence(asked=_asked_formulas(t), formulas=t.formulas) if formula is not None else retrieval.Evidence()
+        rows = _hybrid_rows(t, mode, evidence=evidence)[0].withColumn("score", F.round("score", digits))
+        return lexical.top_k(rows, n, ["query_id"])
+    if injected:
+        rows = lexical.top_k(rows, n, ["query_id", "reason"], "order").where((F.col("reason") == "retrieved") | (F.col("rank") <= injected)).withColumn("score", F.round("score", digits))
+    return lexical.top_k(rows, n, ["query_id"])
+
+
 @query("SELECT id, round((CASE WHEN status = 'stale' THEN 0.92 ELSE 1 END) * (CASE WHEN source_type IN ('directory', 'file') THEN 1.04 WHEN source_type IN ('text', 'url') THEN 0.98 ELSE 1 END), 6)::DOUBLE AS trust FROM knowledge_bases")
 def sco09_trust(t):
     return t.knowledge_bases.select("id", _R(ranking.trust(F.col("status"), F.col("source_type"))).alias("trust"))
@@ -221,8 +235,7 @@ def flt05_confidence_gate(t):
 @query(f"WITH {_HYBRID}, {_sql_adjust('hf')}, {_COV}, {_GATED} SELECT query_id, chunk_id, round(adj, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(adj, 6) DESC, chunk_id)::INT AS rank FROM g WHERE {_GATE} QUALIFY rank <= 10")
 def ret03_hybrid_search(t):
     """From the texts and vectors: BM25 and cosine per base, fused, adjusted and gated."""
-    rows, _ = _hybrid_rows(t)
-    return lexical.top_k(rows.withColumn("score", _R(F.col("score"))), 10, ["query_id"]).select("query_id", "chunk_id", "score", "rank")
+    return _best_rows(t, 10, 6).select("query_id", "chunk_id", "score", "rank")
 
 
 @query(f"WITH {_KB}, {_VLEG}, vl AS (SELECT query_id, chunk_id, trust * score AS score FROM vs JOIN kb USING (kb_id) QUALIFY row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(vs.score, 9) DESC, chunk_id) <= {_CAND}), {_sql_adjust('vl')} SELECT query_id, chunk_id, round(adj, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(adj, 6) DESC, chunk_id)::INT AS rank FROM z QUALIFY rank <= 10")
