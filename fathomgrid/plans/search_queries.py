@@ -241,8 +241,7 @@ def ret03_hybrid_search(t):
 @query(f"WITH {_KB}, {_VLEG}, vl AS (SELECT query_id, chunk_id, trust * score AS score FROM vs JOIN kb USING (kb_id) QUALIFY row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(vs.score, 9) DESC, chunk_id) <= {_CAND}), {_sql_adjust('vl')} SELECT query_id, chunk_id, round(adj, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(adj, 6) DESC, chunk_id)::INT AS rank FROM z QUALIFY rank <= 10")
 def ret02_semantic_over_bases(t):
     """Semantic mode over the bases: vectors only, no gate."""
-    rows, _ = _hybrid_rows(t, "semantic")
-    return lexical.top_k(rows.withColumn("score", _R(F.col("score"))), 10, ["query_id"]).select("query_id", "chunk_id", "score", "rank")
+    return _best_rows(t, 10, 6, "semantic").select("query_id", "chunk_id", "score", "rank")
 
 
 @query(None)
