@@ -60,7 +60,7 @@ def str07_or_fallback(t):
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, round(round(score, 9), 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 3")
 def srt01_bm25_top(t):
-    return lexical.top_k(_scores(t).withColumn("score", F.round("score", 9)), 3, ["query_id"]).select("query_id", "chunk_id", _R(F.col("score")).alias("score"))
+    return lexical.bm25_top(t.chunks, t.search_queries, 3, ["query_id"]).select("query_id", "chunk_id", _R(F.col("score")).alias("score"))
 
 
 _QV = "q AS (SELECT vec_id AS query_id, embedding AS b FROM embeddings WHERE vec_id % 50 = 0)"
