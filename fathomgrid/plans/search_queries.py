@@ -26,10 +26,6 @@ _BM25 = (
 _RELAX = "ro AS (SELECT *, max((matched = terms)::INT) OVER (PARTITION BY query_id, kb_id) AS m FROM sc), rx AS (SELECT * FROM ro WHERE matched = terms OR m = 0)"
 
 
-def _scores(t):
-    return lexical.bm25_scores(t.chunks, t.search_queries)
-
-
 @query(f"WITH {_POST} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM post GROUP BY term")
 def agg05_term_statistics(t):
     return lexical.term_statistics(t.chunks)
@@ -48,8 +44,8 @@ def agg06_bm25_scores(t):
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, round(round(score, 9), 6) AS score, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM sc WHERE matched = terms QUALIFY rank <= 10")
 def ret01_fast_search(t):
-    s = lexical.strict_or_relaxed(_scores(t), relax=False).withColumn("score", F.round("score", 9))
-    return lexical.top_k(s, 10, ["query_id", "kb_id"]).select("query_id", "chunk_id", _R(F.col("score")).alias("score"), "rank")
+    s = lexical.bm25_top(t.chunks, t.search_queries, 10, ["query_id", "kb_id"], "all")
+    return s.select("query_id", "chunk_id", _R(F.col("score")).alias("score"), "rank")
 
 
 @query(f"WITH {_BM25}, {_RELAX} SELECT query_id, kb_id, chunk_id, round(round(score, 9), 6) AS score, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM rx QUALIFY rank <= 5")
