@@ -7,8 +7,10 @@ adjustment, formula and dependency boost, gate, metadata filter, formula and dep
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,20 +243,24 @@ def collapse_windows(windows: DataFrame) -> DataFrame:
     """Windows of a query that share a chunk in one file count once: in order of score, a later one takes
     an earlier one's place if it scores higher or has more chunks.  A fold over a query's bounded
     candidate list; a window can only meet windows of its own file, so files are folded apart."""
-    import pandas as pd
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        f = f.sort_values(["score", "seed_id"], ascending=[False, True]).reset_index(drop=True)
-        sets = [set(x) for x in f["sources"]]
-        for i in range(len(f)):
-            hit = next((n for n, k in enumerate(kept) if sets[k] & sets[i]), None)
-            if hit is None:
-                kept.append(i)
-            elif f["score"][i] > f["score"][kept[hit]] or len(sets[i]) > len(sets[kept[hit]]):
-                kept[hit] = i
-        return f.iloc[kept][["query_id", "seed_id"]]
-
     kind = dict(windows.dtypes)["query_id"]
-    kept = windows.select("query_id", "seed_id", "kb_id", "file_path", "score", "sources").groupBy("query_id", "kb_id", "file_path").applyInPandas(fold, f"query_id {kind}, seed_id string")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seeds = [], []
+            for n, listed in enumerate(batch.column("w").to_pylist()):
+                kept: list[tuple[float, str, set[str]]] = []
+                for w in listed:
+                    one = (-w["s"], w["seed_id"], set(w["sources"]))
+                    hit = next((n for n, k in enumerate(kept) if k[2] & one[2]), None)
+                    if hit is None:
+                        kept.append(one)
+                    elif one[0] > kept[hit][0] or len(one[2]) > len(kept[hit][2]):
+                        kept[hit] = one
+                rows += [n] * len(kept)
+                seeds += [k[1] for k in kept]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(rows, type=pa.int64())), pa.array(seeds, type=pa.string())], names=["query_id", "seed_id"])
+
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "seed_id", "sources"))).alias("w")  # a query's windows in a file
+    kept = windows.groupBy("query_id", "kb_id", "file_path").agg(listed).select("query_id", "w").mapInArrow(fold, f"query_id {kind}, seed_id string")
     return windows.join(kept, ["query_id", "seed_id"], "left_semi")

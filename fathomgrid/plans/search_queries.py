@@ -243,8 +243,7 @@ def ret02_semantic_over_bases(t):
 @query(None)
 def ret05_adaptive_search(t):
     """Hybrid seeds with their context windows, overlapping windows collapsed (a fold: no SQL)."""
-    rows, _ = _hybrid_rows(t)
-    seeds = lexical.top_k(rows.withColumn("score", F.round("score", 9)), 20, ["query_id"])
+    seeds = _best_rows(t, 20, 9)
     w = retrieval.collapse_windows(retrieval.adaptive_windows(seeds, t.chunks, t.search_queries))
     return w.select("query_id", "seed_id", _R(F.col("score")).alias("score"), "start_line", "end_line", F.array_join("sources", ",").alias("sources"), F.length("content").alias("n_chars"))
 

@@ -55,3 +55,11 @@ def test_products_are_bounded(monkeypatch):
     assert max(sizes) <= 11_000 and sum(sizes) == n * q
     sims = m @ (e / np.linalg.norm(e.astype(np.float64), axis=1)[:, None]).T
     assert np.allclose(np.sort(b.vector.score, axis=1), np.sort(sims, axis=1)[:, -5:], atol=1e-6)
+
+
+def test_windows_are_collapsed_without_a_call_each(spark):
+    """A pandas call for every query and file took most of the time."""
+    rows = [(1, "a", "k", "f", 0.9, ["x", "y"]), (1, "b", "k", "f", 0.8, ["y", "z", "w"]), (1, "c", "k", "f", 0.7, ["q"]), (1, "d", "k", "g", 0.6, ["x"]), (2, "e", "k", None, 0.5, ["x"]), (2, "f", "k", None, 0.5, ["x"])]
+    got = retrieval.collapse_windows(spark.createDataFrame(rows, "query_id long, seed_id string, kb_id string, file_path string, score double, sources array<string>"))
+    assert "Pandas" not in got._jdf.queryExecution().toString()
+    assert sorted((r["query_id"], r["seed_id"]) for r in got.collect()) == [(1, "b"), (1, "c"), (1, "d"), (2, "e")]
