@@ -126,9 +126,7 @@ def formula_candidates(asked: DataFrame, formulas: DataFrame, bases: DataFrame |
     f = formulas.select("id", "kb_id", "chunk_id", "content_tokenized").dropDuplicates(["id"])
     phrases = asked.select("query_id", F.explode(F.array_distinct(tx.fts_terms(F.col("normalized")))).alias("term")).distinct()
     phrases = phrases.select("query_id", F.col("term").alias("phrase"), F.lit(0).alias("off"), "term", F.lit(1).alias("len"))
-    s = lexical.bm25_scores(f, asked, phrases=phrases).withColumn("score", F.round("score", 9))
-    s = s.join(bases.select("kb_id"), "kb_id", "left_semi") if bases is not None else s
-    top = lexical.top_k(s, FORMULA_CANDIDATES, ["query_id", "kb_id"])
+    top = lexical.bm25_top(f, asked, FORMULA_CANDIDATES, ["query_id", "kb_id"], phrases=phrases, bases=bases)
     n = top.groupBy("query_id", "kb_id").agg(F.count(F.lit(1)).alias("n"))
     return top.join(n, ["query_id", "kb_id"]).join(f.select(F.col("id").alias("chunk_id"), F.col("chunk_id").alias("owner")), "chunk_id").select("query_id", "kb_id", F.col("chunk_id").alias("id"), F.col("owner").alias("chunk_id"), "rank", "n")
 

@@ -382,8 +382,8 @@ _BOOSTED = f"bz AS (SELECT query_id, chunk_id, adj + 0.35 * coalesce(fscore, 0)
 )
 def ret08_formula_search(t):
     """Hybrid search with the formula leg: boosts before the gate, injected chunks behind it."""
-    rows, _ = _hybrid_rows(t, evidence=retrieval.Evidence(asked=_asked_formulas(t), formulas=t.formulas))
-    return lexical.top_k(rows.withColumn("score", _R(F.col("score"))), 10, ["query_id"]).select("query_id", "chunk_id", "score", "reason", "rank")
+    scores = lambda: retrieval.formula_scores(_asked_formulas(t), t.formulas, _scope(t)).groupBy("query_id", "chunk_id").agg(F.max("formula_score").alias("formula_score"))
+    return _best_rows(t, 10, 6, formula=scores).select("query_id", "chunk_id", "score", "reason", "rank")
 
 
 # Context. Seeds are the chunks that are among some query's five best hits by fusion.

@@ -63,3 +63,9 @@ def test_windows_are_collapsed_without_a_call_each(spark):
     got = retrieval.collapse_windows(spark.createDataFrame(rows, "query_id long, seed_id string, kb_id string, file_path string, score double, sources array<string>"))
     assert "Pandas" not in got._jdf.queryExecution().toString()
     assert sorted((r["query_id"], r["seed_id"]) for r in got.collect()) == [(1, "b"), (1, "c"), (1, "d"), (2, "e")]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_formula_boosts_stay_in_the_task(spark):
+    plan = sq.ret08_formula_search(Tables(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
